@@ -26,18 +26,23 @@ def is_peak(hour: Column, windows: Column) -> Column:
     return F.exists(windows, lambda w: (hour >= w["start_hour"]) & (hour < w["end_hour"]))
 
 
+def _bit(hour: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), hour)
+
+
 def peak_mask(windows: Column) -> Column:
     """The peak hours of a tariff as 24 bits, worked out once per tariff row."""
-    mask = F.lit(0)
-    for hour in HOURS:
-        mask = mask.bitwiseOR(F.when(is_peak(F.lit(hour), windows), 1 << hour).otherwise(0))
-    return F.when(windows.isNotNull(), mask)
+    hours = F.filter(F.sequence(F.lit(0), F.lit(len(HOURS) - 1)), lambda h: is_peak(h, windows))
+    return F.aggregate(hours, F.lit(0), lambda mask, hour: mask.bitwiseOR(_bit(hour)))
 
 
 def masked_sum(by_hour: Column, mask: Column) -> Column:
     """Sum of the entries of a 24-entry array whose bit is set."""
-    total = F.lit(0).cast("bigint")
-    for hour in HOURS:
-        bit = F.when(mask.bitwiseAND(F.lit(1 << hour)) != 0, F.get(by_hour, F.lit(hour)))
-        total = total + bit.otherwise(F.lit(0).cast("bigint"))
-    return total
+    kept = F.filter(by_hour, lambda wh, hour: mask.bitwiseAND(_bit(hour)) != 0)
+    return F.when(
+        mask.isNotNull(), F.aggregate(kept, F.lit(0).cast("bigint"), lambda total, wh: total + wh)
+    )
+
+
+def in_mask(hour: Column, mask: Column) -> Column:
+    return mask.bitwiseAND(_bit(hour)) != 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.numeric import kwh_decimal, money
-from wattquill.functions.peaks import masked_sum, peak_mask, peak_windows
+from wattquill.functions.peaks import in_mask, masked_sum, peak_mask, peak_windows
 from wattquill.operators.usage import (
     answer_requests,
     daily_profiles,
@@ -134,6 +134,16 @@ def bill(
     """One bill per request (request_id, customer_id, start_date, end_date).
 
     `status` is the first of customer_not_found, no_tariff, no_readings that applies, else ok.
+    """
+    profiles = daily_profiles(readings_of_requests(readings, requests))
+    return bill_from_profiles(requests, customers, tariffs, profiles)
+
+
+def bill_from_profiles(
+    requests: DataFrame, customers: DataFrame, tariffs: DataFrame, profiles: DataFrame
+) -> DataFrame:
+    """`bill` from daily profiles, which may come from a table.
+
     Readings become one profile per customer and day in a single shuffle; the requested days join
     it on the same key, and the bill itself is a projection over the summed days.
     """
@@ -142,7 +152,6 @@ def bill(
         customer_tariffs(customers, tariffs).withColumn("_known", F.lit(True)), "customer_id", "left"
     )
     days = period_days(priced.filter("_known").select(*PERIOD_KEY, "peak_mask"))
-    profiles = daily_profiles(readings_of_requests(readings, requests))
     peak = masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))
     usage = (
         days.join(profiles, ["customer_id", "reading_date"])
@@ -215,7 +224,9 @@ def hour_shares(customers: DataFrame, tariffs: DataFrame, readings: DataFrame) -
         .groupBy("segment", "peak_mask", "hour")
         .agg(F.sum("wh").alias("wh"))
     )
-    bit = F.col("peak_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("hour")))
     return hours.select(
-        "segment", "hour", (bit != 0).alias("is_peak"), kwh_decimal(F.col("wh")).cast("double").alias("kwh")
+        "segment",
+        "hour",
+        in_mask(F.col("hour"), F.col("peak_mask")).alias("is_peak"),
+        kwh_decimal(F.col("wh")).cast("double").alias("kwh"),
     )

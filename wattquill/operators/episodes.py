@@ -64,7 +64,7 @@ def episode_outcomes(parsed: DataFrame) -> DataFrame:
         status.alias("status"),
         success.alias("success"),
         F.coalesce(F.col("_end"), F.lit(fv.MAX_STEPS)).alias("iterations"),
-        F.bit_count(F.col("_calls").bitwiseAND(before_end)).alias("tool_calls"),
+        F.bit_count(F.col("_calls").bitwiseAND(before_end)).cast("int").alias("tool_calls"),
         F.when(success, F.col("answer")).alias("answer"),
         F.when(success, F.col("answer_number")).alias("answer_number"),
         error.alias("error"),

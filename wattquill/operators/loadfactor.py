@@ -54,10 +54,14 @@ def load_factor(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
     The customer table is not consulted: an unknown customer simply has no readings.
     """
+    profiles = daily_profiles(readings_of_requests(readings, requests))
+    return load_factor_from_profiles(requests, profiles)
+
+
+def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`load_factor` from daily profiles, which may come from a table."""
     periods = distinct_periods(requests)
-    days = daily_profiles(readings_of_requests(readings, requests)).select(
-        "customer_id", "reading_date", *_SUMMARY
-    )
+    days = profiles.select("customer_id", "reading_date", *_SUMMARY)
     usage = (
         period_days(periods)
         .join(days, ["customer_id", "reading_date"])

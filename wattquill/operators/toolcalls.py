@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
+from wattquill.functions.once import computed_once
 from wattquill.functions.text import strip
 from wattquill.sources.constants import tool_parameters
 
@@ -92,7 +93,9 @@ def check_calls(calls: DataFrame) -> DataFrame:
             problem.alias("problem"),
         )
 
-    checked = opened.withColumn("_judged", F.transform("specs", judged))
+    checked = computed_once(
+        opened, [*calls.columns, "_tool", "_args", "specs"], _judged=F.transform("specs", judged)
+    )
     first = F.get(F.filter("_judged", lambda j: j["problem"].isNotNull()), F.lit(0))
     status = (
         F.when(F.col("_tool").isNull(), "unknown_tool")
@@ -102,23 +105,14 @@ def check_calls(calls: DataFrame) -> DataFrame:
     bound = F.transform(
         F.filter("_judged", lambda j: j["bound"]), lambda j: F.struct(j["param"], j["value"])
     )
-    known = F.coalesce(F.transform("specs", lambda s: s["param"]), F.array().cast("array<string>"))
-    ok_status = F.col("status") == "ok"
-    return (
-        checked.withColumn("_first", first)
-        .withColumn("status", status)
-        .select(
-            *calls.columns,
-            "status",
-            F.when(F.col("status").isin("missing_parameter", "bad_type"), F.col("_first.param")).alias(
-                "problem_param"
-            ),
-            F.when(ok_status, F.map_from_entries(bound)).alias("arguments"),
-            F.when(
-                F.col("_tool").isNotNull() & F.col("_args").isNotNull(),
-                F.size(F.array_except(F.map_keys("_args"), known)),
-            ).alias("extra_arguments"),
-        )
+    known = F.transform("specs", lambda s: s["param"])
+    is_known = F.col("_tool").isNotNull() & F.col("_args").isNotNull()
+    return checked.withColumn("_first", first).select(
+        *calls.columns,
+        status.alias("status"),
+        F.col("_first.param").alias("problem_param"),
+        F.when(is_known & F.col("_first").isNull(), F.map_from_entries(bound)).alias("arguments"),
+        F.when(is_known, F.size(F.array_except(F.map_keys("_args"), known))).alias("extra_arguments"),
     )
 
 

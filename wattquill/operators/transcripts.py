@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions import text as tx
+from wattquill.functions.once import computed_once
 
 PARSED_COLUMNS = ["type", "thought", "action", "action_input", "answer", "error_kind", "error"]
 
@@ -59,15 +60,16 @@ def parse_turns(turns: DataFrame, response: str = "response") -> DataFrame:
     message = F
     for name, text in fv.ERROR_TEXTS.items():
         message = message.when(F.col("error_kind") == name, text)
-    return typed.select(
-        *turns.columns,
-        turn_type.alias("type"),
-        "thought",
-        "action",
-        F.when(F.col("error_kind").isNull(), F.col("_json")).alias("action_input"),
-        "answer",
-        "error_kind",
-        message.alias("error"),
+    return computed_once(
+        typed,
+        turns.columns,
+        type=turn_type,
+        thought=F.col("thought"),
+        action=F.col("action"),
+        action_input=F.when(F.col("error_kind").isNull(), F.col("_json")),
+        answer=F.col("answer"),
+        error_kind=F.col("error_kind"),
+        error=message,
     )
 
 

@@ -40,19 +40,19 @@ def hour_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -
     wh = watt_hours(F.col("consumption_kwh"))
     hour = F.hour("timestamp")
     staged = readings.select(*keys, wh.alias("_wh"), hour.alias("_hour"))
-    zero = F.lit(0).cast("bigint")
-    sums = [F.sum(F.when(F.col("_hour") == h, F.col("_wh"))).alias(f"_h{h}") for h in HOURS]
+    sums = [F.expr(f"sum(CASE WHEN _hour = {h} THEN _wh END) AS _h{h}") for h in HOURS]
     grouped = staged.groupBy(*keys).agg(
         *sums,
-        F.coalesce(F.sum("_wh"), zero).alias("wh"),
+        F.expr("coalesce(sum(_wh), 0L) AS wh"),
         F.max("_wh").alias("max_wh"),
         F.min("_wh").alias("min_wh"),
         F.count("_wh").alias("reading_count"),
-        F.count(F.lit(1)).alias("row_count"),
+        F.expr("count(*) AS row_count"),
     )
+    by_hour = ", ".join(f"coalesce(_h{h}, 0L)" for h in HOURS)
     return grouped.select(
         *keys,
-        F.array(*[F.coalesce(F.col(f"_h{h}"), zero) for h in HOURS]).alias("wh_by_hour"),
+        F.expr(f"array({by_hour}) AS wh_by_hour"),
         "wh",
         "max_wh",
         "min_wh",
@@ -64,8 +64,9 @@ def hour_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -
 
 def daily_profiles(readings: DataFrame) -> DataFrame:
     """`hour_profiles` per customer and day."""
-    dated = readings.withColumn("reading_date", F.to_date("timestamp"))
-    return hour_profiles(dated, ("customer_id", "reading_date"))
+    if "reading_date" not in readings.columns:
+        readings = readings.withColumn("reading_date", F.to_date("timestamp"))
+    return hour_profiles(readings, ("customer_id", "reading_date"))
 
 
 def distinct_periods(requests: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
-from wattquill.operators.billing import bill
-from wattquill.operators.loadfactor import load_factor
-from wattquill.operators.usage import daily_profiles, period_days
+from wattquill.operators.billing import bill_from_profiles
+from wattquill.operators.loadfactor import load_factor_from_profiles
+from wattquill.operators.usage import period_days
 from wattquill.sources.constants import literal_rows
 
 QUESTION_COLUMNS = [
@@ -132,9 +132,9 @@ def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _scope_days(customers: DataFrame, readings: DataFrame) -> DataFrame:
+def _scope_days(customers: DataFrame, profiles: DataFrame) -> DataFrame:
     """Reading statistics per scope and day."""
-    daily = daily_profiles(readings).select(
+    daily = profiles.select(
         "customer_id",
         "reading_date",
         "wh",
@@ -149,10 +149,10 @@ def _scope_days(customers: DataFrame, readings: DataFrame) -> DataFrame:
     return _merge(scoped.filter(F.col("scope_key").isNotNull()), ["scope", "scope_key", "reading_date"])
 
 
-def _scope_answers(questions: DataFrame, customers: DataFrame, readings: DataFrame) -> DataFrame:
+def _scope_answers(questions: DataFrame, customers: DataFrame, profiles: DataFrame) -> DataFrame:
     """Values of the aggregation and counting questions, from per-scope statistics."""
     scope = ["scope", "scope_key"]
-    days = _scope_days(customers, readings)
+    days = _scope_days(customers, profiles)
     dated = questions.filter(F.col("start_date").isNotNull())
     undated = questions.filter(F.col("start_date").isNull())
     periods = dated.select(*scope, "start_date", "end_date").distinct()
@@ -184,12 +184,14 @@ def ground_truth(
     questions: DataFrame,
     customers: DataFrame,
     tariffs: DataFrame,
-    readings: DataFrame,
+    profiles: DataFrame,
     force_zero_minimum: bool = False,
 ) -> DataFrame:
     """The answer table: query, category, expected_value, tolerance, tolerance_type.
 
-    Each tool answers all its questions in one job; questions without an answer are left out.
+    Each tool answers all its questions as one batch; questions without an answer are left out.
+    All of them start from `daily_profiles` of the readings: with those in a table, the readings
+    are read once.
     """
 
     def requests(tool: str) -> DataFrame:
@@ -204,14 +206,14 @@ def ground_truth(
             F.col(value).alias("expected_value"),
         )
 
-    bills = bill(requests("tariff_calculator"), customers, tariffs, readings)
-    factors = load_factor(requests("calculate_load_factor"), readings)
+    bills = bill_from_profiles(requests("tariff_calculator"), customers, tariffs, profiles)
+    factors = load_factor_from_profiles(requests("calculate_load_factor"), profiles)
     scoped = questions.filter(F.col("tool").isin("pandas_aggregator", "sql_executor"))
     plots = questions.filter(F.col("tool") == "plot_generator")
     found = (
         answers(bills, "billing", "total_cost")
         .unionByName(answers(factors, "load_factor", "load_factor"))
-        .unionByName(_scope_answers(scoped, customers, readings))
+        .unionByName(_scope_answers(scoped, customers, profiles))
         .unionByName(plots.select("query", "category", F.lit(1.0).alias("expected_value")))
     )
     answered = found.filter(F.col("expected_value").isNotNull())

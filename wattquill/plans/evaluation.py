@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattquill.functions import text as tx
+from wattquill.functions.once import computed_once
 from wattquill.operators import episodes as ep
 from wattquill.operators import toolcalls as tc
 from wattquill.operators import transcripts as tr
 from wattquill.sources import artifacts, testdata
 from wattquill.sources.constants import tool_parameters
+from wattquill.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,13 +49,17 @@ def parse_error_kinds(spark: SparkSession, d: str) -> DataFrame:
 def json_repair_counts(spark: SparkSession, d: str) -> DataFrame:
     """Action inputs that are JSON as written, and after the repair, per action."""
     clean = tr.drop_observation_suffix(F.col("response"))
-    inputs = (
-        testdata.turns(spark, d)
-        .select(
-            tx.strip(tx.until_stop(tx.tail_after(clean, "Action:"))).alias("action"),
-            tx.strip(tx.until_stop(tx.tail_after(clean, "Action Input:"))).alias("raw"),
-        )
-        .filter(F.col("raw").isNotNull())
+    tails = computed_once(
+        testdata.turns(spark, d),
+        [],
+        action=tx.tail_after(clean, "Action:"),
+        raw=tx.tail_after(clean, "Action Input:"),
+    )
+    inputs = computed_once(
+        tails.filter(F.col("raw").isNotNull()),
+        [],
+        action=tx.strip(tx.until_stop(F.col("action"))),
+        raw=tx.strip(tx.until_stop(F.col("raw"))),
     )
 
     def valid(text: Column) -> Column:
@@ -131,16 +137,21 @@ def call_success_by_tool(spark: SparkSession, d: str) -> DataFrame:
 # --- episodes ---------------------------------------------------------------------------------
 
 
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return ep.episode_outcomes(_parsed(spark, d))
+def _parsed_table(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed turns as a table: the texts are parsed once for all that is derived from them."""
+    return materialize(_parsed(spark, d).drop("response", "thought", "action_input"), "parsed")
+
+
+def _rewards_of(parsed: DataFrame) -> DataFrame:
+    return ep.episode_rewards(ep.episode_outcomes(parsed), testdata.expectations(parsed))
 
 
 def _rewards(spark: SparkSession, d: str) -> DataFrame:
-    return ep.episode_rewards(_outcomes(spark, d), testdata.expectations(testdata.turns(spark, d)))
+    return _rewards_of(_parsed_table(spark, d))
 
 
 def episode_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return _outcomes(spark, d).withColumn("tool_calls", F.col("tool_calls").cast("int"))
+    return ep.episode_outcomes(_parsed(spark, d))
 
 
 def episode_tool_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +184,7 @@ def reward_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def episode_token_usage(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
+    parsed = _parsed_table(spark, d)
     return ep.token_usage(parsed, ep.episode_outcomes(parsed))
 
 
@@ -181,22 +192,19 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     return ep.run_metrics(_rewards(spark, d))
 
 
-def _batches(spark: SparkSession, d: str) -> DataFrame:
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
     episodes = testdata.turns(spark, d).select("episode_id").distinct()
     return ep.epoch_batches(episodes, "episode_id")
 
 
-def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
-    return _batches(spark, d)
-
-
 def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return ep.batch_metrics(_batches(spark, d), _rewards(spark, d))
+    rewards = materialize(_rewards(spark, d), "rewards")
+    return ep.batch_metrics(ep.epoch_batches(rewards, "episode_id"), rewards)
 
 
 def step_rewards(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
-    return ep.step_rewards(parsed, ep.episode_outcomes(parsed), _rewards(spark, d))
+    parsed = _parsed_table(spark, d)
+    return ep.step_rewards(parsed, ep.episode_outcomes(parsed), _rewards_of(parsed))
 
 
 def accuracy_by_category(spark: SparkSession, d: str) -> DataFrame:

@@ -78,7 +78,8 @@ def sink_roundtrip_counts(spark: SparkSession, d: str) -> DataFrame:
 def _ground_truth(spark: SparkSession, d: str) -> DataFrame:
     customers, tariffs, readings = _meter(spark, d)
     questions = wl.workload_questions(customers, MONTH_NAME, *MONTH)
-    return wl.ground_truth(questions, customers, tariffs, readings)
+    profiles = tables.materialize(daily_profiles(readings), "profiles")
+    return wl.ground_truth(questions, customers, tariffs, profiles)
 
 
 def workload_by_category(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Meter tables as Parquet: explicit schemas on read, a pruning-friendly layout on write."""
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattquill.functions.numeric import skip_nan
 from wattquill.schemas import METER_TABLES
+from wattquill.session import shared_dir
 
 logger = logging.getLogger(__name__)
 
@@ -75,6 +77,17 @@ def write_tables(
     return True
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from the written table.
+
+    For results that several branches of a query read: each computes it once, plans stay small, and
+    a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table: its name and row count."""
     counts = [

@@ -7,6 +7,7 @@ operators work on. Nothing is sampled or cut.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattquill.functions.once import computed_once
 from wattquill.functions.ranking import bucketed_row_number
 from wattquill.sources import constants
 from wattquill.sources.tables import exact_kwh
@@ -135,16 +136,18 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("_hour", F.date_trunc("hour", "ts"))
     numbered = bucketed_row_number(events, ["user_id"], "_hour", ["ts", "event_id"], "rn")
     index = F.col("rn") - 1
-    response = _step_text()
-    return numbered.select(
+    spoken = computed_once(
+        numbered, ["rn", "user_id", "event_id", "event_type", "value"], response=_step_text()
+    )
+    return spoken.select(
         (F.col("user_id") * 100 + F.floor(index / STEPS_PER_EPISODE)).alias("episode_id"),
         (index % STEPS_PER_EPISODE + 1).cast("int").alias("step"),
         "event_id",
         "value",
         ((F.col("event_type") == "purchase") & (F.col("user_id") % 10 != 0)).alias("is_answer"),
-        response.alias("response"),
+        "response",
         (F.col("event_id") % 500 + 100).alias("prompt_tokens"),
-        F.length(response).cast("bigint").alias("completion_tokens"),
+        F.length("response").cast("bigint").alias("completion_tokens"),
     )
 
 
