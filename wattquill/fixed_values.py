@@ -58,7 +58,13 @@ TRUE_WORDS = ("true", "1", "yes")
 THOUGHT, ACTION, ACTION_INPUT, ANSWER = "Thought:", "Action:", "Action Input:", "Answer:"
 # a section ends at the first of these that occurs in it, tried in this order
 STOP_MARKERS = ("Thought:", "Action Input:", "Action:", "Answer:", "Observation:")
-OBSERVATION_SUFFIX = r"(Observation:|\nObservation)\z"
+# a turn may end in one of these; the first that fits is dropped
+OBSERVATION_SUFFIXES = ("Observation:", "\nObservation")
+# the characters Python counts as white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 ERROR_TEXTS = {
     "invalid_json": "Invalid JSON in Action Input",
     "missing_action_input": "Action specified but no Action Input found",

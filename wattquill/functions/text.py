@@ -7,8 +7,8 @@ from wattquill import fixed_values as fv
 
 
 def strip(text: Column) -> Column:
-    """Drop all Unicode white space at both ends (`trim` would drop blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Drop all Unicode white space at both ends (plain `trim` would drop blanks only)."""
+    return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
 def tail_after(text: Column, marker: str) -> Column:
@@ -27,7 +27,7 @@ def until_stop(tail: Column) -> Column:
 
 def repair_json(text: Column) -> Column:
     """One line, and no comma before a closing brace or bracket."""
-    flat = F.regexp_replace(strip(text), r"[\n\r\t]", " ")
+    flat = F.translate(strip(text), "\n\r\t", "   ")
     return F.regexp_replace(F.regexp_replace(flat, r",(?U)\s*\}", "}"), r",(?U)\s*\]", "]")
 
 

@@ -74,20 +74,24 @@ def season_factor(timestamp: Column) -> Column:
 
 
 def with_time_axis(
-    df: DataFrame, start: Column, days: int, interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES
+    df: DataFrame,
+    start: Column,
+    days: int,
+    interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Every row once per interval: adds `step` (0, 1, ..) and `timestamp`.
 
-    Days and steps of a day are exploded one after the other, so the arrays stay short; nothing is
-    joined and nothing is shuffled.
+    Rows are multiplied by day, dealt out evenly over `partitions` tasks (twice the cores if not
+    given), and only then multiplied by the steps of a day: a small customer file would otherwise
+    leave all the work to the one task that reads it. Nothing is joined.
     """
     _positive(days=days, interval_minutes=interval_minutes)
     per_day = _MINUTES_A_DAY // interval_minutes
     _positive(intervals_per_day=per_day)
-    in_day = F.explode(F.sequence(F.lit(0), F.lit(per_day - 1)))
-    stepped = df.withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn(
-        "_in_day", in_day
-    )
+    tasks = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    dealt = df.withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).repartition(tasks)
+    stepped = dealt.withColumn("_in_day", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))))
     step = (F.col("_day") * per_day + F.col("_in_day")).cast("bigint")
     offset = F.make_dt_interval(mins=(step * interval_minutes).cast("int"))
     return (
@@ -112,10 +116,12 @@ def generate_readings(
     axis = with_time_axis(customers.select("customer_id", "segment"), start_at, days, interval_minutes)
     steps = days * (_MINUTES_A_DAY // interval_minutes)
     mean = base_load(F.col("segment"), F.col("timestamp")) * season_factor(F.col("timestamp"))
-    noise = normal(digest(seed, "reading", F.col("customer_id"), F.col("step")))
-    kwh = mean * (F.lit(1.0) + F.lit(fv.NOISE_SHARE) * noise)
+    drawn = axis.withColumn(
+        "_digest", digest(seed, "reading", F.col("customer_id"), F.col("step"))
+    )
+    kwh = mean * (F.lit(1.0) + F.lit(fv.NOISE_SHARE) * normal(F.col("_digest")))
     wh = F.floor(F.greatest(kwh, F.lit(0.0)) * F.lit(1000.0) + F.lit(0.5))
-    return axis.select(
+    return drawn.select(
         ((F.col("customer_id") - 1) * steps + F.col("step") + 1).alias("reading_id"),
         "customer_id",
         "timestamp",

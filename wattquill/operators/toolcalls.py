@@ -4,39 +4,31 @@ The parameters of a tool travel as one array, so a call is checked within its ow
 rows are broadcast, nothing is exploded, grouped or shuffled.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.once import computed_once
 from wattquill.functions.text import strip
-from wattquill.sources.constants import tool_parameters
+from wattquill.sources.constants import tool_specs
 
 _INTEGER_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
 _FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*\.?(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
-def tool_specs(spark: SparkSession) -> DataFrame:
-    """One row per tool with its parameters in declaration order."""
-    spec = F.struct("position", "param", "type", "required", "default_value")
-    return tool_parameters(spark).groupBy("tool").agg(F.sort_array(F.collect_list(spec)).alias("specs"))
-
-
-def _coerced(kind: Column, value: Column) -> Column:
+def _coerced(kind: Column, json_type: Column, text: Column) -> Column:
     """The argument as text of its declared type; NULL where it cannot be converted."""
-    json_type = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
     is_text = json_type == "STRING"
     is_bool = json_type == "BOOLEAN"
-    is_number = ~is_text & ~is_bool & ~json_type.rlike("^(ARRAY|OBJECT|VOID)")
-    digits = F.regexp_replace(strip(text), "_", "")
+    is_number = ~is_text & ~is_bool & ~json_type.rlike("^(ARRAY|OBJECT)")
+    digits = F.replace(strip(text), F.lit("_"), F.lit(""))
     as_int = (
-        F.when(is_text & text.rlike(_INTEGER_TEXT), digits.try_cast("decimal(38,0)"))
+        F.when(is_text, F.when(text.rlike(_INTEGER_TEXT), digits.try_cast("decimal(38,0)")))
         .when(is_bool, F.when(text == "true", F.lit(1)).otherwise(F.lit(0)).cast("decimal(38,0)"))
         .when(is_number, _truncated(text))
     )
     as_float = (
-        F.when(is_text & text.rlike(_FLOAT_TEXT), digits.try_cast("double"))
+        F.when(is_text, F.when(text.rlike(_FLOAT_TEXT), digits.try_cast("double")))
         .when(is_bool, F.when(text == "true", 1.0).otherwise(0.0))
         .when(is_number, text.try_cast("double"))
     )
@@ -44,10 +36,10 @@ def _coerced(kind: Column, value: Column) -> Column:
         ~text.isin("false", "0", "0.0", "[]", "{}")
     )
     return (
-        F.when(kind == "int", as_int.cast("string"))
+        F.when(kind == "str", text)
+        .when(kind == "int", as_int.cast("string"))
         .when(kind == "float", as_float.cast("string"))
         .when(kind == "bool", as_bool.cast("string"))
-        .otherwise(text)
     )
 
 
@@ -68,33 +60,40 @@ def check_calls(calls: DataFrame) -> DataFrame:
     """
     specs = F.broadcast(tool_specs(calls.sparkSession).withColumnRenamed("tool", "_tool"))
     is_object = F.startswith(F.col("action_input"), F.lit("{"))
-    args = F.when(
-        is_object, F.from_json(F.col("action_input"), "map<string,variant>")
+    values = F.when(is_object, F.from_json(F.col("action_input"), "map<string,variant>"))
+    args = F.transform_values(
+        values,
+        lambda _, v: F.struct(
+            F.schema_of_variant(v).alias("json_type"), F.try_variant_get(v, "$", "string").alias("text")
+        ),
     )
-    opened = (
-        calls.withColumn("_name", strip(F.col("tool")))
-        .join(specs, F.col("_name") == F.col("_tool"), "left")
-        .withColumn("_args", args)
+    opened = computed_once(calls, calls.columns, _name=strip(F.col("tool")), _args=args).join(
+        specs, F.col("_name") == F.col("_tool"), "left"
     )
 
-    def judged(spec: Column) -> Column:
-        given = F.map_contains_key(F.col("_args"), spec["param"])
-        value = F.try_element_at(F.col("_args"), spec["param"])
-        is_null = value.isNull() | (F.schema_of_variant(value) == "VOID")
-        converted = F.when(given & ~is_null, _coerced(spec["type"], value))
-        problem = F.when(spec["required"] & ~given, "missing_parameter").when(
-            given & ~is_null & converted.isNull(), "bad_type"
+    def matched(spec: Column) -> Column:
+        return F.struct(
+            *[spec[field].alias(field) for field in ("param", "type", "required", "default_value")],
+            F.map_contains_key("_args", spec["param"]).alias("given"),
+            F.try_element_at("_args", spec["param"]).alias("arg"),
+        )
+
+    def judged(pair: Column) -> Column:
+        given, json_type, text = pair["given"], pair["arg"]["json_type"], pair["arg"]["text"]
+        is_null = json_type == "VOID"
+        value = F.when(given & ~is_null, _coerced(pair["type"], json_type, text))
+        problem = F.when(pair["required"] & ~given, "missing_parameter").when(
+            given & ~is_null & value.isNull(), "bad_type"
         )
         return F.struct(
-            spec["param"].alias("param"),
-            given.alias("given"),
-            (given | ~spec["required"]).alias("bound"),
-            F.when(given, converted).otherwise(spec["default_value"]).alias("value"),
+            pair["param"].alias("param"),
+            (given | ~pair["required"]).alias("bound"),
+            F.when(given, value).otherwise(pair["default_value"]).alias("value"),
             problem.alias("problem"),
         )
 
     checked = computed_once(
-        opened, [*calls.columns, "_tool", "_args", "specs"], _judged=F.transform("specs", judged)
+        opened, [*calls.columns, "_tool", "_args", "specs"], _judged=F.transform(F.transform("specs", matched), judged)
     )
     first = F.get(F.filter("_judged", lambda j: j["problem"].isNotNull()), F.lit(0))
     status = (

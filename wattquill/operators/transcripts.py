@@ -12,7 +12,13 @@ PARSED_COLUMNS = ["type", "thought", "action", "action_input", "answer", "error_
 
 def drop_observation_suffix(response: Column) -> Column:
     """Without the stop text a local model leaves at the end of a turn."""
-    return F.regexp_replace(response, fv.OBSERVATION_SUFFIX, "")
+    cleaned = F
+    for suffix in fv.OBSERVATION_SUFFIXES:
+        kept = F.char_length(response) - len(suffix)
+        cleaned = cleaned.when(
+            F.endswith(response, F.lit(suffix)), F.substr(response, F.lit(1), kept)
+        )
+    return cleaned.otherwise(response)
 
 
 def parse_turns(turns: DataFrame, response: str = "response") -> DataFrame:

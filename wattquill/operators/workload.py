@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
+from wattquill.functions.numeric import rounded_ratio
 from wattquill.operators.billing import bill_from_profiles
 from wattquill.operators.loadfactor import load_factor_from_profiles
 from wattquill.operators.usage import period_days
@@ -167,9 +168,10 @@ def _scope_answers(questions: DataFrame, customers: DataFrame, profiles: DataFra
     )
     kwh = F.lit(1000.0)
     op = F.col("operation")
+    mean = rounded_ratio(F.col("wh"), F.col("n") * 1000, fv.ANSWER_DECIMALS)
     value = (
         F.when(op == "sum", F.coalesce(F.col("wh"), F.lit(0)).cast("double") / kwh)
-        .when(op == "mean", F.when(F.col("n") > 0, F.col("wh").cast("double") / (F.col("n") * kwh)))
+        .when(op == "mean", mean.cast("double") / F.lit(10.0**fv.ANSWER_DECIMALS))
         .when(op == "min", F.col("min_wh").cast("double") / kwh)
         .when(op == "max", F.col("max_wh").cast("double") / kwh)
         .when(op == "count_readings", F.coalesce(F.col("rows"), F.lit(0)).cast("double"))

@@ -122,7 +122,7 @@ _SEGMENT = {name: text.replace("{month}", meter.MONTH_NAME) for name, text in fv
 _GENERAL = {name: text.replace("{month}", meter.MONTH_NAME) for name, text in fv.GENERAL_QUESTIONS.items()}
 _VALUES = {
     "sum": "coalesce(sum(wh), 0) / 1000",
-    "mean": "CASE WHEN count(wh) > 0 THEN CAST(sum(wh) AS DOUBLE) / (count(wh) * 1000.0) END",
+    "mean": "CASE WHEN count(wh) > 0 THEN CAST((20 * sum(wh) + count(wh)) // (2 * count(wh)) AS DOUBLE) / 10000 END",
     "max": "max(wh) / 1000",
     "min": "min(wh) / 1000",
     "count_readings": "count(reading_id)",
@@ -439,7 +439,7 @@ def _number(text: str) -> str:
 
 
 TURNS = {
-    "turns": """SELECT user_id * 100 + CAST(floor((rn - 1) / 12) AS BIGINT) AS episode_id,
+    "turns": """SELECT user_id * 10000000000 + CAST((rn - 1) // 12 AS BIGINT) AS episode_id,
  CAST((rn - 1) % 12 + 1 AS INTEGER) AS step, event_id, event_type, user_id, CAST(value AS DECIMAL(12,2)) AS cents,
  CASE
   WHEN user_id % 10 = 0 AND event_type IN ('purchase','error','signup') THEN 'Thought: keep thinking'

@@ -11,6 +11,11 @@ from wattquill.schemas import TARIFFS
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"
+    if isinstance(value, dict):
+        fields = ", ".join(f"{_literal(name)}, {_literal(field)}" for name, field in value.items())
+        return f"named_struct({fields})"
+    if isinstance(value, list):
+        return "array(" + ", ".join(_literal(item) for item in value) + ")"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, str):
@@ -44,3 +49,13 @@ def tool_parameters(spark: SparkSession) -> DataFrame:
         ("default_value", "string"),
     ]
     return literal_rows(spark, ddl, rows)
+
+
+def tool_specs(spark: SparkSession) -> DataFrame:
+    """One row per tool with its parameters, in declaration order, as one array."""
+    fields = ("param", "type", "required", "default_value")
+    specs: dict[str, list] = {}
+    for tool, *values in fv.TOOL_PARAMETERS:
+        specs.setdefault(tool, []).append(dict(zip(fields, values, strict=True)))
+    kind = "array<struct<param:string,type:string,required:boolean,default_value:string>>"
+    return literal_rows(spark, [("tool", "string"), ("specs", kind)], list(specs.items()))

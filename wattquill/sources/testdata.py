@@ -13,6 +13,8 @@ from wattquill.sources import constants
 from wattquill.sources.tables import exact_kwh
 
 STEPS_PER_EPISODE = 12
+# wide enough that a user with billions of episodes does not run into the ids of the next user
+EPISODE_STRIDE = 10**10
 REQUEST_DAYS = 14
 UNKNOWN_ID_OFFSET = 1_000_000
 _SCHEMAS = {
@@ -140,7 +142,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         numbered, ["rn", "user_id", "event_id", "event_type", "value"], response=_step_text()
     )
     return spoken.select(
-        (F.col("user_id") * 100 + F.floor(index / STEPS_PER_EPISODE)).alias("episode_id"),
+        (F.col("user_id") * F.lit(EPISODE_STRIDE) + F.floor(index / STEPS_PER_EPISODE)).alias("episode_id"),
         (index % STEPS_PER_EPISODE + 1).cast("int").alias("step"),
         "event_id",
         "value",
