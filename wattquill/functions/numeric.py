@@ -31,6 +31,8 @@ def rounded_ratio(numerator: Column, denominator: Column, places: int) -> Column
     """`numerator / denominator` of two integers, rounded half away from zero, in units of 10^-places.
 
     Integer arithmetic, so ties never depend on a binary fraction. NULL where the denominator is 0.
+    The result is a BIGINT: it fits for any ratio below 10^(18 - places), and no mean or load factor
+    of DECIMAL(12,3) readings comes near that.
     """
     num = numerator.cast("decimal(20,0)")
     den = F.when(denominator != 0, denominator).cast("decimal(20,0)")

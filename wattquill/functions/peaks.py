@@ -33,7 +33,8 @@ def _bit(hour: Column) -> Column:
 def peak_mask(windows: Column) -> Column:
     """The peak hours of a tariff as 24 bits, worked out once per tariff row."""
     hours = F.filter(F.sequence(F.lit(0), F.lit(len(HOURS) - 1)), lambda h: is_peak(h, windows))
-    return F.aggregate(hours, F.lit(0), lambda mask, hour: mask.bitwiseOR(_bit(hour)))
+    mask = F.aggregate(hours, F.lit(0), lambda bits, hour: bits.bitwiseOR(_bit(hour)))
+    return F.when(windows.isNotNull(), mask)
 
 
 def masked_sum(by_hour: Column, mask: Column) -> Column:
