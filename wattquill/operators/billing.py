@@ -17,6 +17,7 @@ from wattquill.operators.usage import (
 )
 
 _RATE = "decimal(10,6)"
+_TARIFF = ["peak_rate", "off_peak_rate", "daily_charge"]
 PERIOD_KEY = ["customer_id", "start_date", "end_date"]
 BILL_COLUMNS = [
     "segment",
@@ -147,26 +148,22 @@ def bill_from_profiles(
     Readings become one profile per customer and day in a single shuffle; the requested days join
     it on the same key, and the bill itself is a projection over the summed days.
     """
-    periods = distinct_periods(requests)
-    priced = periods.join(
+    priced = distinct_periods(requests).join(
         customer_tariffs(customers, tariffs).withColumn("_known", F.lit(True)), "customer_id", "left"
     )
-    days = period_days(priced.filter("_known").select(*PERIOD_KEY, "peak_mask"))
-    peak = masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))
+    days = period_days(priced, F.col("peak_mask").isNotNull())
     usage = (
-        days.join(profiles, ["customer_id", "reading_date"])
-        .groupBy(*PERIOD_KEY)
+        days.join(profiles, ["customer_id", "reading_date"], "left")
+        .groupBy(*PERIOD_KEY, "segment", "_known", *_TARIFF)
         .agg(
-            F.sum(peak).alias("peak_wh"),
+            F.sum(masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))).alias("peak_wh"),
             F.sum("wh").alias("_wh"),
             F.sum("row_count").alias("row_count"),
             F.sum("null_reading_count").alias("null_reading_count"),
         )
         .withColumn("off_peak_wh", F.col("_wh") - F.col("peak_wh"))
     )
-    costs = _with_costs(
-        priced.join(usage, PERIOD_KEY, "left"), F.coalesce(F.col("_known"), F.lit(False))
-    )
+    costs = _with_costs(usage, F.coalesce(F.col("_known"), F.lit(False)))
     return answer_requests(requests, costs, BILL_COLUMNS)
 
 

@@ -42,8 +42,8 @@ def _figures(usage: DataFrame, keys: list[str]) -> DataFrame:
         (load_factor_milli(wh, top, n).cast("double") / thousand).alias("load_factor"),
         (rounded_ratio(wh, n, 0).cast("double") / thousand).alias("average_load_kwh"),
         (top.cast("double") / thousand).alias("peak_load_kwh"),
-        n.alias("reading_count"),
-        F.col("null_reading_count"),
+        F.when(found, n).alias("reading_count"),
+        F.when(found, F.col("null_reading_count")).alias("null_reading_count"),
         F.when(found, charged_days(F.col("start_date"), F.col("end_date"))).alias("period_days"),
         F.when(found, F.lit("ok")).otherwise("no_readings").alias("status"),
     )
@@ -60,19 +60,17 @@ def load_factor(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
 def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """`load_factor` from daily profiles, which may come from a table."""
-    periods = distinct_periods(requests)
     days = profiles.select("customer_id", "reading_date", *_SUMMARY)
     usage = (
-        period_days(periods)
-        .join(days, ["customer_id", "reading_date"])
+        period_days(distinct_periods(requests))
+        .join(days, ["customer_id", "reading_date"], "left")
         .groupBy(*PERIOD_KEY)
         .agg(
             *[F.sum(c).alias(c) for c in _SUMMARY if c != "max_wh"],
             F.max("max_wh").alias("max_wh"),
         )
     )
-    answered = _figures(periods.join(usage, PERIOD_KEY, "left"), PERIOD_KEY)
-    return answer_requests(requests, answered, LOAD_COLUMNS)
+    return answer_requests(requests, _figures(usage, PERIOD_KEY), LOAD_COLUMNS)
 
 
 def load_factor_period(readings: DataFrame, start_date: str, end_date: str) -> DataFrame:

@@ -14,23 +14,40 @@ from wattquill.functions.numeric import watt_hours
 from wattquill.functions.peaks import HOURS
 
 
-def in_period(readings: DataFrame, start_date: str | Column, end_date: str | Column) -> DataFrame:
-    """Readings of the days start..end, both included; bounds are text or columns.
-
-    The upper bound is the start of the next day, so fractions of the last second belong to it.
-    Tables partitioned by `reading_date` are pruned by it.
-    """
-    start = start_date if not isinstance(start_date, str) else F.lit(start_date).cast("date")
-    end = end_date if not isinstance(end_date, str) else F.lit(end_date).cast("date")
-    kept = readings.filter(
-        (F.col("timestamp") >= start.cast("timestamp_ntz"))
-        & (F.col("timestamp") < F.date_add(end, 1).cast("timestamp_ntz"))
-    )
+def _between(readings: DataFrame, bounds: list[Column], days: list[Column]) -> DataFrame:
+    """Readings in [lower, upper); tables partitioned by `reading_date` are pruned by the days."""
+    lower, upper = bounds
+    kept = readings.filter((F.col("timestamp") >= lower) & (F.col("timestamp") < upper))
     if "reading_date" in readings.columns:
-        kept = kept.filter(F.col("reading_date").between(start, end))
+        kept = kept.filter(F.col("reading_date").between(*days))
     return kept
 
 
+def _as_bounds(start: Column, end: Column) -> list[Column]:
+    """Start of the first day and start of the day after the last, so fractions of the last second
+    belong to the period."""
+    return [start.cast("timestamp_ntz"), F.date_add(end, 1).cast("timestamp_ntz")]
+
+
+def in_period(readings: DataFrame, start_date: str, end_date: str) -> DataFrame:
+    """Readings of the days start..end, both included."""
+    days = [F.lit(start_date).cast("date"), F.lit(end_date).cast("date")]
+    return _between(readings, _as_bounds(*days), days)
+
+
+def readings_of_requests(readings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Readings between the first and the last requested day.
+
+    The bounds are scalar subqueries of the column's own type, so that the scan can use their values.
+    """
+    days = [F.min("start_date"), F.max("end_date")]
+
+    def value(column: Column) -> Column:
+        return requests.agg(column).scalar()
+
+    return _between(readings, [value(c) for c in _as_bounds(*days)], [value(c) for c in days])
+
+
 def hour_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
     """One row per key: energy by hour of day, total, largest reading and counts.
 
@@ -74,23 +91,17 @@ def distinct_periods(requests: DataFrame) -> DataFrame:
     return requests.select("customer_id", "start_date", "end_date").distinct()
 
 
-def period_days(periods: DataFrame) -> DataFrame:
-    """One row per period and day; a reversed or incomplete period has none.
+def period_days(periods: DataFrame, known: Column | None = None) -> DataFrame:
+    """One row per period and day, and one without a day for a period that has none: a reversed or
+    incomplete period, or one that is not `known`.
 
     Matching on (customer, day) keeps the join an equi-join with only matching pairs, and spreads a
     customer with very many requests or readings over its days.
     """
-    days = F.when(
-        F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date")
-    )
-    return periods.withColumn("reading_date", F.explode(days))
-
-
-def readings_of_requests(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """Readings between the first and the last requested day, so the scan skips the other days."""
-    first = requests.agg(F.min("start_date")).scalar()
-    last = requests.agg(F.max("end_date")).scalar()
-    return in_period(readings, first, last)
+    usable = F.col("start_date") <= F.col("end_date")
+    usable = usable if known is None else usable & known
+    days = F.when(usable, F.sequence("start_date", "end_date"))
+    return periods.withColumn("reading_date", F.explode_outer(days))
 
 
 def answer_requests(requests: DataFrame, answers: DataFrame, columns: Sequence[str]) -> DataFrame:

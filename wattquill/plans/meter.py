@@ -77,7 +77,9 @@ def sink_roundtrip_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _ground_truth(spark: SparkSession, d: str) -> DataFrame:
     customers, tariffs, readings = _meter(spark, d)
-    questions = wl.workload_questions(customers, MONTH_NAME, *MONTH)
+    questions = tables.materialize(
+        wl.workload_questions(customers, MONTH_NAME, *MONTH), "questions"
+    )
     profiles = tables.materialize(daily_profiles(readings), "profiles")
     return wl.ground_truth(questions, customers, tariffs, profiles)
 
