@@ -110,11 +110,21 @@ def test_bills_of_a_period_equal_requests_for_it(frames, spark):
     assert sorted(map(str, one.select(columns).collect())) == sorted(map(str, other.select(columns).collect()))
 
 
-def test_bills_from_a_profile_table(frames):
+def test_bills_from_hourly_and_from_pattern_profiles(frames):
     customers, tariffs, readings, requests = frames
-    direct = billing.bill(requests, customers, tariffs, readings)
-    rolled = billing.bill_from_profiles(requests, customers, tariffs, daily_profiles(readings))
-    assert sorted(map(str, direct.collect())) == sorted(map(str, rolled.collect()))
+    masks = billing.peak_patterns(tariffs)
+    assert len(masks) == 2
+    direct = sorted(map(str, billing.bill(requests, customers, tariffs, readings).collect()))
+    for profiles in (daily_profiles(readings), daily_profiles(readings, masks)):
+        rolled = billing.bill_from_profiles(requests, customers, tariffs, profiles)
+        assert direct == sorted(map(str, rolled.collect()))
+
+
+def test_more_patterns_than_hours_are_summed_by_hour(spark):
+    rows = [(i, f"s{i}", 0.3, 0.2, 0.1, f"0{i % 8}:00-{10 + i % 9}:00") for i in range(40)]
+    many = spark.createDataFrame(rows, constants.tariffs(spark).schema)
+    assert billing.peak_patterns(many) is None
+    assert len(billing.peak_patterns(many.limit(5))) == 5
 
 
 def test_two_tariffs_for_a_segment_fail(frames):

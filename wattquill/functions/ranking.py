@@ -1,37 +1,42 @@
-"""Row numbers that do not put a whole group into one task.
-
-The rows of a group are cut into buckets that follow the wanted order (an hour, the first digits of
-a hash). Bucket totals are small, so their running total is cheap; within a bucket an
-ordinary window does the rest. A group holding a third of all rows is thus spread over its buckets.
-Keys and bucket must not be NULL: plain equality lets the join and the window share one shuffle.
-"""
+"""Row numbers that do not put a large group into one task."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BEFORE = "_before"
-
-
-def _with_offsets(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Add `_before`: the number of rows in the earlier buckets of the same group."""
-    totals = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_total"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *keys, bucket, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias(_BEFORE)
-    )
-    return df.join(offsets, [*keys, bucket])
+HOT_ROWS = 1_000_000
 
 
 def bucketed_row_number(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str | Column], name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    order: Sequence[str | Column],
+    name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """`row_number()` over (keys ORDER BY bucket, order); `bucket` is a column of `df`."""
-    within = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = _with_offsets(df, keys, bucket).withColumn(
-        name, F.row_number().over(within) + F.col(_BEFORE)
+    """`row_number()` over (keys ORDER BY bucket, order).
+
+    `bucket` is a column of `df` that follows the order: a minute, the first digits of a hash. A
+    group of more than `hot_rows` rows is numbered bucket by bucket, and what lies in its earlier
+    buckets is added; the other groups are numbered as they are. There are few hot groups and few
+    bucket totals, so both joins are broadcast by size, or dropped at run time when no group is hot;
+    either way the rows themselves are shuffled once.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    hot = sizes.filter(F.col("_size") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    in_bucket = df.join(hot, keys, "left_semi").groupBy(*keys, bucket).agg(
+        F.count(F.lit(1)).alias("_size")
+    )
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = in_bucket.select(
+        *keys, F.col(bucket).alias("_part"), F.sum("_size").over(earlier).alias("_before")
+    )
+    parts = df.join(hot, keys, "left").withColumn("_part", F.when(F.col("_hot"), F.col(bucket)))
+    within = Window.partitionBy(*keys, "_part").orderBy(bucket, *order)
+    numbered = parts.join(offsets, [*keys, "_part"], "left").withColumn(
+        name, F.row_number().over(within) + F.coalesce(F.col("_before"), F.lit(0))
     )
-    return numbered.drop(_BEFORE)
+    return numbered.select(*df.columns, name)

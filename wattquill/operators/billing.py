@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.numeric import kwh_decimal, money
-from wattquill.functions.peaks import in_mask, masked_sum, peak_mask, peak_windows
+from wattquill.functions.peaks import HOURS, in_mask, peak_mask, peak_windows
 from wattquill.operators.usage import (
     answer_requests,
     daily_profiles,
     distinct_periods,
-    hour_profiles,
     in_period,
+    peak_wh,
     period_days,
     readings_of_requests,
+    usage_profiles,
 )
 
 _RATE = "decimal(10,6)"
@@ -56,6 +57,17 @@ def priced_segments(tariffs: DataFrame) -> DataFrame:
     )
 
 
+def peak_patterns(tariffs: DataFrame) -> list[int] | None:
+    """The different peak-hour masks, or None if there are more of them than hours.
+
+    Tariffs share a handful of patterns. Knowing them lets readings be summed by pattern in the
+    first pass; otherwise they are summed by hour. At most 25 numbers reach the driver.
+    """
+    masks = priced_segments(tariffs).select("peak_mask").filter("peak_mask IS NOT NULL").distinct()
+    found = sorted(row.peak_mask for row in masks.limit(len(HOURS) + 1).collect())
+    return found if 0 < len(found) <= len(HOURS) else None
+
+
 def tariff_windows(tariffs: DataFrame) -> DataFrame:
     """One row per tariff and peak window."""
     return tariffs.select(
@@ -136,7 +148,8 @@ def bill(
 
     `status` is the first of customer_not_found, no_tariff, no_readings that applies, else ok.
     """
-    profiles = daily_profiles(readings_of_requests(readings, requests))
+    wanted = readings_of_requests(readings, requests)
+    profiles = daily_profiles(wanted, peak_patterns(tariffs))
     return bill_from_profiles(requests, customers, tariffs, profiles)
 
 
@@ -156,7 +169,7 @@ def bill_from_profiles(
         days.join(profiles, ["customer_id", "reading_date"], "left")
         .groupBy(*PERIOD_KEY, "segment", "_known", *_TARIFF)
         .agg(
-            F.sum(masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))).alias("peak_wh"),
+            F.sum(peak_wh(profiles)).alias("peak_wh"),
             F.sum("wh").alias("_wh"),
             F.sum("row_count").alias("row_count"),
             F.sum("null_reading_count").alias("null_reading_count"),
@@ -171,11 +184,13 @@ def bill_period(
     customers: DataFrame, tariffs: DataFrame, readings: DataFrame, start_date: str, end_date: str
 ) -> DataFrame:
     """The bill of every customer for one period: no request table, hence no day matching."""
-    profiles = hour_profiles(in_period(readings, start_date, end_date))
+    profiles = usage_profiles(
+        in_period(readings, start_date, end_date), masks=peak_patterns(tariffs)
+    )
     usage = (
         customer_tariffs(customers, tariffs)
         .join(profiles, "customer_id", "left")
-        .withColumn("peak_wh", masked_sum(F.col("wh_by_hour"), F.col("peak_mask")))
+        .withColumn("peak_wh", peak_wh(profiles))
         .withColumn("off_peak_wh", F.col("wh") - F.col("peak_wh"))
         .withColumn("start_date", F.lit(start_date).cast("date"))
         .withColumn("end_date", F.lit(end_date).cast("date"))
@@ -200,9 +215,9 @@ def bills_by_segment(bills: DataFrame) -> DataFrame:
 
 def peak_split(customers: DataFrame, tariffs: DataFrame, readings: DataFrame) -> DataFrame:
     """Peak and off-peak kWh per customer with readings and a tariff."""
-    profiles = hour_profiles(readings)
+    profiles = usage_profiles(readings, masks=peak_patterns(tariffs))
     priced = customer_tariffs(customers, tariffs).filter(F.col("peak_mask").isNotNull())
-    peak = masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))
+    peak = peak_wh(profiles)
     return profiles.join(priced, "customer_id").select(
         "customer_id",
         "segment",
@@ -213,7 +228,7 @@ def peak_split(customers: DataFrame, tariffs: DataFrame, readings: DataFrame) ->
 
 def hour_shares(customers: DataFrame, tariffs: DataFrame, readings: DataFrame) -> DataFrame:
     """kWh per segment and hour of day, with the peak flag of the segment's tariff."""
-    profiles = hour_profiles(readings).select("customer_id", "wh_by_hour")
+    profiles = usage_profiles(readings).select("customer_id", "wh_by_hour")
     priced = customer_tariffs(customers, tariffs).filter(F.col("peak_mask").isNotNull())
     hours = (
         profiles.join(priced, "customer_id")

@@ -9,10 +9,10 @@ from wattquill.operators.usage import (
     answer_requests,
     daily_profiles,
     distinct_periods,
-    hour_profiles,
     in_period,
     period_days,
     readings_of_requests,
+    usage_profiles,
 )
 
 _SUMMARY = ["wh", "max_wh", "reading_count", "row_count", "null_reading_count"]
@@ -76,7 +76,7 @@ def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataF
 def load_factor_period(readings: DataFrame, start_date: str, end_date: str) -> DataFrame:
     """The load factor of every customer with readings in one period."""
     usage = (
-        hour_profiles(in_period(readings, start_date, end_date))
+        usage_profiles(in_period(readings, start_date, end_date))
         .withColumn("start_date", F.lit(start_date).cast("date"))
         .withColumn("end_date", F.lit(end_date).cast("date"))
     )

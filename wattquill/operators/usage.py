@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattquill.functions.numeric import watt_hours
-from wattquill.functions.peaks import HOURS
+from wattquill.functions.peaks import HOURS, masked_sum
 
 
 def _between(readings: DataFrame, bounds: list[Column], days: list[Column]) -> DataFrame:
@@ -48,28 +48,43 @@ def readings_of_requests(readings: DataFrame, requests: DataFrame) -> DataFrame:
     return _between(readings, [value(c) for c in _as_bounds(*days)], [value(c) for c in days])
 
 
-def hour_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """One row per key: energy by hour of day, total, largest reading and counts.
+def usage_profiles(
+    readings: DataFrame,
+    keys: Sequence[str] = ("customer_id",),
+    masks: Sequence[int] | None = None,
+) -> DataFrame:
+    """One row per key: energy by peak pattern or by hour of day, total, extremes and counts.
 
-    `wh_by_hour` has 24 entries; columns nobody selects are pruned from the aggregate. Missing
-    readings are skipped and counted in `null_reading_count`.
+    `masks` are the peak-hour patterns in use (`peak_patterns`): the row then holds the energy in
+    the peak hours of each, as a map from pattern to Wh in `peak_wh_by_mask`. Without `masks` it
+    holds `wh_by_hour`, 24 entries, from which any pattern can be summed. Columns nobody selects are
+    pruned from the aggregate. Missing readings are skipped and counted in `null_reading_count`.
     """
-    wh = watt_hours(F.col("consumption_kwh"))
-    hour = F.hour("timestamp")
-    staged = readings.select(*keys, wh.alias("_wh"), hour.alias("_hour"))
-    sums = [F.expr(f"sum(CASE WHEN _hour = {h} THEN _wh END) AS _h{h}") for h in HOURS]
+    staged = readings.select(
+        *keys, watt_hours(F.col("consumption_kwh")).alias("_wh"), F.hour("timestamp").alias("_hour")
+    )
+    if masks is None:
+        tests = [f"_hour = {hour}" for hour in HOURS]
+    else:
+        tests = [f"(shiftright({mask}, _hour) & 1) = 1" for mask in masks]
+    names = [f"_part{i}" for i in range(len(tests))]
     grouped = staged.groupBy(*keys).agg(
-        *sums,
+        *[F.expr(f"sum(CASE WHEN {t} THEN _wh END) AS {n}") for t, n in zip(tests, names, strict=True)],
         F.expr("coalesce(sum(_wh), 0L) AS wh"),
         F.max("_wh").alias("max_wh"),
         F.min("_wh").alias("min_wh"),
         F.count("_wh").alias("reading_count"),
         F.expr("count(*) AS row_count"),
     )
-    by_hour = ", ".join(f"coalesce(_h{h}, 0L)" for h in HOURS)
+    parts = [f"coalesce({name}, 0L)" for name in names]
+    if masks is None:
+        energy = f"array({', '.join(parts)}) AS wh_by_hour"
+    else:
+        pairs = ", ".join(f"{mask}, {part}" for mask, part in zip(masks, parts, strict=True))
+        energy = f"map({pairs}) AS peak_wh_by_mask"
     return grouped.select(
         *keys,
-        F.expr(f"array({by_hour}) AS wh_by_hour"),
+        F.expr(energy),
         "wh",
         "max_wh",
         "min_wh",
@@ -79,11 +94,19 @@ def hour_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -
     )
 
 
-def daily_profiles(readings: DataFrame) -> DataFrame:
-    """`hour_profiles` per customer and day."""
+def daily_profiles(readings: DataFrame, masks: Sequence[int] | None = None) -> DataFrame:
+    """`usage_profiles` per customer and day."""
     if "reading_date" not in readings.columns:
         readings = readings.withColumn("reading_date", F.to_date("timestamp"))
-    return hour_profiles(readings, ("customer_id", "reading_date"))
+    return usage_profiles(readings, ("customer_id", "reading_date"), masks)
+
+
+def peak_wh(profiles: DataFrame) -> Column:
+    """Energy of a profile in the peak hours of `peak_mask`; NULL where that is NULL."""
+    mask = F.col("peak_mask")
+    if "peak_wh_by_mask" in profiles.columns:
+        return F.when(mask.isNotNull(), F.try_element_at("peak_wh_by_mask", mask))
+    return masked_sum(F.col("wh_by_hour"), mask)
 
 
 def distinct_periods(requests: DataFrame) -> DataFrame:

@@ -80,7 +80,9 @@ def _ground_truth(spark: SparkSession, d: str) -> DataFrame:
     questions = tables.materialize(
         wl.workload_questions(customers, MONTH_NAME, *MONTH), "questions"
     )
-    profiles = tables.materialize(daily_profiles(readings), "profiles")
+    profiles = tables.materialize(
+        daily_profiles(readings, bl.peak_patterns(tariffs)), "profiles"
+    )
     return wl.ground_truth(questions, customers, tariffs, profiles)
 
 
