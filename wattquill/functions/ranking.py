@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 10_000_000
 
 
 def bucketed_row_number(
@@ -20,13 +20,17 @@ def bucketed_row_number(
 
     `bucket` is a column of `df` that follows the order: a minute, the first digits of a hash. A
     group of more than `hot_rows` rows is numbered bucket by bucket, and what lies in its earlier
-    buckets is added; the other groups are numbered as they are. There are few hot groups and few
-    bucket totals, so both joins are broadcast by size, or dropped at run time when no group is hot;
-    either way the rows themselves are shuffled once.
+    buckets is added; the other groups are numbered as they are.
+
+    The keys of the hot groups are broadcast: n rows have at most n / hot_rows of them, a million
+    keys for ten trillion rows. The bucket totals are joined on what the window is partitioned by,
+    so the rows themselves are shuffled once.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.filter(F.col("_size") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    hot = F.broadcast(
+        sizes.filter(F.col("_size") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    )
     in_bucket = df.join(hot, keys, "left_semi").groupBy(*keys, bucket).agg(
         F.count(F.lit(1)).alias("_size")
     )
