@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattquill.operators import billing, loadfactor, plotdata
+from wattquill.operators.aggregate import aggregate_by_lookup
 from wattquill.operators.usage import daily_profiles
-from wattquill.sources import constants
+from wattquill.sources import constants, testdata
 
 READINGS = "reading_id bigint, customer_id bigint, timestamp timestamp_ntz, consumption_kwh decimal(12,3)"
 REQUESTS = "request_id string, customer_id bigint, start_date date, end_date date"
@@ -215,3 +216,13 @@ def test_series_sum_to_the_readings(data, frames):
             by_segment[data[0][customer]] += kwh or 0
     got = {r.segment: r.total_consumption for r in plotdata.total_by_segment(readings, customers).collect()}
     assert got == {s: float(v) for s, v in by_segment.items()}
+
+
+def test_control_values_of_peak_energy(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    tables = [getattr(testdata, name)(spark, sf_dir) for name in ("customers", "tariffs", "readings")]
+    shares = billing.hour_shares(*tables).filter("is_peak").groupBy("segment").agg(F.sum("kwh").alias("kwh"))
+    got = {r.segment: round(r.kwh, 2) for r in shares.collect()}
+    assert got == {"residential": 61363.91, "commercial": 98895.85}
+    counts = aggregate_by_lookup(tables[2], tables[0], "customer_id", "count", "consumption_kwh", "segment")
+    assert {r.segment: r.result for r in counts.collect()} == {"residential": 4141, "commercial": 5859}
