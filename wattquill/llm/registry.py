@@ -4,13 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattquill.llm import pii, toxicity
+from wattquill.llm import fingerprint, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_pii": pii.op2_pii,
+        "op3_fingerprint": fingerprint.op3_fingerprint,
     }
 
 
