@@ -6,8 +6,10 @@ The package is pickled by value, so executors need no copy of it on their path.
 from __future__ import annotations
 
 import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules["wattquill.llm"])
 
 SLICE_BYTES = 4_000_000
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +67,17 @@ def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     return column.cast(pa.string()) if not pa.types.is_string(column.type) else column
 
 
+def once_per_worker(name: str, make: Callable[[], T]) -> T:
+    """What `make` returns, kept for later tasks of the same Python worker.
+
+    Code that is pickled by value has new globals in each task; a module entry outlives them.
+    """
+    kept = sys.modules.setdefault("wattquill_kept", types.ModuleType("wattquill_kept"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
+
+
 class Words:
     """The words of a run of texts, lower case: maximal runs of letters, marks, digits and `_`.
 
