@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from wattquill.llm.common import Words, slices, table, texts_of, with_text
 
 EXAMPLES = 6000
-LEXICON = 2048
+LEXICON = 512
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 4
+KEPT_VOTES = 100_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5)
 
@@ -76,29 +78,42 @@ def in_lexicon(texts: pa.Array, lexicon: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 
 class BlockMaxIndex:
-    """Distinct unit vectors with the greatest weight of each term in each block."""
+    """Weights of distinct unit vectors by term, in blocks, with the greatest weight of each block."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
         pad = (-len(vectors)) % BLOCK
-        full = np.vstack([vectors, np.zeros((pad, vectors.shape[1]))])
-        self.bounds = full.reshape(-1, BLOCK, vectors.shape[1]).max(axis=1)
+        full = np.vstack([vectors, np.zeros((pad, vectors.shape[1]))]).astype(np.float32)
+        self.lists = np.ascontiguousarray(full.T).reshape(vectors.shape[1], -1, BLOCK)
+        self.bounds = self.lists.max(axis=2).astype(np.float64)
 
     def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine over 0; ties to the smaller place."""
+        """Places and cosines of the k nearest with a cosine over 0; ties to the smaller place.
+
+        The blocks with the highest bounds set the cosine to beat; then every block whose bound
+        reaches it is read, and no other.
+        """
         terms = np.flatnonzero(query)
-        bound = self.bounds[:, terms] @ query[terms]
-        best, place = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-9:
-                break
-            first = block * BLOCK
-            score = np.round(self.vectors[first : first + BLOCK][:, terms] @ query[terms], 12)
-            hit = np.flatnonzero(score > 0)
-            place, best = np.r_[place, first + hit], np.r_[best, score[hit]]
-            order = np.lexsort((place, -best))[:k]
-            place, best = place[order], best[order]
-        return place, best
+        weight = query[terms]
+        bound = weight @ self.bounds[terms]
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        place, best = self.top(terms, weight, first[bound[first] > 0], k)
+        least = best[-1] if len(best) == k else 0.0
+        rest = (bound > 0) & (bound >= least - 1e-6)
+        rest[first] = False
+        more, cosine = self.top(terms, weight, np.flatnonzero(rest), k)
+        place, best = np.r_[place, more], np.r_[best, cosine]
+        order = np.lexsort((place, -best))[:k]
+        return place[order], best[order]
+
+    def top(self, terms, weight, blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = self.lists[terms[:, None], blocks[None, :]].astype(np.float64)
+        score = np.round(np.tensordot(weight, part, axes=1).ravel(), 9)
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        place = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+        order = np.lexsort((place, -score[hit]))[:k]
+        return place[order], score[hit][order]
 
 
 @dataclass
@@ -323,11 +338,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     ).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 row, term, count = in_lexicon(texts_of(part, "text"), names)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                scores, evidence, known = [], [], {}
+                scores, evidence = [], []
+                if len(known) > KEPT_VOTES:
+                    known.clear()
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     key = (term[a:b].tobytes(), count[a:b].tobytes())
                     if key not in known:
