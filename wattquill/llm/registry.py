@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattquill.llm import fingerprint, jaccard, packing, pii, toxicity
+from wattquill.llm import fingerprint, jaccard, packing, passages, pii, toxicity, voronoi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op5_jaccard": jaccard.op5_jaccard,
         "op8_packing": packing.op8_packing,
+        "op9_voronoi": voronoi.op9_voronoi,
+        "op10_passages": passages.op10_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_voronoi": voronoi.OP9_SQL,
+    }
