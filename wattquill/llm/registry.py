@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattquill.llm import fingerprint, jaccard, packing, passages, pii, toxicity, voronoi
+from wattquill.llm import fingerprint, jaccard, layout, packing, passages, pii, toxicity, voronoi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_pii": pii.op2_pii,
         "op3_fingerprint": fingerprint.op3_fingerprint,
+        "op4_layout": layout.op4_layout,
         "op5_jaccard": jaccard.op5_jaccard,
         "op8_packing": packing.op8_packing,
         "op9_voronoi": voronoi.op9_voronoi,
