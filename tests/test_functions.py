@@ -108,14 +108,16 @@ def test_ratio_by_zero_is_null(frame):
     assert rows.select(numeric.rounded_ratio(F.col("n"), F.col("d"), 2)).first()[0] is None
 
 
-@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
-def test_bucketed_row_number_with_a_hot_key(frame, hot_rows):
+@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("levels", [["bucket"], ["wide", "bucket"]])
+def test_bucketed_row_number_with_a_hot_key(frame, levels, partitions):
     """One key holds most rows; numbers must be those of one ordered pass."""
     rows = [("hot", i // 7, (i * 31) % 500, i) for i in range(500)]
     rows += [(f"k{i % 20}", i % 3, i % 5, 1000 + i) for i in range(100)]
     rows += [(None, 1, i, 2000 + i) for i in range(5)]
-    df = frame(rows, "k string, bucket int, o int, id int")
-    got = ranking.bucketed_row_number(df, ["k"], "bucket", ["o", "id"], "rn", hot_rows).collect()
+    df = frame(rows, "k string, bucket int, o int, id int").repartition(partitions)
+    df = df.withColumn("wide", F.floor(F.col("bucket") / 10))
+    got = ranking.bucketed_row_number(df, ["k"], levels, ["o", "id"], "rn").collect()
     expected, seen = {}, {}
     for k, bucket, o, i in sorted(rows, key=lambda r: r[1:]):
         seen[k] = seen.get(k, 0) + 1

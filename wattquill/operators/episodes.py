@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.hashing import digest
-from wattquill.functions.ranking import HOT_ROWS, bucketed_row_number
+from wattquill.functions.ranking import bucketed_row_number
 from wattquill.functions.text import last_number
 
 
@@ -177,12 +177,11 @@ def epoch_batches(
     batch_size: int = fv.BATCH_SIZE,
     seed: int = fv.DEFAULT_SEED,
     bucket_digits: int = 3,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(epoch, key, position, batch): the workload in a new order each epoch, cut into batches.
 
     The order is that of a hash of (key, epoch). Its first `bucket_digits` hex digits cut an epoch
-    of more than `hot_rows` questions into 16^digits even buckets that are numbered in parallel;
+    into even buckets, as many digits again cut those: 16 million buckets with three.
     `key` is unique in the workload.
     """
     shuffled = (
@@ -190,9 +189,10 @@ def epoch_batches(
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
         .withColumn("_order", digest(F.col(key), F.col("epoch"), seed))
         .withColumn("_bucket", F.substring("_order", 1, bucket_digits))
+        .withColumn("_part", F.substring("_order", bucket_digits + 1, bucket_digits))
     )
     numbered = bucketed_row_number(
-        shuffled, ["epoch"], "_bucket", ["_order", key], "position", hot_rows
+        shuffled, ["epoch"], ["_bucket", "_part"], ["_order", key], "position"
     )
     batch = F.floor((F.col("position") - 1) / batch_size)
     return numbered.select("epoch", key, "position", batch.alias("batch"))

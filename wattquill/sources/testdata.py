@@ -135,8 +135,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (episode_id, step, event_id, value, response, prompt_tokens, completion_tokens)
     """
-    events = table(spark, sf_dir, "events").withColumn("_minute", F.date_trunc("minute", "ts"))
-    numbered = bucketed_row_number(events, ["user_id"], "_minute", ["ts", "event_id"], "rn")
+    units = {"_day": "day", "_minute": "minute", "_second": "second"}
+    events = table(spark, sf_dir, "events").withColumns(
+        {name: F.date_trunc(unit, "ts") for name, unit in units.items()}
+    )
+    numbered = bucketed_row_number(events, ["user_id"], list(units), ["ts", "event_id"], "rn")
     index = F.col("rn") - 1
     spoken = computed_once(
         numbered, ["rn", "user_id", "event_id", "event_type", "value"], response=_step_text()
