@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattquill.llm import fingerprint, jaccard, layout, packing, passages, pii, toxicity, voronoi
+import corpus_pipeline
+from wattquill.llm import fingerprint, jaccard, layout, mixing, packing, passages, pii, quotes, toxicity, voronoi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,13 +15,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_layout": layout.op4_layout,
         "op5_jaccard": jaccard.op5_jaccard,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_quotes": quotes.op7_quotes,
         "op8_packing": packing.op8_packing,
         "op9_voronoi": voronoi.op9_voronoi,
         "op10_passages": passages.op10_passages,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_mixing": mixing.op6_sql(),
         "op9_voronoi": voronoi.OP9_SQL,
     }
