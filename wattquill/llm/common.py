@@ -48,6 +48,21 @@ def with_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 
+def set_aside(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The needed columns and a struct `_row` of all others, and a function that puts them back.
+
+    Whatever the other columns are called, they can't clash with those of an operator.
+    """
+    needed = [c for c in df.columns if c in needed]
+    others = [c for c in df.columns if c not in needed]
+    quoted = [F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(c) if c in needed else F.col("_row")[c].alias(c) for c in df.columns])
+
+    return df.select(*needed, F.struct(*quoted).alias("_row")), back
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most `most` bytes of text; a longer text is a run of its own."""
     if not batch.num_rows:

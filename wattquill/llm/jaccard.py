@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import Words, mixed, slices, stored, table, texts_of, windows, with_text
+from wattquill.llm.common import Words, mixed, set_aside, slices, stored, table, texts_of, windows, with_text
 from wattquill.llm.components import components
 
 SHINGLE = 5
@@ -277,8 +277,8 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the smallest id, or any without one."""
-    names = docs.columns
     found = linked(docs)
+    docs, back = set_aside(docs, ["doc_id", "text"])
     keep = found.groupBy("class_node").agg(F.min(F.struct(F.when(F.col("key") == NO_ID, F.lit(1)).otherwise(0).alias("bare"), "key", "node")).alias("best")).select("best.key", "best.node")
     keep = stored(keep, "kept")
     schema = docs.schema
@@ -293,4 +293,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.mapInArrow(mark, docs.limit(0).withColumn("_node", F.lit(b"")).schema)
     marked = marked.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
     chosen = keep.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
-    return marked.join(chosen, ["_key", "_node"]).dropDuplicates(["_key", "_node"]).select(*names)
+    return back(marked.join(chosen, ["_key", "_node"]).dropDuplicates(["_key", "_node"]))

@@ -432,8 +432,8 @@ def rendered(source: str) -> tuple[str, str]:
 
 def with_layout(pages: DataFrame, column: str = "html") -> DataFrame:
     """`pages` without the column of markup, with `page_title` and `page_text`."""
-    rest = [c for c in pages.columns if c != column]
-    out = pages.limit(0).drop(column).withColumns({"page_title": F.lit(""), "page_text": F.lit("")}).schema
+    rest = [c for c in pages.columns if c not in (column, "page_title", "page_text")]
+    out = pages.limit(0).select(*rest).withColumns({"page_title": F.lit(""), "page_text": F.lit("")}).schema
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

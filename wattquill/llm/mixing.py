@@ -27,9 +27,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import stored, table
+from wattquill.llm.common import set_aside, stored, table
 
-TEMPER = 0.7
+TEMPER = 0.9
 SWEEPS = 10
 MARGINS = ("source", "lang", "topic")
 
@@ -101,7 +101,7 @@ def chance(doc_id: Column) -> Column:
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The documents kept, with mix_tokens, mix_topic and mix_share."""
-    docs = described(docs)
+    docs = described(docs.drop("mix_share"))
     cells = shares(docs, targets).select(
         *[F.col(m).alias(f"_cell_{m}") for m in MARGINS], F.col("share").alias("mix_share")
     )
@@ -130,7 +130,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the sample."""
-    return sampled(docs).select(*docs.columns)
+    rows, back = set_aside(docs, ["doc_id", "text", "source", "lang"])
+    return back(sampled(rows))
 
 
 def op6_sql() -> str:
@@ -144,9 +145,9 @@ d AS (SELECT doc_id, source, lang, tokens, CASE WHEN tokens < 100 THEN 'fragment
   WHEN (length(text) - length(translate(text, chr(10), ''))) * 60 > tokens THEN 'lines'
   ELSE 'prose' END AS topic FROM n),
 c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
-s0 AS (SELECT *, pow(sum(tokens) OVER (PARTITION BY source), 0.7) AS source_target,
-  pow(sum(tokens) OVER (PARTITION BY lang), 0.7) AS lang_target,
-  pow(sum(tokens) OVER (PARTITION BY topic), 0.7) AS topic_target, 1.0::DOUBLE AS factor FROM c)"""
+s0 AS (SELECT *, pow(sum(tokens) OVER (PARTITION BY source), 0.9) AS source_target,
+  pow(sum(tokens) OVER (PARTITION BY lang), 0.9) AS lang_target,
+  pow(sum(tokens) OVER (PARTITION BY topic), 0.9) AS topic_target, 1.0::DOUBLE AS factor FROM c)"""
     ]
     last = "s0"
     for k in range(1, 11):

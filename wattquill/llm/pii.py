@@ -448,8 +448,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 def found_spans(docs: DataFrame, field: Field, redact: bool = False) -> DataFrame:
     """`docs` with `pii_base` and `pii_spans`; with `redact` instead with its text and its length
     as they are after redaction."""
-    schema = docs.schema
-    names = schema.names
+    if not redact:
+        docs = docs.drop("pii_base", "pii_spans")
+    names = docs.columns
     out = docs.limit(0) if redact else docs.limit(0).withColumns({"pii_base": F.lit(""), "pii_spans": F.lit("")})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

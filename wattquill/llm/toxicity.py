@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import Words, slices, table, texts_of, with_text
+from wattquill.llm.common import Words, set_aside, slices, table, texts_of, with_text
 
 EXAMPLES = 6000
 LEXICON = 512
@@ -332,6 +332,7 @@ def calibration(x, y, weight, ids) -> tuple[float, float]:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with `toxic_score` (0 to 1) and `toxic_evidence` (ids of the examples that voted)."""
     names = pa.array(model.lexicon, pa.string())
+    docs = docs.drop("toxic_score", "toxic_evidence")
     schema = docs.schema
     out = docs.limit(0).withColumns(
         {"toxic_score": F.lit(0.0), "toxic_evidence": F.lit(None).cast("array<bigint>")}
@@ -381,6 +382,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not rejected."""
-    names = docs.columns
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter(~rejected(F.col("toxic_score"))).select(*names)
+    rows, back = set_aside(docs, ["doc_id", "text"])
+    return back(scored(rows, model).filter(~rejected(F.col("toxic_score"))))
