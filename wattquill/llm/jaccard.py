@@ -112,8 +112,10 @@ def candidates(nodes: DataFrame, prefix: int) -> DataFrame:
         ).alias("path"),
     )
     shared = paths.groupBy("path").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b != c")
+    # read from a table of its own, a path that very many nodes share can be split in the join
+    shared = stored(shared.select("path", "b"), "paths")
     return (
-        paths.join(shared.select("path", "b"), "path")
+        paths.join(shared, "path")
         .filter("node != b")
         .select(F.col("node").alias("a"), "b")
         .distinct()
@@ -209,7 +211,10 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     rows = stored(sketches(keyed, prefix), "sketches")
     nodes = stored(
         rows.groupBy("node").agg(
-            F.min("key").alias("key"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")
+            # a null id only if no copy has another
+            F.coalesce(F.min(F.when(F.col("key") != NO_ID, F.col("key"))), F.lit(NO_ID)).alias("key"),
+            F.count("*").alias("copies"),
+            F.any_value("signature").alias("signature")
         ),
         "nodes",
     )

@@ -107,6 +107,8 @@ def links(rows: DataFrame) -> DataFrame:
         .groupBy("conv_id", "unit")
         .agg(F.min("turn").alias("reply_to"))
     )
+    # read from a table of its own, a sentence that very many messages quote can be split in the join
+    first = stored(first, "originals")
     return (
         asked.join(first, ["conv_id", "unit"])
         .filter("reply_to < turn")

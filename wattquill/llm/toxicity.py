@@ -353,7 +353,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                         one = np.zeros(b - a, np.int64)
                         query = unit_vectors(1, one, term[a:b], count[a:b], model.idf)[0]
                         vote, ids = model.examples.vote(query)
-                        known[key] = model.calibrated(vote), ids
+                        # without neighbours the vote is an observed share already
+                        known[key] = (model.calibrated(vote) if ids else vote), ids
                     scores.append(known[key][0])
                     evidence.append(known[key][1])
                 yield pa.RecordBatch.from_arrays(
