@@ -80,7 +80,9 @@ def shares(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     for margin in MARGINS:
         cells = weighted(cells, margin, (targets or {}).get(margin))
     cells = cells.withColumn("factor", F.lit(1.0))
-    for _ in range(sweeps):
+    for sweep in range(sweeps):
+        if sweep and sweep % SWEEPS == 0:
+            cells = stored(cells, "factors")
         for margin in MARGINS:
             total = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(margin))
             cells = cells.withColumn(
