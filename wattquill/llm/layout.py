@@ -137,6 +137,8 @@ class Paper:
     def end_line(self) -> None:
         """A break: an empty line counts."""
         self.start()
+        if not self.now:
+            self.lines.append("")
         self.flush()
 
     def ask(self, gap: int) -> None:
@@ -433,7 +435,7 @@ def rendered(source: str) -> tuple[str, str]:
 def with_layout(pages: DataFrame, column: str = "html") -> DataFrame:
     """`pages` without the column of markup, with `page_title` and `page_text`."""
     rest = [c for c in pages.columns if c not in (column, "page_title", "page_text")]
-    out = pages.limit(0).select(*rest).withColumns({"page_title": F.lit(""), "page_text": F.lit("")}).schema
+    out = pages.limit(0).select(*rest).withColumns({c: F.lit(None).cast("string") for c in ("page_title", "page_text")}).schema
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
