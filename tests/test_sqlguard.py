@@ -1,6 +1,6 @@
 import pytest
 
-from wattquill.operators.sqlguard import dedup_names, guarded_sql, has_own_limit, preview
+from wattquill.operators.sqlguard import dedup_names, guarded_sql, preview
 
 
 @pytest.fixture(autouse=True)
@@ -36,6 +36,13 @@ def views(spark):
         "SELECT 1 AS `a'`, reflect('java.lang.Math', 'abs', -1) AS `b'`",
         "SELECT IDENTIFIER('ref' || 'lect')('java.lang.Math', 'abs', -1)",
         "SELECT /* ' */ reflect('java.lang.Math', 'abs', -1) /* ' */",
+        "SELECT /* /* */ ' */ java_method('java.lang.Math','abs',-7) AS x /* ' */",
+        "SELECT /* /* */ ' */ reflect('java.lang.Math','abs',-7) AS x /* ' */",
+        "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', -1))",
+        "SELECT (SELECT max(r) FROM (SELECT reflect('java.lang.Math', 'abs', -1) AS r))",
+        "SELECT transform(array(1), x -> reflect('java.lang.Math', 'abs', x))",
+        "SELECT * FROM customers ORDER BY reflect('java.lang.Math', 'abs', -1)",
+        "WITH c AS (SELECT reflect('java.lang.Math', 'abs', -1) AS r) SELECT * FROM c",
     ],
 )
 def test_anything_but_a_select_is_refused(spark, statement):
@@ -43,11 +50,24 @@ def test_anything_but_a_select_is_refused(spark, statement):
         guarded_sql(spark, statement)
 
 
-def test_reading_files_by_path_is_refused(spark, small):
-    before = spark.conf.get("spark.sql.runSQLOnFiles")
-    with pytest.raises(RuntimeError):
-        guarded_sql(spark, f"SELECT * FROM parquet.`{small}/events.parquet`")
-    assert spark.conf.get("spark.sql.runSQLOnFiles") == before
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT * FROM parquet.`{}/events.parquet`",
+        "SELECT (SELECT count(*) FROM parquet.`{}/events.parquet`)",
+        "SELECT * FROM customers WHERE EXISTS (SELECT 1 FROM parquet.`{}/events.parquet`)",
+        "WITH f AS (SELECT * FROM parquet.`{}/events.parquet`) SELECT count(*) FROM f",
+    ],
+)
+def test_reading_files_by_path_is_refused(spark, small, statement):
+    with pytest.raises(ValueError, match="only registered views"):
+        guarded_sql(spark, statement.format(small))
+
+
+def test_queries_without_a_view_are_allowed(spark):
+    assert guarded_sql(spark, "SELECT sum(id) AS s FROM range(5)").first().s == 10
+    assert guarded_sql(spark, "SELECT * FROM VALUES (1), (2) AS t(x)").count() == 2
+    assert guarded_sql(spark, "SELECT reflected FROM (SELECT 'reflect(x)' AS reflected) -- reflect(").count() == 1
 
 
 def test_harmless_words_are_allowed(spark):
@@ -72,12 +92,21 @@ def test_row_limits(spark):
     assert guarded_sql(spark, inner, row_limit=10, strict=False).count() == 10
 
 
-def test_own_limit_detection():
-    assert has_own_limit("select 1 limit 5")
-    assert has_own_limit("select 1 LIMIT 5 offset 2 ")
-    assert not has_own_limit("select credit_limit from t")
-    assert not has_own_limit("select * from (select 1 limit 5)")
-    assert not has_own_limit("select 'limit 5'")
+@pytest.mark.parametrize(
+    ("statement", "rows"),
+    [
+        ("SELECT * FROM customers LIMIT 30", 30),
+        ("SELECT * FROM customers ORDER BY 1 LIMIT 30 OFFSET 2", 30),
+        ("WITH c AS (SELECT * FROM customers) SELECT * FROM c LIMIT 30", 30),
+        ("SELECT credit_limit FROM customers", 10),
+        ("SELECT * FROM (SELECT * FROM customers LIMIT 30)", 10),
+        ("SELECT customer_id, 'limit 5' FROM customers /* LIMIT 30 */", 10),
+        ("SELECT * FROM customers /* /* */ LIMIT 30 */", 10),
+        ("SELECT * FROM customers LIMIT ALL", 10),
+    ],
+)
+def test_own_limit_detection(spark, statement, rows):
+    assert guarded_sql(spark, statement, row_limit=10, strict=False).count() == rows
 
 
 def test_order_is_kept_and_envelope(spark):

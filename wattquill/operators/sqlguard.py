@@ -1,45 +1,72 @@
 """Read-only SQL for callers that are not trusted with more.
 
 The statement becomes a subquery of a SELECT, so whatever is not a query fails to parse; words such
-as `updated_at` or a literal 'Drop' stay allowed. Two ways out of a pure SELECT are closed as well:
-functions that call into the JVM (by name, or by a name put together in an IDENTIFIER clause), and
-reading files by path.
+as `updated_at` or a literal 'Drop' stay allowed. What it may read and call is decided on the plan
+that Spark's analyser makes of it, not on its text: calls into the JVM by name are refused wherever
+they stand, and so is every relation but the registered views (tables of the catalog, files by path).
+What a registered view contains is its owner's business.
 """
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from wattquill.fixed_values import DEFAULT_ROW_LIMIT
 
-DENIED_CALLS = ("java_method", "reflect", "try_reflect", "identifier")
-_FILES = "spark.sql.runSQLOnFiles"
-_QUOTED = re.compile(
-    r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""",
-    re.DOTALL,
-)
-_INNERMOST = re.compile(r"\([^()]*\)")
-_OWN_LIMIT = re.compile(r"\blimit\s+(?:\d+|all)(?:\s+offset\s+\d+)?\s*$", re.IGNORECASE)
+_VIEW = "View"
+# leaves that hold no stored data
+_OWN_ROWS = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+_WRAPPERS = {"SubqueryAlias", "WithCTE"}
 
 
-def _code_only(query: str) -> str:
-    """The statement without literals and comments, and with bare words for quoted identifiers."""
+def _kind(node: JavaObject) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
 
-    def keep_words(match: re.Match) -> str:
-        token = match.group()
-        return re.sub(r"\W", "_", token[1:-1]) if token.startswith("`") else " "
 
-    return _QUOTED.sub(keep_words, query)
+def _items(sequence: JavaObject) -> list[JavaObject]:
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
-def has_own_limit(query: str) -> bool:
-    """Whether the statement itself, not a subquery or a column name, ends in LIMIT."""
-    code, previous = _code_only(query), None
-    while code != previous:
-        code, previous = _INNERMOST.sub(" ", code), code
-    return bool(_OWN_LIMIT.search(code))
+def _expressions(expression: JavaObject) -> Iterator[JavaObject]:
+    pending = [expression]
+    while pending:
+        current = pending.pop()
+        yield current
+        pending += _items(current.children())
+
+
+def _nodes(plan: JavaObject) -> Iterator[JavaObject]:
+    """The nodes of a plan and of the subqueries in its expressions, down to registered views."""
+    pending = [plan]
+    while pending:
+        node = pending.pop()
+        yield node
+        if _kind(node) != _VIEW:
+            pending += _items(node.children()) + _items(node.subqueries())
+
+
+def _refuse_what_is_not_a_query_over_views(plan: JavaObject) -> None:
+    for node in _nodes(plan):
+        if _kind(node) == _VIEW:
+            continue
+        if not node.children().size() and _kind(node) not in _OWN_ROWS:
+            raise ValueError(f"only registered views may be read, not a {_kind(node)}")
+        for top in _items(node.expressions()):
+            for expression in _expressions(top):
+                if "Reflect" in _kind(expression):
+                    name = expression.prettyName()
+                    raise ValueError(f"{name} is not allowed, only read-only SELECT is")
+
+
+def _has_own_limit(plan: JavaObject) -> bool:
+    """Whether the statement inside the outer SELECT, not one of its subqueries, ends in LIMIT."""
+    node = plan.children().apply(0)
+    while _kind(node) in _WRAPPERS:
+        node = node.plan() if _kind(node) == "WithCTE" else node.children().apply(0)
+    return _kind(node) == "GlobalLimit"
 
 
 def dedup_names(names: Sequence[str]) -> list[str]:
@@ -69,22 +96,16 @@ def guarded_sql(
     ValueError, a failing one RuntimeError.
     """
     text = re.sub(r"[;\s]+\Z", "", query)
-    code = _code_only(text).lower()
-    for name in DENIED_CALLS:
-        if re.search(rf"\b{name}\s*\(", code):
-            raise ValueError(f"{name} is not allowed, only read-only SELECT is")
-    capped = row_limit is not None and (strict or not has_own_limit(text))
-    wrapped = f"SELECT * FROM (\n{text}\n)" + (f" LIMIT {int(row_limit)}" if capped else "")
-    before = spark.conf.get(_FILES)
-    spark.conf.set(_FILES, "false")
     try:
-        df = spark.sql(wrapped)
+        df = spark.sql(f"SELECT * FROM (\n{text}\n)")
+        plan = df._jdf.queryExecution().analyzed()
     except PySparkException as error:
         if "PARSE_SYNTAX_ERROR" in str(error):
             raise ValueError(f"only a single read-only SELECT is allowed: {error}") from error
         raise RuntimeError(f"query failed: {error}") from error
-    finally:
-        spark.conf.set(_FILES, before)
+    _refuse_what_is_not_a_query_over_views(plan)
+    if row_limit is not None and (strict or not _has_own_limit(plan)):
+        df = df.limit(int(row_limit))
     return df.toDF(*dedup_names(df.columns))
 
 
