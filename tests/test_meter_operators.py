@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattquill.operators import billing, loadfactor, plotdata
 from wattquill.operators.aggregate import aggregate_by_lookup
-from wattquill.operators.usage import daily_profiles
+from wattquill.operators.usage import daily_profiles, period_days, reading_span, usage_profiles
 from wattquill.sources import constants, testdata
 
 READINGS = "reading_id bigint, customer_id bigint, timestamp timestamp_ntz, consumption_kwh decimal(12,3)"
@@ -111,21 +111,47 @@ def test_bills_of_a_period_equal_requests_for_it(frames, spark):
     assert sorted(map(str, one.select(columns).collect())) == sorted(map(str, other.select(columns).collect()))
 
 
-def test_bills_from_hourly_and_from_pattern_profiles(frames):
+def test_bills_from_profiles(frames):
     customers, tariffs, readings, requests = frames
-    masks = billing.peak_patterns(tariffs)
-    assert len(masks) == 2
     direct = sorted(map(str, billing.bill(requests, customers, tariffs, readings).collect()))
-    for profiles in (daily_profiles(readings), daily_profiles(readings, masks)):
-        rolled = billing.bill_from_profiles(requests, customers, tariffs, profiles)
-        assert direct == sorted(map(str, rolled.collect()))
+    rolled = billing.bill_from_profiles(requests, customers, tariffs, daily_profiles(readings))
+    assert direct == sorted(map(str, rolled.collect()))
+
+
+def test_days_of_a_period_are_those_with_readings(frames, spark):
+    readings = frames[2]
+    span = reading_span(readings)
+    rows = [
+        (1, "0001-01-01", "9999-12-31"), (2, "2024-01-20", "2024-01-10"), (3, None, "2024-01-31"),
+        (4, "2024-01-01", None), (5, None, None), (6, "1990-01-01", "1990-12-31"),
+    ]
+    periods = spark.createDataFrame(rows, "customer_id bigint, start_date string, end_date string").withColumns(
+        {c: F.col(c).cast("date") for c in ("start_date", "end_date")}
+    )
+    days = readings.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    got = period_days(periods, span).groupBy("customer_id").agg(F.count("reading_date").alias("n")).collect()
+    assert {r.customer_id: r.n for r in got} == {1: (days[1] - days[0]).days + 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+    empty = readings.filter("false")
+    assert period_days(periods, reading_span(empty)).count() == len(rows)
+
+
+def test_values_beyond_the_exact_range_are_counted_as_missing(frames, frame):
+    customers, tariffs, *_ = frames
+    from wattquill.sources.tables import exact_kwh
 
+    values = [1.5, 1e9, 1e12, float("inf"), float("nan"), -1e300, None]
+    rows = [(i, 1, f"2024-01-01 10:0{i}:00", v) for i, v in enumerate(values)]
+    raw = frame(rows, "reading_id bigint, customer_id bigint, timestamp string, consumption_kwh double")
+    readings = exact_kwh(raw.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+    got = usage_profiles(readings).first()
+    assert (got.wh, got.row_count, got.null_reading_count) == (10**12 + 1500, 7, 5)
 
-def test_more_patterns_than_hours_are_summed_by_hour(spark):
-    rows = [(i, f"s{i}", 0.3, 0.2, 0.1, f"0{i % 8}:00-{10 + i % 9}:00") for i in range(40)]
-    many = spark.createDataFrame(rows, constants.tariffs(spark).schema)
-    assert billing.peak_patterns(many) is None
-    assert len(billing.peak_patterns(many.limit(5))) == 5
+
+def test_standing_charges_fail_on_two_tariffs(frames):
+    customers, tariffs, _, requests = frames
+    doubled = tariffs.union(tariffs.withColumn("tariff_id", F.lit(3).cast("bigint")))
+    with pytest.raises(Exception, match="more than one tariff"):
+        billing.standing_charges(requests, customers, doubled).collect()
 
 
 def test_two_tariffs_for_a_segment_fail(frames):

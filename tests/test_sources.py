@@ -34,7 +34,7 @@ def test_write_policy_and_layout(spark, meter, tmp_path):
     assert tables.write_tables(customers, tariffs, more, root, overwrite=True)
     back = tables.read_table(spark, root, "readings")
     assert back.count() == 402
-    assert back.schema["consumption_kwh"].dataType.simpleString() == "decimal(12,3)"
+    assert back.schema["consumption_kwh"].dataType.simpleString() == "decimal(15,3)"
     assert back.filter("consumption_kwh IS NULL").count() == 2, "NaN is NULL"
     assert tables.read_table(spark, root, "customers").schema == customers.schema
     stats = tables.table_stats({n: tables.read_table(spark, root, n) for n in ("customers", "tariffs", "readings")})

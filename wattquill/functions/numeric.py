@@ -13,7 +13,7 @@ THOUSANDTH = Decimal("0.001")
 
 
 def watt_hours(kwh: Column) -> Column:
-    """DECIMAL(12,3) kWh as BIGINT Wh."""
+    """DECIMAL(15,3) kWh as BIGINT Wh."""
     return (kwh * F.lit(1000)).cast("bigint")
 
 
@@ -32,7 +32,7 @@ def rounded_ratio(numerator: Column, denominator: Column, places: int) -> Column
 
     Integer arithmetic, so ties never depend on a binary fraction. NULL where the denominator is 0.
     The result is a BIGINT: it fits for any ratio below 10^(18 - places), and no mean or load factor
-    of DECIMAL(12,3) readings comes near that.
+    of DECIMAL(15,3) readings comes near that.
     """
     num = numerator.cast("decimal(20,0)")
     den = F.when(denominator != 0, denominator).cast("decimal(20,0)")

@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.numeric import kwh_decimal, money
-from wattquill.functions.peaks import HOURS, in_mask, peak_mask, peak_windows
+from wattquill.functions.peaks import in_mask, peak_mask, peak_windows
 from wattquill.operators.usage import (
+    Span,
     answer_requests,
     daily_profiles,
     distinct_periods,
     in_period,
     peak_wh,
     period_days,
+    reading_span,
     readings_of_requests,
     usage_profiles,
 )
@@ -38,7 +40,8 @@ BILL_COLUMNS = [
 def priced_segments(tariffs: DataFrame) -> DataFrame:
     """One row per segment with exact rates and the peak hours as a bit mask.
 
-    Two tariffs for a segment would make the bill ambiguous, so that fails the job.
+    Two tariffs for a segment would make the bill ambiguous, so that fails the job: the check is part
+    of the segment itself, the key of every join, and no choice of columns removes it.
     """
     one = tariffs.groupBy("segment").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -47,27 +50,15 @@ def priced_segments(tariffs: DataFrame) -> DataFrame:
         ).alias("_t"),
     )
     ambiguous = F.raise_error(F.concat(F.lit("more than one tariff for segment "), F.col("segment")))
-    hours = F.when(F.col("_n") > 1, ambiguous).otherwise(F.col("_t.peak_hours"))
     return one.select(
-        "segment",
-        peak_mask(peak_windows(hours)).alias("peak_mask"),
+        F.when(F.col("_n") > 1, ambiguous).otherwise(F.col("segment")).alias("segment"),
+        peak_mask(peak_windows(F.col("_t.peak_hours"))).alias("peak_mask"),
         F.col("_t.peak_rate_per_kwh").cast(_RATE).alias("peak_rate"),
         F.col("_t.off_peak_rate_per_kwh").cast(_RATE).alias("off_peak_rate"),
         F.col("_t.standing_charge").cast(_RATE).alias("daily_charge"),
     )
 
 
-def peak_patterns(tariffs: DataFrame) -> list[int] | None:
-    """The different peak-hour masks, or None if there are more of them than hours.
-
-    Tariffs share a handful of patterns. Knowing them lets readings be summed by pattern in the
-    first pass; otherwise they are summed by hour. At most 25 numbers reach the driver.
-    """
-    masks = priced_segments(tariffs).select("peak_mask").filter("peak_mask IS NOT NULL").distinct()
-    found = sorted(row.peak_mask for row in masks.limit(len(HOURS) + 1).collect())
-    return found if 0 < len(found) <= len(HOURS) else None
-
-
 def tariff_windows(tariffs: DataFrame) -> DataFrame:
     """One row per tariff and peak window."""
     return tariffs.select(
@@ -149,14 +140,18 @@ def bill(
     `status` is the first of customer_not_found, no_tariff, no_readings that applies, else ok.
     """
     wanted = readings_of_requests(readings, requests)
-    profiles = daily_profiles(wanted, peak_patterns(tariffs))
-    return bill_from_profiles(requests, customers, tariffs, profiles)
+    profiles = daily_profiles(wanted)
+    return bill_from_profiles(requests, customers, tariffs, profiles, reading_span(wanted))
 
 
 def bill_from_profiles(
-    requests: DataFrame, customers: DataFrame, tariffs: DataFrame, profiles: DataFrame
+    requests: DataFrame,
+    customers: DataFrame,
+    tariffs: DataFrame,
+    profiles: DataFrame,
+    span: Span | None = None,
 ) -> DataFrame:
-    """`bill` from daily profiles, which may come from a table.
+    """`bill` from daily profiles, which may come from a table; `span` are their first and last day.
 
     Readings become one profile per customer and day in a single shuffle; the requested days join
     it on the same key, and the bill itself is a projection over the summed days.
@@ -164,12 +159,12 @@ def bill_from_profiles(
     priced = distinct_periods(requests).join(
         customer_tariffs(customers, tariffs).withColumn("_known", F.lit(True)), "customer_id", "left"
     )
-    days = period_days(priced, F.col("peak_mask").isNotNull())
+    days = period_days(priced, span or reading_span(profiles), F.col("peak_mask").isNotNull())
     usage = (
         days.join(profiles, ["customer_id", "reading_date"], "left")
         .groupBy(*PERIOD_KEY, "segment", "_known", *_TARIFF)
         .agg(
-            F.sum(peak_wh(profiles)).alias("peak_wh"),
+            F.sum(peak_wh()).alias("peak_wh"),
             F.sum("wh").alias("_wh"),
             F.sum("row_count").alias("row_count"),
             F.sum("null_reading_count").alias("null_reading_count"),
@@ -184,13 +179,11 @@ def bill_period(
     customers: DataFrame, tariffs: DataFrame, readings: DataFrame, start_date: str, end_date: str
 ) -> DataFrame:
     """The bill of every customer for one period: no request table, hence no day matching."""
-    profiles = usage_profiles(
-        in_period(readings, start_date, end_date), masks=peak_patterns(tariffs)
-    )
+    profiles = usage_profiles(in_period(readings, start_date, end_date))
     usage = (
         customer_tariffs(customers, tariffs)
         .join(profiles, "customer_id", "left")
-        .withColumn("peak_wh", peak_wh(profiles))
+        .withColumn("peak_wh", peak_wh())
         .withColumn("off_peak_wh", F.col("wh") - F.col("peak_wh"))
         .withColumn("start_date", F.lit(start_date).cast("date"))
         .withColumn("end_date", F.lit(end_date).cast("date"))
@@ -215,9 +208,9 @@ def bills_by_segment(bills: DataFrame) -> DataFrame:
 
 def peak_split(customers: DataFrame, tariffs: DataFrame, readings: DataFrame) -> DataFrame:
     """Peak and off-peak kWh per customer with readings and a tariff."""
-    profiles = usage_profiles(readings, masks=peak_patterns(tariffs))
+    profiles = usage_profiles(readings)
     priced = customer_tariffs(customers, tariffs).filter(F.col("peak_mask").isNotNull())
-    peak = peak_wh(profiles)
+    peak = peak_wh()
     return profiles.join(priced, "customer_id").select(
         "customer_id",
         "segment",

@@ -125,5 +125,5 @@ def generate_readings(
         ((F.col("customer_id") - 1) * steps + F.col("step") + 1).alias("reading_id"),
         "customer_id",
         "timestamp",
-        (wh.cast("decimal(15,0)") / F.lit(1000)).cast("decimal(12,3)").alias("consumption_kwh"),
+        (wh.cast("decimal(15,0)") / F.lit(1000)).cast("decimal(15,3)").alias("consumption_kwh"),
     )

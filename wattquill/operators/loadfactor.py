@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from wattquill.functions.numeric import rounded_ratio
 from wattquill.operators.billing import PERIOD_KEY, charged_days
 from wattquill.operators.usage import (
+    Span,
     answer_requests,
     daily_profiles,
     distinct_periods,
     in_period,
     period_days,
+    reading_span,
     readings_of_requests,
     usage_profiles,
 )
@@ -54,15 +56,18 @@ def load_factor(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
     The customer table is not consulted: an unknown customer simply has no readings.
     """
-    profiles = daily_profiles(readings_of_requests(readings, requests))
-    return load_factor_from_profiles(requests, profiles)
+    wanted = readings_of_requests(readings, requests)
+    return load_factor_from_profiles(requests, daily_profiles(wanted), reading_span(wanted))
 
 
-def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """`load_factor` from daily profiles, which may come from a table."""
+def load_factor_from_profiles(
+    requests: DataFrame, profiles: DataFrame, span: Span | None = None
+) -> DataFrame:
+    """`load_factor` from daily profiles, which may come from a table; `span` are their first and
+    last day."""
     days = profiles.select("customer_id", "reading_date", *_SUMMARY)
     usage = (
-        period_days(distinct_periods(requests))
+        period_days(distinct_periods(requests), span or reading_span(profiles))
         .join(days, ["customer_id", "reading_date"], "left")
         .groupBy(*PERIOD_KEY)
         .agg(

@@ -48,43 +48,28 @@ def readings_of_requests(readings: DataFrame, requests: DataFrame) -> DataFrame:
     return _between(readings, [value(c) for c in _as_bounds(*days)], [value(c) for c in days])
 
 
-def usage_profiles(
-    readings: DataFrame,
-    keys: Sequence[str] = ("customer_id",),
-    masks: Sequence[int] | None = None,
-) -> DataFrame:
-    """One row per key: energy by peak pattern or by hour of day, total, extremes and counts.
-
-    `masks` are the peak-hour patterns in use (`peak_patterns`): the row then holds the energy in
-    the peak hours of each, as a map from pattern to Wh in `peak_wh_by_mask`. Without `masks` it
-    holds `wh_by_hour`, 24 entries, from which any pattern can be summed. Columns nobody selects are
-    pruned from the aggregate. Missing readings are skipped and counted in `null_reading_count`.
+def usage_profiles(readings: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """One row per key: energy by hour of day, total, extremes and counts.
+
+    `wh_by_hour` has 24 entries, from which the energy in any peak hours can be summed. Columns
+    nobody selects are pruned from the aggregate. Missing readings are skipped and counted in
+    `null_reading_count`.
     """
     staged = readings.select(
         *keys, watt_hours(F.col("consumption_kwh")).alias("_wh"), F.hour("timestamp").alias("_hour")
     )
-    if masks is None:
-        tests = [f"_hour = {hour}" for hour in HOURS]
-    else:
-        tests = [f"(shiftright({mask}, _hour) & 1) = 1" for mask in masks]
-    names = [f"_part{i}" for i in range(len(tests))]
+    names = [f"_part{hour}" for hour in HOURS]
     grouped = staged.groupBy(*keys).agg(
-        *[F.expr(f"sum(CASE WHEN {t} THEN _wh END) AS {n}") for t, n in zip(tests, names, strict=True)],
+        *[F.expr(f"sum(CASE WHEN _hour = {hour} THEN _wh END) AS {n}") for hour, n in zip(HOURS, names, strict=True)],
         F.expr("coalesce(sum(_wh), 0L) AS wh"),
         F.max("_wh").alias("max_wh"),
         F.min("_wh").alias("min_wh"),
         F.count("_wh").alias("reading_count"),
         F.expr("count(*) AS row_count"),
     )
-    parts = [f"coalesce({name}, 0L)" for name in names]
-    if masks is None:
-        energy = f"array({', '.join(parts)}) AS wh_by_hour"
-    else:
-        pairs = ", ".join(f"{mask}, {part}" for mask, part in zip(masks, parts, strict=True))
-        energy = f"map({pairs}) AS peak_wh_by_mask"
     return grouped.select(
         *keys,
-        F.expr(energy),
+        F.expr(f"array({', '.join(f'coalesce({name}, 0L)' for name in names)}) AS wh_by_hour"),
         "wh",
         "max_wh",
         "min_wh",
@@ -94,19 +79,16 @@ def usage_profiles(
     )
 
 
-def daily_profiles(readings: DataFrame, masks: Sequence[int] | None = None) -> DataFrame:
+def daily_profiles(readings: DataFrame) -> DataFrame:
     """`usage_profiles` per customer and day."""
     if "reading_date" not in readings.columns:
         readings = readings.withColumn("reading_date", F.to_date("timestamp"))
-    return usage_profiles(readings, ("customer_id", "reading_date"), masks)
+    return usage_profiles(readings, ("customer_id", "reading_date"))
 
 
-def peak_wh(profiles: DataFrame) -> Column:
+def peak_wh() -> Column:
     """Energy of a profile in the peak hours of `peak_mask`; NULL where that is NULL."""
-    mask = F.col("peak_mask")
-    if "peak_wh_by_mask" in profiles.columns:
-        return F.when(mask.isNotNull(), F.try_element_at("peak_wh_by_mask", mask))
-    return masked_sum(F.col("wh_by_hour"), mask)
+    return masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))
 
 
 def distinct_periods(requests: DataFrame) -> DataFrame:
@@ -114,17 +96,30 @@ def distinct_periods(requests: DataFrame) -> DataFrame:
     return requests.select("customer_id", "start_date", "end_date").distinct()
 
 
-def period_days(periods: DataFrame, known: Column | None = None) -> DataFrame:
-    """One row per period and day, and one without a day for a period that has none: a reversed or
-    incomplete period, or one that is not `known`.
+Span = tuple[Column, Column]
+
+
+def reading_span(readings: DataFrame) -> Span:
+    """First and last day with readings, as scalar subqueries; of readings or of daily profiles."""
+    day = F.col("reading_date") if "reading_date" in readings.columns else F.to_date("timestamp")
+    return readings.agg(F.min(day)).scalar(), readings.agg(F.max(day)).scalar()
+
+
+def period_days(periods: DataFrame, span: Span, known: Column | None = None) -> DataFrame:
+    """One row per period and day within `span`, and one without a day for a period that has none
+    there: one before or after all readings, a reversed or incomplete one, or one that is not `known`.
 
-    Matching on (customer, day) keeps the join an equi-join with only matching pairs, and spreads a
-    customer with very many requests or readings over its days.
+    Days outside the readings match nothing, so a period of ten thousand years makes no more rows
+    than there are days with readings. Matching on (customer, day) keeps the join an equi-join with
+    only matching pairs, and spreads a customer with very many requests or readings over its days.
     """
-    usable = F.col("start_date") <= F.col("end_date")
+    dated = periods.withColumns({"_first": span[0], "_last": span[1]})
+    start, end = F.greatest("start_date", "_first"), F.least("end_date", "_last")
+    usable = F.col("start_date").isNotNull() & F.col("end_date").isNotNull() & F.col("_first").isNotNull()
+    usable = usable & (start <= end) & (F.col("start_date") <= F.col("end_date"))
     usable = usable if known is None else usable & known
-    days = F.when(usable, F.sequence("start_date", "end_date"))
-    return periods.withColumn("reading_date", F.explode_outer(days))
+    days = F.when(usable, F.sequence(start, end))
+    return dated.withColumn("reading_date", F.explode_outer(days)).drop("_first", "_last")
 
 
 def answer_requests(requests: DataFrame, answers: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from wattquill import fixed_values as fv
 from wattquill.functions.numeric import rounded_ratio
 from wattquill.operators.billing import bill_from_profiles
 from wattquill.operators.loadfactor import load_factor_from_profiles
-from wattquill.operators.usage import period_days
+from wattquill.operators.usage import period_days, reading_span
 from wattquill.sources.constants import literal_rows
 
 QUESTION_COLUMNS = [
@@ -158,7 +158,7 @@ def _scope_answers(questions: DataFrame, customers: DataFrame, profiles: DataFra
     undated = questions.filter(F.col("start_date").isNull())
     periods = dated.select(*scope, "start_date", "end_date").distinct()
     in_period = _merge(
-        period_days(periods).join(days, [*scope, "reading_date"]), [*scope, "start_date", "end_date"]
+        period_days(periods, reading_span(profiles)).join(days, [*scope, "reading_date"]), [*scope, "start_date", "end_date"]
     )
     heads = customers.select(_scopes(with_customer=False)).groupBy(*scope).agg(
         F.count(F.lit(1)).alias("customers")
@@ -176,6 +176,7 @@ def _scope_answers(questions: DataFrame, customers: DataFrame, profiles: DataFra
         .when(op == "max", F.col("max_wh").cast("double") / kwh)
         .when(op == "count_readings", F.coalesce(F.col("rows"), F.lit(0)).cast("double"))
         .when(op == "count_customers", F.coalesce(F.col("customers"), F.lit(0)).cast("double"))
+        .otherwise(F.raise_error(F.concat(F.lit("no answer for the operation "), op)))
     )
     return answered.join(heads, scope, "left").select(
         "query", "category", value.alias("expected_value")
@@ -191,7 +192,8 @@ def ground_truth(
 ) -> DataFrame:
     """The answer table: query, category, expected_value, tolerance, tolerance_type.
 
-    Each tool answers all its questions as one batch; questions without an answer are left out.
+    Each tool answers all its questions as one batch; questions without an answer are left out, an
+    operation that no tool here has fails the job.
     All of them start from `daily_profiles` of the readings: with those in a table, the readings
     are read once.
     """

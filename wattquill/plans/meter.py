@@ -1,6 +1,5 @@
 """Registered meter queries over the test tables: (spark, sf_dir) -> DataFrame."""
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -16,14 +15,13 @@ from wattquill.operators import plotdata as pd
 from wattquill.operators import workload as wl
 from wattquill.operators.sqlguard import guarded_sql
 from wattquill.operators.usage import daily_profiles
-from wattquill.session import shared_dir
 from wattquill.sources import tables, testdata, workload_json
 
 MONTH = ("2024-01-01", "2024-01-31")
 MONTH_NAME = "January 2024"
-BIG_PERIOD = ("1996-01-01", "1998-12-31")
+BIG_PERIOD = ("1995-01-01", "2001-12-31")
 AS_OF = date(2024, 1, 1)
-GENERATED_DAYS = 7
+GENERATED_DAYS = 30
 BASE_CUSTOMER = 7
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -61,7 +59,7 @@ def table_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_roundtrip_counts(spark: SparkSession, d: str) -> DataFrame:
-    root = f"{shared_dir(spark)}/meter-{uuid.uuid4().hex}"
+    root = tables.temporary_path(spark, "meter")
     customers, tariffs, readings = _meter(spark, d)
     dated = customers.withColumn("join_date", F.lit(None).cast("timestamp_ntz"))
     tables.write_tables(dated, tariffs, readings, root)
@@ -80,14 +78,12 @@ def _ground_truth(spark: SparkSession, d: str) -> DataFrame:
     questions = tables.materialize(
         wl.workload_questions(customers, MONTH_NAME, *MONTH), "questions"
     )
-    profiles = tables.materialize(
-        daily_profiles(readings, bl.peak_patterns(tariffs)), "profiles"
-    )
+    profiles = tables.materialize(daily_profiles(readings), "profiles")
     return wl.ground_truth(questions, customers, tariffs, profiles)
 
 
 def workload_by_category(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/workload-{uuid.uuid4().hex}"
+    path = tables.temporary_path(spark, "workload")
     workload_json.write_workload(_ground_truth(spark, d), path)
     return wl.category_counts(workload_json.read_workload(spark, path, multi_line=False))
 
@@ -178,7 +174,7 @@ def bill_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bill_order_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The larger table: three years of order lines as readings."""
+    """The larger table: all years of order lines as readings."""
     customers, tariffs, _ = _meter(spark, d)
     return _text_dates(
         bl.bill_period(customers, tariffs, testdata.order_readings(spark, d), *BIG_PERIOD)
@@ -311,7 +307,7 @@ def gen_tariffs(spark: SparkSession, d: str) -> DataFrame:
 
 def gen_time_axis(spark: SparkSession, d: str) -> DataFrame:
     axis = gn.with_time_axis(
-        _generated_customers(spark, d).select("customer_id"), F.lit("2024-01-01"), 2
+        _generated_customers(spark, d).select("customer_id"), F.lit("2024-01-01"), GENERATED_DAYS
     )
     return axis.groupBy(_stamp("timestamp").alias("timestamp")).agg(
         F.count(F.lit(1)).alias("customers"), F.max("step").alias("step")

@@ -19,17 +19,21 @@ METER = {
  (2,'commercial',0.28,0.18,1.20,'09:00-17:00')) AS t(tariff_id, segment, peak_rate_per_kwh,
  off_peak_rate_per_kwh, standing_charge, peak_hours)""",
     "readings": """SELECT event_id AS reading_id, user_id AS customer_id, ts AS timestamp,
- CAST(value AS DECIMAL(12,3)) AS consumption_kwh FROM events""",
+ CAST(value AS DECIMAL(15,3)) AS consumption_kwh FROM events""",
     "wh": """SELECT reading_id, customer_id, timestamp, CAST(timestamp AS DATE) AS day,
  CAST(hour(timestamp) AS INTEGER) AS hour, CAST(consumption_kwh * 1000 AS BIGINT) AS wh FROM readings""",
     "windows": """SELECT tariff_id, segment, CAST(split_part(split_part(w,'-',1),':',1) AS INTEGER) AS start_hour,
  CAST(split_part(split_part(w,'-',2),':',1) AS INTEGER) AS end_hour
  FROM (SELECT tariff_id, segment, unnest(string_split(peak_hours, ',')) AS w FROM tariffs)""",
+    "asked": """SELECT c_custkey AS customer_id FROM customer
+ UNION ALL SELECT c_custkey + 1000000 FROM customer WHERE c_custkey < 10""",
     "requests": """SELECT customer_id AS request_id, customer_id,
  CAST('2024-01-01' AS DATE) + CAST(customer_id % 7 AS INT) AS start_date,
  CAST('2024-01-01' AS DATE) + CAST(customer_id % 7 + 13 AS INT) AS end_date
- FROM (SELECT c_custkey AS customer_id FROM customer
- UNION ALL SELECT c_custkey + 1000000 FROM customer WHERE c_custkey < 10) q""",
+ FROM asked
+ UNION ALL SELECT customer_id + 1000000000 * k, customer_id, CAST(s AS DATE), CAST(e AS DATE)
+ FROM asked, (VALUES (1, '0001-01-01', '9999-12-31'), (2, '2024-01-20', '2024-01-10'), (3, NULL, '2024-01-31'),
+  (4, '2024-01-01', NULL), (5, NULL, NULL), (6, '1990-01-01', '1990-12-31')) o(k, s, e) WHERE customer_id % 100 < 4""",
     "month_requests": f"""SELECT customer_id AS request_id, customer_id, DATE '{START}' AS start_date,
  DATE '{END}' AS end_date FROM customers""",
     "order_wh": """SELECT o_custkey AS customer_id, CAST(l_shipdate AS DATE) AS day,
@@ -360,7 +364,7 @@ def _meter_oracles() -> dict[str, str]:
         "gen_time_axis": _with(
             GENERATED,
             f"""SELECT {STAMP.format("TIMESTAMP '2024-01-01' + to_minutes(15 * step)")} AS timestamp, count(*) AS customers,
- max(step) AS step FROM made_customers, range(192) r(step) GROUP BY 1""",
+ max(step) AS step FROM made_customers, range({_STEPS}) r(step) GROUP BY 1""",
         ),
         "gen_base_load": _meter(
             f"""SELECT c.segment, u.hour, count(*) AS readings, CAST(sum(CAST({_base("c.segment", "u.hour", "isodow(u.timestamp)")}

@@ -6,28 +6,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.functions.numeric import skip_nan
 from wattquill.schemas import METER_TABLES
 from wattquill.session import shared_dir
 
 logger = logging.getLogger(__name__)
 
-READING_KWH = "decimal(12,3)"
+READING_KWH = "decimal(15,3)"
 
 
 def exact_kwh(readings: DataFrame) -> DataFrame:
-    """Readings carry three decimals, so they are kept as DECIMAL; NaN becomes NULL."""
-    return readings.withColumn(
-        "consumption_kwh", skip_nan(F.col("consumption_kwh")).cast(READING_KWH)
-    )
+    """Readings carry three decimals, so they are kept as DECIMAL.
+
+    NaN, infinities and values of 10^12 kWh or more have no such form: they become NULL, which the
+    results count as `null_reading_count`. They neither end the job nor enter a sum.
+    """
+    return readings.withColumn("consumption_kwh", F.col("consumption_kwh").try_cast(READING_KWH))
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of `customers`, `tariffs`, `readings` below `root`."""
     if name not in METER_TABLES:
         raise ValueError(f"unknown table {name!r}, expected one of {', '.join(METER_TABLES)}")
-    df = spark.read.schema(METER_TABLES[name]).parquet(f"{root}/{name}")
-    return exact_kwh(df) if name == "readings" else df
+    if name != "readings":
+        return spark.read.schema(METER_TABLES[name]).parquet(f"{root}/{name}")
+    # our own files hold the exact type, and filters on it reach the scan; others may hold doubles
+    df = spark.read.parquet(f"{root}/{name}")
+    exact = df.schema["consumption_kwh"].dataType.simpleString() == READING_KWH
+    return df if exact else exact_kwh(df)
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:
@@ -36,13 +41,9 @@ def register_views(tables: dict[str, DataFrame]) -> None:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return True
-    except Exception as error:  # noqa: BLE001 - the reader has one error class for all causes
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
+    """Asks for the path itself, whatever lies below it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_tables(
@@ -66,7 +67,7 @@ def write_tables(
     customers.write.mode("overwrite").parquet(f"{root}/customers")
     tariffs.write.mode("overwrite").parquet(f"{root}/tariffs")
     (
-        readings.withColumn("consumption_kwh", F.col("consumption_kwh").cast("double"))
+        exact_kwh(readings)
         .withColumn("reading_date", F.to_date("timestamp"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -77,13 +78,21 @@ def write_tables(
     return True
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from the written table.
 
     For results that several branches of a query read: each computes it once, plans stay small, and
     a lost executor costs a re-read instead of a recomputation.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = temporary_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

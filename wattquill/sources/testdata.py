@@ -17,6 +17,15 @@ STEPS_PER_EPISODE = 12
 EPISODE_STRIDE = 10**10
 REQUEST_DAYS = 14
 UNKNOWN_ID_OFFSET = 1_000_000
+ODD_REQUESTS = 10**9
+ODD_PERIODS = (
+    ("0001-01-01", "9999-12-31"),
+    ("2024-01-20", "2024-01-10"),
+    (None, "2024-01-31"),
+    ("2024-01-01", None),
+    (None, None),
+    ("1990-01-01", "1990-12-31"),
+)
 _SCHEMAS = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
     "customer": "c_custkey BIGINT, c_mktsegment STRING",
@@ -71,18 +80,33 @@ def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fortnight for every customer, and ten customers that do not exist."""
+    """A fortnight for every customer and for some that do not exist; for a few customers also all
+    years, a reversed period, and one without a first or a last day."""
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
     unknown = known.filter(F.col("customer_id") < 10).select(
         (F.col("customer_id") + UNKNOWN_ID_OFFSET).alias("customer_id")
     )
     first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("customer_id") % 7).cast("int"))
-    return known.union(unknown).select(
+    plain = known.union(unknown).select(
         F.col("customer_id").alias("request_id"),
         "customer_id",
         first.alias("start_date"),
         F.date_add(first, REQUEST_DAYS - 1).alias("end_date"),
     )
+    odd = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    (F.col("customer_id") + ODD_REQUESTS * (k + 1)).alias("request_id"),
+                    "customer_id",
+                    F.lit(start).cast("date").alias("start_date"),
+                    F.lit(end).cast("date").alias("end_date"),
+                )
+                for k, (start, end) in enumerate(ODD_PERIODS)
+            ]
+        )
+    )
+    return plain.union(known.union(unknown).filter(F.col("customer_id") % 100 < 4).select(odd))
 
 
 def _step_text() -> Column:
