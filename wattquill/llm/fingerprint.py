@@ -220,7 +220,7 @@ def compared(docs: DataFrame, band: np.ndarray, rows_per_bucket: int = ROWS_PER_
 
     return (
         keyed.mapInArrow(dealt, "bucket int, halo int, key long, body binary")
-        .repartition(max(parts, 1), "bucket")
+        .repartitionById(max(parts, 1), "bucket")
         .sortWithinPartitions("bucket", "halo", "key", "body")
         .mapInArrow(
             compare,
