@@ -31,7 +31,7 @@ METER = {
  CAST('2024-01-01' AS DATE) + CAST(customer_id % 7 AS INT) AS start_date,
  CAST('2024-01-01' AS DATE) + CAST(customer_id % 7 + 13 AS INT) AS end_date
  FROM asked
- UNION ALL SELECT customer_id + 1000000000 * k, customer_id, CAST(s AS DATE), CAST(e AS DATE)
+ UNION ALL SELECT customer_id + CAST(1000000000 AS BIGINT) * k, customer_id, CAST(s AS DATE), CAST(e AS DATE)
  FROM asked, (VALUES (1, '0001-01-01', '9999-12-31'), (2, '2024-01-20', '2024-01-10'), (3, NULL, '2024-01-31'),
   (4, '2024-01-01', NULL), (5, NULL, NULL), (6, '1990-01-01', '1990-12-31')) o(k, s, e) WHERE customer_id % 100 < 4""",
     "month_requests": f"""SELECT customer_id AS request_id, customer_id, DATE '{START}' AS start_date,
