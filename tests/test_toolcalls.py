@@ -18,6 +18,15 @@ CASES = [
     ("sql_executor", '{"query": "q", "row_limit": "1_000"}', "ok", None, {"query": "q", "row_limit": "1000"}, 0),
     ("sql_executor", '{"query": "q", "row_limit": null}', "ok", None, {"query": "q", "row_limit": None}, 0),
     ("sql_executor", '{"query": 5}', "ok", None, {"query": "5", "row_limit": "100"}, 0),
+    ("sql_executor", '{"query": true}', "ok", None, {"query": "True", "row_limit": "100"}, 0),
+    ("sql_executor", '{"query": 1.0}', "ok", None, {"query": "1.0", "row_limit": "100"}, 0),
+    ("sql_executor", '{"query": "q", "row_limit": 123456789012345678901234567890123456789012}', "ok", None,
+     {"query": "q", "row_limit": "123456789012345678901234567890123456789012"}, 0),
+    ("sql_executor", '{"query": "q", "row_limit": "-00123456789012345678901234567890123456789012"}', "ok", None,
+     {"query": "q", "row_limit": "-123456789012345678901234567890123456789012"}, 0),
+    ("sql_executor", '{"query": "q", "row_limit": 1e30}', "ok", None,
+     {"query": "q", "row_limit": "1000000000000000000000000000000"}, 0),
+    ("sql_executor", '{"query": "q", "row_limit": NaN}', "bad_type", "row_limit", None, 0),
     ("sql_executor", '{"query": null}', "ok", None, {"query": None, "row_limit": "100"}, 0),
     ("sql_executor", '{"query": "q", "row_limit": "1.5"}', "bad_type", "row_limit", None, 0),
     ("sql_executor", '{"query": "q", "row_limit": "many"}', "bad_type", "row_limit", None, 0),
@@ -65,10 +74,13 @@ def test_unknown_tools(calls):
 def test_records(calls):
     records = {r.step: r for r in call_records(check_calls(calls)).collect()}
     assert records[0].success and records[0].error is None
-    assert records[14].error == "Missing required parameter 'query' for tool 'sql_executor'"
-    unknown = records[19].error
+    at = {(tool, args): i for i, (tool, args, *_) in enumerate(CASES)}
+    missing = records[at["sql_executor", '{"row_limit": "many"}']]
+    assert missing.error == "Missing required parameter 'query' for tool 'sql_executor'"
+    unknown = records[at["nonexistent_tool", '{"a": 1}']].error
     assert unknown.startswith("Unknown tool 'nonexistent_tool'. Available: sql_executor, pandas_aggregator")
-    assert not records[15].success and "customer_id" in records[15].error
+    bad = records[at["tariff_calculator", '{"customer_id": "one"}']]
+    assert not bad.success and "customer_id" in bad.error
 
 
 def test_five_tools_with_seventeen_parameters(spark):

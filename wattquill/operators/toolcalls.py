@@ -23,8 +23,8 @@ def _coerced(kind: Column, json_type: Column, text: Column) -> Column:
     is_number = ~is_text & ~is_bool & ~json_type.rlike("^(ARRAY|OBJECT)")
     digits = F.replace(strip(text), F.lit("_"), F.lit(""))
     as_int = (
-        F.when(is_text, F.when(text.rlike(_INTEGER_TEXT), digits.try_cast("decimal(38,0)")))
-        .when(is_bool, F.when(text == "true", F.lit(1)).otherwise(F.lit(0)).cast("decimal(38,0)"))
+        F.when(is_text, F.when(text.rlike(_INTEGER_TEXT), _plain_integer(digits)))
+        .when(is_bool, F.when(text == "true", "1").otherwise("0"))
         .when(is_number, _truncated(text))
     )
     as_float = (
@@ -32,21 +32,37 @@ def _coerced(kind: Column, json_type: Column, text: Column) -> Column:
         .when(is_bool, F.when(text == "true", 1.0).otherwise(0.0))
         .when(is_number, text.try_cast("double"))
     )
-    as_bool = F.when(is_text, F.lower(text).isin(*fv.TRUE_WORDS)).otherwise(
-        ~text.isin("false", "0", "0.0", "[]", "{}")
+    as_bool = (
+        F.when(is_text, F.lower(text).isin(*fv.TRUE_WORDS))
+        .when(is_bool, text == "true")
+        .when(is_number, text.try_cast("double") != 0)
+        .otherwise(~text.isin("[]", "{}"))
     )
     return (
-        F.when(kind == "str", text)
-        .when(kind == "int", as_int.cast("string"))
+        F.when(kind == "str", F.when(is_bool, F.initcap(text)).otherwise(text))
+        .when(kind == "int", as_int)
         .when(kind == "float", as_float.cast("string"))
         .when(kind == "bool", as_bool.cast("string"))
     )
 
 
+def _plain_integer(digits: Column) -> Column:
+    """Signed digits of any length without a plus sign and leading zeros."""
+    plain = F.regexp_replace(digits, r"^([+-]?)0+(?=\d)", "$1")
+    return F.when(plain.isin("-0", "+0"), "0").otherwise(F.ltrim(plain, F.lit("+")))
+
+
 def _truncated(number: Column) -> Column:
-    """A JSON number without its fraction, towards zero."""
-    exact = number.try_cast("decimal(38,12)")
-    return F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).cast("decimal(38,0)")
+    """A JSON number without its fraction, towards zero: integers of any length, and doubles below
+    10^38 digit by digit (larger ones keep their exponent). Infinities have no integer."""
+    value = number.try_cast("double")
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
+    return (
+        F.when(number.rlike(r"^-?\d+$"), _plain_integer(number))
+        .when(F.abs(value) < 1e15, whole.cast("bigint").cast("string"))
+        .when(F.abs(value) < 1e38, value.cast("decimal(38,0)").cast("string"))
+        .when(F.abs(value) < float("inf"), number)
+    )
 
 
 def check_calls(calls: DataFrame) -> DataFrame:
@@ -60,13 +76,18 @@ def check_calls(calls: DataFrame) -> DataFrame:
     """
     specs = F.broadcast(tool_specs(calls.sparkSession).withColumnRenamed("tool", "_tool"))
     is_object = F.startswith(F.col("action_input"), F.lit("{"))
-    values = F.when(is_object, F.from_json(F.col("action_input"), "map<string,variant>"))
-    args = F.transform_values(
-        values,
-        lambda _, v: F.struct(
-            F.schema_of_variant(v).alias("json_type"), F.try_variant_get(v, "$", "string").alias("text")
-        ),
-    )
+    strict = {"allowSingleQuotes": "false"}
+    values = F.when(is_object, F.from_json(F.col("action_input"), "map<string,variant>", strict))
+    # numbers as they are written: a variant doesn't keep the difference of 1 and 1.0
+    written = F.from_json(F.col("action_input"), "map<string,string>", strict)
+
+    def argument(key: Column, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        as_written = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        text = F.when(as_written, F.try_element_at(written, key)).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.struct(kind.alias("json_type"), text.alias("text"))
+
+    args = F.transform_values(values, argument)
     opened = computed_once(calls, calls.columns, _name=strip(F.col("tool")), _args=args).join(
         specs, F.col("_name") == F.col("_tool"), "left"
     )

@@ -110,6 +110,7 @@ def calls_coercion(spark: SparkSession, d: str) -> DataFrame:
         "step",
         "tool",
         F.try_element_at("arguments", F.lit("row_limit")).cast("int").alias("row_limit"),
+        F.try_element_at("arguments", F.lit("customer_id")).cast("bigint").alias("customer_id"),
     )
 
 

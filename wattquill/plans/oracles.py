@@ -449,8 +449,15 @@ TURNS = {
   WHEN user_id % 10 = 0 AND event_type IN ('purchase','error','signup') THEN 'Thought: keep thinking'
   WHEN event_type='view' AND event_id % 7 = 0 THEN 'Thought: ' || chr(10) || ' '
   WHEN event_type='view' THEN 'Thought: look up customer ' || CAST(user_id AS STRING)
-  WHEN event_type='click' THEN 'Thought: run a query' || chr(10) || 'Action: sql_executor' || chr(10)
-   || 'Action Input: {"query": "SELECT 1", "row_limit": "' || CAST(event_id % 50 AS STRING) || '"}'
+  WHEN event_type='click' THEN 'Thought: run a query' || chr(10) || 'Action: ' || CASE
+   WHEN event_id % 16 = 6 THEN 'sql_executor' || chr(10) || 'Action Input: [1, 2]'
+   WHEN event_id % 16 = 7 THEN 'tariff_calculator' || chr(10) || 'Action Input: {"customer_id": ' || CAST(user_id AS STRING)
+    || ', "start_date": "2024-01-01", "end_date": "2024-01-31", "note": 1}'
+   WHEN event_id % 16 = 8 THEN 'tariff_calculator' || chr(10) || 'Action Input: {"customer_id": "one", "start_date": "2024-01-01"}'
+   ELSE 'sql_executor' || chr(10) || 'Action Input: {"query": "SELECT 1", "row_limit": ' || CASE event_id % 16
+     WHEN 0 THEN '7.9' WHEN 1 THEN 'true' WHEN 2 THEN 'null' WHEN 3 THEN '[1]' WHEN 4 THEN '"many"'
+     WHEN 5 THEN CAST(event_id % 50 AS STRING) WHEN 9 THEN 'false'
+     ELSE '"' || CAST(event_id % 50 AS STRING) || '"' END || '}' END
   WHEN event_type='purchase' THEN 'Answer: The total cost is ' || CAST(CAST(value AS DECIMAL(12,2)) AS STRING) || ' GBP.'
   WHEN event_type='error' AND event_id % 2 = 0 THEN 'Thought: bill' || chr(10) || 'Action: tariff_calculator' || chr(10)
    || 'Action Input: {"customer_id": "' || CAST(user_id AS STRING) || '", "start_date": "2024-01-01",}' || chr(10) || 'Observation:'
@@ -476,14 +483,17 @@ CALLS = {
         for at, (tool, param, kind, required, default) in enumerate(fv.TOOL_PARAMETERS)
     )
     + ") AS t(tool, param, position, type, required, default_value)",
-    "given": "SELECT episode_id, step, tool, unnest(json_keys(action_input)) AS param FROM calls",
+    "given": """SELECT episode_id, step, tool, unnest(json_keys(action_input)) AS param FROM calls
+ WHERE json_type(action_input) = 'OBJECT'""",
     "problems": r"""SELECT c.episode_id, c.step, p.position, p.param, CASE
  WHEN p.required AND NOT list_contains(json_keys(c.action_input), p.param) THEN 'missing_parameter'
- WHEN p.type = 'int' AND list_contains(json_keys(c.action_input), p.param) AND NOT
-  regexp_full_match(json_extract_string(c.action_input, '$.' || p.param), '\s*[+-]?\d+\s*') THEN 'bad_type' END AS problem
- FROM calls c JOIN params p ON p.tool = c.tool""",
+ WHEN p.type = 'int' AND list_contains(json_keys(c.action_input), p.param) AND
+  CASE json_type(c.action_input, '$.' || p.param)
+   WHEN 'VARCHAR' THEN NOT regexp_full_match(json_extract_string(c.action_input, '$.' || p.param), '\s*[+-]?\d+\s*')
+   ELSE json_type(c.action_input, '$.' || p.param) IN ('ARRAY', 'OBJECT') END THEN 'bad_type' END AS problem
+ FROM calls c JOIN params p ON p.tool = c.tool WHERE json_type(c.action_input) = 'OBJECT'""",
     "checked": """SELECT c.*, CASE WHEN NOT EXISTS (SELECT 1 FROM params p WHERE p.tool = c.tool) THEN 'unknown_tool'
- ELSE coalesce(f.problem, 'ok') END AS status, f.param AS problem_param FROM calls c LEFT JOIN
+ WHEN json_type(c.action_input) <> 'OBJECT' THEN 'arguments_not_object' ELSE coalesce(f.problem, 'ok') END AS status, f.param AS problem_param FROM calls c LEFT JOIN
  (SELECT episode_id, step, arg_min(problem, position) AS problem, arg_min(param, position) AS param FROM problems
   WHERE problem IS NOT NULL GROUP BY episode_id, step) f ON f.episode_id = c.episode_id AND f.step = c.step""",
 }
@@ -527,8 +537,10 @@ def _evaluation_oracles() -> dict[str, str]:
     tools = ", ".join(dict.fromkeys(spec[0] for spec in fv.TOOL_PARAMETERS))
     both = TURNS | PROSE
     calls = TURNS | CALLS
-    limits = """CAST(CASE WHEN tool = 'sql_executor' THEN coalesce(json_extract_string(action_input, '$.row_limit'), '100') END
- AS INTEGER)"""
+    limits = """CAST(CASE WHEN tool = 'sql_executor' THEN CASE json_type(action_input, '$.row_limit')
+ WHEN 'DOUBLE' THEN CAST(trunc(CAST(json_extract(action_input, '$.row_limit') AS DOUBLE)) AS INTEGER)
+ WHEN 'BOOLEAN' THEN CASE json_extract_string(action_input, '$.row_limit') WHEN 'true' THEN 1 ELSE 0 END
+ WHEN 'NULL' THEN NULL ELSE CAST(coalesce(json_extract_string(action_input, '$.row_limit'), '100') AS INTEGER) END END AS INTEGER)"""
     return {
         "parse_turns": _with(TURNS, "SELECT * EXCLUDE (event_id) FROM turns_parsed"),
         "turn_type_counts": _with(
@@ -561,16 +573,19 @@ def _evaluation_oracles() -> dict[str, str]:
             "SELECT episode_id, step, tool, problem_param FROM checked WHERE status = 'missing_parameter'",
         ),
         "calls_coercion": _with(
-            calls, f"SELECT episode_id, step, tool, {limits} AS row_limit FROM checked WHERE status = 'ok'"
+            calls,
+            f"""SELECT episode_id, step, tool, {limits} AS row_limit,
+ TRY_CAST(json_extract_string(action_input, '$.customer_id') AS BIGINT) AS customer_id FROM checked WHERE status = 'ok'""",
         ),
         "calls_with_defaults": _with(
             calls,
-            f"""SELECT tool, CASE WHEN tool = 'sql_executor' AND step % 3 = 0 THEN 100 ELSE {limits} END AS row_limit,
- count(*) AS calls FROM checked WHERE status = 'ok' GROUP BY ALL""",
+            f"""SELECT tool, CASE WHEN cut THEN 100 ELSE {limits} END AS row_limit, count(*) AS calls
+ FROM (SELECT *, coalesce(tool = 'sql_executor' AND step % 3 = 0 AND json_type(action_input, '$.row_limit') = 'VARCHAR', false)
+  AS cut FROM checked) WHERE status = 'ok' OR cut GROUP BY ALL""",
         ),
         "calls_extra_args": _with(
             calls,
-            """SELECT tool, status, CASE WHEN status <> 'unknown_tool' THEN CAST((SELECT count(*) FROM given g
+            """SELECT tool, status, CASE WHEN status NOT IN ('unknown_tool', 'arguments_not_object') THEN CAST((SELECT count(*) FROM given g
  WHERE g.episode_id = c.episode_id AND g.step = c.step AND NOT EXISTS (SELECT 1 FROM params p WHERE p.tool = g.tool
  AND p.param = g.param)) AS INTEGER) END AS extra_arguments, count(*) AS calls FROM checked c GROUP BY ALL""",
         ),
@@ -578,7 +593,9 @@ def _evaluation_oracles() -> dict[str, str]:
             calls,
             f"""SELECT tool, status, status = 'ok' AS success, CASE status
  WHEN 'unknown_tool' THEN 'Unknown tool ''' || tool || '''. Available: {tools}'
- WHEN 'missing_parameter' THEN 'Missing required parameter ''' || problem_param || ''' for tool ''' || tool || '''' END AS error,
+ WHEN 'missing_parameter' THEN 'Missing required parameter ''' || problem_param || ''' for tool ''' || tool || ''''
+ WHEN 'bad_type' THEN 'Cannot coerce parameter ''' || problem_param || ''''
+ WHEN 'arguments_not_object' THEN 'Arguments are not an object' END AS error,
  count(*) AS calls FROM checked GROUP BY ALL""",
         ),
         "episode_outcomes": _episodes("SELECT * FROM outcomes"),

@@ -109,6 +109,37 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.union(known.union(unknown).filter(F.col("customer_id") % 100 < 4).select(odd))
 
 
+def _click_call(event_id: Column, limit: Column, user: Column) -> Column:
+    """Tool and arguments of a click: arguments of every JSON type, right and wrong."""
+
+    def sql(argument: Column | str) -> Column:
+        value = F.lit(argument) if isinstance(argument, str) else argument
+        return F.concat(F.lit('sql_executor\nAction Input: {"query": "SELECT 1", "row_limit": '), value, F.lit("}"))
+
+    kind = event_id % 16
+    quoted = F.concat(F.lit('"'), limit, F.lit('"'))
+    return (
+        F.when(kind == 0, sql("7.9"))
+        .when(kind == 1, sql("true"))
+        .when(kind == 2, sql("null"))
+        .when(kind == 3, sql("[1]"))
+        .when(kind == 4, sql('"many"'))
+        .when(kind == 5, sql(limit))
+        .when(kind == 6, "sql_executor\nAction Input: [1, 2]")
+        .when(
+            kind == 7,
+            F.concat(
+                F.lit('tariff_calculator\nAction Input: {"customer_id": '),
+                user,
+                F.lit(', "start_date": "2024-01-01", "end_date": "2024-01-31", "note": 1}'),
+            ),
+        )
+        .when(kind == 8, 'tariff_calculator\nAction Input: {"customer_id": "one", "start_date": "2024-01-01"}')
+        .when(kind == 9, sql("false"))
+        .otherwise(sql(quoted))
+    )
+
+
 def _step_text() -> Column:
     """What the agent says at an event; each branch is one case of the parser or the tool check."""
     event_type, event_id = F.col("event_type"), F.col("event_id")
@@ -122,14 +153,7 @@ def _step_text() -> Column:
         .when(event_type == "view", F.concat(F.lit("Thought: look up customer "), user))
         .when(
             event_type == "click",
-            lines(
-                "\n",
-                F.lit("Thought: run a query"),
-                F.lit("Action: sql_executor"),
-                F.format_string(
-                    'Action Input: {"query": "SELECT 1", "row_limit": "%s"}', limit
-                ),
-            ),
+            F.concat(F.lit("Thought: run a query\nAction: "), _click_call(event_id, limit, user)),
         )
         .when(event_type == "purchase", F.format_string("Answer: The total cost is %s GBP.", cents))
         .when(
