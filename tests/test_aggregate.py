@@ -90,3 +90,37 @@ def test_lookup_equals_join_then_aggregate(frame, op):
     got = {r.g: r.result for r in aggregate_by_lookup(facts, lookup, "k", op, "x", "g").collect()}
     assert got == {r.g: r.result for r in aggregate(joined, op, "x", "g").collect()}
     assert result(aggregate_by_lookup(facts, lookup, "k", op, "x")) == result(aggregate(joined, op, "x"))
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [230 + k * 1e-9 for k in range(5001)],
+        [-(2.0**k) for k in range(-60, 60)] + [0.0, 5e-324, -5e-324, 1.7e308],
+        [float(k // 3) - 50 for k in range(301)] + [0.1] * 40,
+        [1.0, 2.0],
+        [7.25],
+    ],
+)
+def test_median_of_any_distribution(frame, values):
+    from statistics import median
+
+    rows = frame([("a", v) for v in values] + [("b", v + 1) for v in values[:9]], "k string, x double")
+    got = {r.k: r.result for r in aggregate(rows, "median", "x", "k").collect()}
+    assert got == {"a": median(values), "b": median([v + 1 for v in values[:9]])}
+    assert aggregate(rows.filter("k = 'a'"), "median", "x").first().result == median(values)
+
+
+def test_large_whole_numbers(frame):
+    top = 2**63 - 1
+    rows = frame([(top,), (top - 2,), (top - 4,), (top - 4,)], "x bigint")
+    assert aggregate(rows, "median", "x").first().result == float(top - 3)
+    assert aggregate(rows, "mean", "x").first().result == float(top)
+    mixed = frame([(-top - 1,), (top,)], "x bigint")
+    assert aggregate(mixed, "median", "x").first().result == -0.5
+    assert aggregate(mixed, "mean", "x").first().result == -0.5
+
+
+def test_median_windows_are_partitioned_by_digits(frame):
+    plan = aggregate(frame([(1.0,)], "x double"), "median", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "percentile" not in plan

@@ -10,8 +10,8 @@ from wattquill.fixed_values import AGGREGATIONS
 from wattquill.functions.numeric import skip_nan
 
 _FLOATS = (T.FloatType, T.DoubleType)
-# value buckets for the median: this many per doubling of 1 + |value|
-_BUCKETS_PER_OCTAVE = 4096
+# the fraction of a double in digits: 4 * 13 bits
+_FRACTION_DIGITS, _PER_DIGIT = 4, 8192.0
 
 
 def _check(df: DataFrame, operation: str, column: str, group_by: str | None) -> None:
@@ -27,56 +27,84 @@ def _present(df: DataFrame, name: str) -> Column:
     return skip_nan(F.col(name)) if isinstance(df.schema[name].dataType, _FLOATS) else F.col(name)
 
 
+def _summable(df: DataFrame, name: str) -> Column:
+    """The column for the sum of a mean: whole numbers as DECIMAL, which large ones don't overflow."""
+    whole = isinstance(df.schema[name].dataType, T.IntegralType)
+    return F.col(name).cast("decimal(20,0)") if whole else F.col(name)
+
+
 def _plain(df: DataFrame, name: str) -> DataFrame:
     """DECIMAL results are handed out as DOUBLE."""
     is_decimal = isinstance(df.schema[name].dataType, T.DecimalType)
     return df.withColumn(name, F.col(name).cast("double")) if is_decimal else df
 
 
+def _digits(value: Column) -> list[Column]:
+    """A value as five digits that order it: sign and power of two, then the 52 bits of the fraction,
+    13 at a time. Every step is monotone, so equal leading digits mean neighbours."""
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    sign = F.signum(value).cast("bigint")
+    digits = [F.when(size > 0, sign * (power + 2000)).otherwise(F.lit(0).cast("bigint"))]
+    rest = F.when(size > 0, size / F.pow(F.lit(2.0), power.cast("double")) - 1).otherwise(F.lit(0.0))
+    for _ in range(_FRACTION_DIGITS):
+        scaled = rest * _PER_DIGIT
+        digit = F.floor(scaled)
+        digits.append(sign * digit)
+        rest = scaled - digit
+    return digits
+
+
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Exact median per group from (keys, value, count) rows: the mean of the two middle values.
 
-    Built-in `median` keeps all different values of a group in one task. Here values are cut into
-    buckets by a monotone function; the bucket totals say which bucket holds the middle ranks, and
-    only the values of that bucket are ranked. A group has at most 4096 buckets per doubling of the
-    value and sign: some 250,000 for meter values, nine million for any double.
+    Built-in `median` keeps all different values of a group in one task. Here each pass fixes one
+    digit of the middle values: it counts the rows that share the digits found so far by their next
+    digit, and goes on with the digit that holds the middle rank. No window holds more than the
+    digits of one place (8192, or the powers of two), or in the end the values that are one double,
+    whatever the distribution.
     """
-    d = F.col(value).cast("double")
-    bucket = F.floor(F.signum(d) * F.log2(F.abs(d) + 1) * _BUCKETS_PER_OCTAVE)
-    bucketed = counts.withColumn("_bucket", bucket)
-    in_group = Window.partitionBy(*keys)
-    earlier = in_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum("_size").over(in_group)
-    totals = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.sum(count).alias("_size"))
-        .select(
-            *keys,
-            "_bucket",
-            "_size",
-            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-            F.floor((size + 1) / 2).alias("_lower"),
-            (F.floor(size / 2) + 1).alias("_upper"),
+    exact = F.col(value)
+    if isinstance(counts.schema[value].dataType, T.IntegralType):
+        exact = exact.cast("decimal(20,0)")
+    rows = counts.withColumn("_exact", exact).filter(F.col(value).isNotNull())
+    for k, digit in enumerate(_digits(F.col(value).cast("double"))):
+        rows = rows.withColumn(f"_d{k}", digit)
+    names = [f"_d{k}" for k in range(1 + _FRACTION_DIGITS)]
+    state = None
+    for k, name in enumerate(names):
+        path = [*keys, *names[:k]]
+        if state is None:
+            totals = rows.groupBy(*path, name).agg(F.sum(count).alias("_n"))
+            size = F.sum("_n").over(Window.partitionBy(*keys))
+            ranks = F.array(F.floor((size + 1) / 2), F.floor(size / 2) + 1)
+            ranked = totals.withColumn("_ranks", ranks).select(
+                *path, name, "_n", F.posexplode("_ranks").alias("_which", "_rank")
+            )
+        else:
+            totals = (
+                rows.join(state.select(*path).distinct(), path, "left_semi")
+                .groupBy(*path, name)
+                .agg(F.sum(count).alias("_n"))
+            )
+            ranked = totals.join(state, path)
+        state = _holding_rank(ranked, [*keys, "_which"], name, "_n").select(
+            *path, name, "_which", (F.col("_rank") - F.col("_before")).alias("_rank")
         )
-    )
+    found = rows.join(state, [*keys, *names])
+    middle = _holding_rank(found, [*keys, "_which"], value, count)
+    both = middle.groupBy(*keys).agg(F.min("_exact").alias("_low"), F.max("_exact").alias("_high"))
+    return both.select(*keys, ((F.col("_low") + F.col("_high")) / 2).cast("double").alias("result"))
 
-    def covers(rank: str, before: Column, size: Column) -> Column:
-        return (F.col(rank) > before) & (F.col(rank) <= before + size)
 
-    at, n = F.col("_before"), F.col("_size")
-    middle = totals.filter(covers("_lower", at, n) | covers("_upper", at, n)).drop("_size")
+def _holding_rank(ranked: DataFrame, keys: Sequence[str], order: str, count: str) -> DataFrame:
+    """The row of each group in whose span of ranks `_rank` lies, with the ranks `_before` it."""
     running = F.sum(count).over(
-        Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = bucketed.join(middle, [*keys, "_bucket"]).withColumn("_seen", running)
-    before = F.col("_before") + F.col("_seen") - F.col(count)
-    picked = ranked.groupBy(*keys).agg(
-        F.max(F.when(covers("_lower", before, F.col(count)), F.col(value))).alias("_low"),
-        F.max(F.when(covers("_upper", before, F.col(count)), F.col(value))).alias("_high"),
-    )
-    return picked.select(
-        *keys, ((F.col("_low") + F.col("_high")) / 2).cast("double").alias("result")
+        Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
+    seen = ranked.withColumn("_before", running - F.col(count))
+    at = F.col("_rank")
+    return seen.filter((at > F.col("_before")) & (at <= F.col("_before") + F.col(count)))
 
 
 def _combined(operation: str, total: Column, n: Column, low: Column, high: Column) -> Column:
@@ -114,14 +142,15 @@ def aggregate(
         values = values.filter(F.col(key).isNotNull())
     v = F.col("_v")
     if operation == "median":
-        counts = values.filter(v.isNotNull()).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
-        medians = median_of_counts(counts, keys, "_v", "_n")
+        seen = values.groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+        medians = median_of_counts(seen.filter(v.isNotNull()), keys, "_v", "_n")
         if keys:
-            return values.select(*keys).distinct().join(medians, keys, "left")
+            # groups without a value come from the same counts as the others
+            return seen.select(*keys).distinct().join(medians, keys, "left")
         return medians.agg(F.max("result").alias("result"))
     parts = {"sum": F.sum, "mean": F.sum, "min": F.min, "max": F.max, "count": F.count}
     if operation == "mean":
-        result = _combined("mean", F.sum(v), F.count(v), v, v)
+        result = _combined("mean", F.sum(_summable(values, "_v")), F.count(v), v, v)
     else:
         part = parts[operation](v)
         result = F.coalesce(part, F.lit(0)) if operation == "sum" else part
@@ -159,7 +188,7 @@ def aggregate_by_lookup(
         medians = median_of_counts(counts, keys, "_v", "_n")
         return medians if keys else medians.agg(F.max("result").alias("result"))
     per_key = values.groupBy(key).agg(
-        F.sum(v).alias("_sum") if operation in ("sum", "mean") else F.lit(None).alias("_sum"),
+        F.sum(_summable(values, "_v") if operation == "mean" else v).alias("_sum") if operation in ("sum", "mean") else F.lit(None).alias("_sum"),
         F.count(v).alias("_n"),
         F.min(v).alias("_min"),
         F.max(v).alias("_max"),
