@@ -33,6 +33,8 @@ def test_every_row_is_aggregated(tools):
     count = tools.pandas_aggregator(query, "count", "consumption_kwh")
     assert count == {"operation": "count", "column": "consumption_kwh", "result": 19200}
     groups = tools.pandas_aggregator(query, "sum", "consumption_kwh", "segment")["results"]
+    cut = tools.pandas_aggregator(query, "sum", "consumption_kwh", "segment", group_limit=1)
+    assert len(cut["results"]) == 1 and cut["truncated"]
     total = tools.pandas_aggregator("SELECT * FROM readings", "sum", "consumption_kwh")["result"]
     assert list(groups) == sorted(groups) and sum(groups.values()) == pytest.approx(total)
     mean = tools.pandas_aggregator("SELECT * FROM readings", "mean", "consumption_kwh")["result"]
@@ -64,3 +66,7 @@ def test_problems_are_errors(tools):
 def test_plot_series_is_whole(tools):
     query = "SELECT timestamp, consumption_kwh FROM readings WHERE customer_id = 5"
     assert tools.plot_series(query, "line", "timestamp", "consumption_kwh").count() == 960
+    titles = {
+        tools.plot_series(query, "line", "timestamp", "consumption_kwh", *t).first().title for t in ((), ("Mine",))
+    }
+    assert titles == {"consumption_kwh vs timestamp", "Mine"}

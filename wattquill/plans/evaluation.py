@@ -143,12 +143,21 @@ def _parsed_table(spark: SparkSession, d: str) -> DataFrame:
     return materialize(_parsed(spark, d).drop("response", "thought", "action_input"), "parsed")
 
 
-def _rewards_of(parsed: DataFrame) -> DataFrame:
-    return ep.episode_rewards(ep.episode_outcomes(parsed), testdata.expectations(parsed))
+def _plot_episodes(spark: SparkSession, d: str, parsed: DataFrame) -> DataFrame:
+    """Episodes with a plot call at one of their events that an existing file confirms."""
+    files = artifacts.list_artifacts(spark, d)
+    confirmed = artifacts.verified_plot_calls(testdata.plot_calls(spark, d), files, d)
+    events = confirmed.select(F.col("episode_id").alias("event_id"))
+    return parsed.join(events, "event_id", "left_semi").select("episode_id")
+
+
+def _rewards_of(spark: SparkSession, d: str, parsed: DataFrame) -> DataFrame:
+    plots = _plot_episodes(spark, d, parsed)
+    return ep.episode_rewards(ep.episode_outcomes(parsed), testdata.expectations(parsed), plots)
 
 
 def _rewards(spark: SparkSession, d: str) -> DataFrame:
-    return _rewards_of(_parsed_table(spark, d))
+    return _rewards_of(spark, d, _parsed_table(spark, d))
 
 
 def episode_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +214,7 @@ def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def step_rewards(spark: SparkSession, d: str) -> DataFrame:
     parsed = _parsed_table(spark, d)
-    return ep.step_rewards(parsed, ep.episode_outcomes(parsed), _rewards_of(parsed))
+    return ep.step_rewards(parsed, ep.episode_outcomes(parsed), _rewards_of(spark, d, parsed))
 
 
 def accuracy_by_category(spark: SparkSession, d: str) -> DataFrame:

@@ -511,12 +511,14 @@ EPISODES = {
  WHEN 2 THEN 'load_factor' WHEN 3 THEN 'count' ELSE 'plot' END AS category,
  CASE WHEN e.episode_id % 11 = 0 THEN 0.0::DOUBLE
  ELSE CAST(t.cents * CAST(1 + (e.episode_id % 5 - 2) * 0.03 AS DECIMAL(4,2)) AS DOUBLE) END AS expected,
- CASE WHEN e.episode_id % 4 = 0 THEN 'exact' ELSE 'relative' END AS kind
+ CASE WHEN e.episode_id % 5 = 4 THEN 'plot_exists' WHEN e.episode_id % 4 = 0 THEN 'exact' ELSE 'relative' END AS kind
  FROM ends e LEFT JOIN turns_parsed p ON p.episode_id = e.episode_id AND p.step = e.ended AND p.type = 'answer'
  LEFT JOIN turns t ON t.event_id = p.event_id""",
     "parts": """SELECT o.episode_id, category, success, CASE WHEN tool_calls > 0 THEN 2.0 ELSE -5.0 END::DOUBLE AS tool_part,
  CASE WHEN tool_calls = 0 THEN 0.0 WHEN success THEN 3.0 ELSE -3.0 END::DOUBLE AS success_part,
- CASE WHEN tool_calls > 0 AND success AND CASE WHEN kind = 'exact' THEN abs(answer_number - expected) <= 1e-6::DOUBLE
+ CASE WHEN tool_calls > 0 AND success AND CASE WHEN kind = 'plot_exists' THEN EXISTS (SELECT 1 FROM turns_parsed v
+   JOIN events e ON e.event_id = v.event_id WHERE v.episode_id = o.episode_id AND e.event_type NOT IN ('error', 'view')
+   AND e.event_id % 5 IN (0, 1)) WHEN kind = 'exact' THEN abs(answer_number - expected) <= 1e-6::DOUBLE
   WHEN expected = 0 THEN abs(answer_number) <= 0.05::DOUBLE
   ELSE abs(answer_number - expected) <= 0.05::DOUBLE * abs(expected) END THEN 5.0 ELSE 0.0 END::DOUBLE AS accuracy_part
  FROM outcomes o JOIN expected x ON x.episode_id = o.episode_id""",

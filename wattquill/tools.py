@@ -13,10 +13,11 @@ from wattquill.fixed_values import DEFAULT_ROW_LIMIT
 from wattquill.operators.aggregate import aggregate
 from wattquill.operators.billing import bill
 from wattquill.operators.loadfactor import load_factor
-from wattquill.operators.plotdata import plot_data
+from wattquill.operators.plotdata import plot_data, plot_title
 from wattquill.operators.sqlguard import guarded_sql, preview
 from wattquill.sources.tables import read_table, register_views
 
+GROUP_LIMIT = 10_000
 _PROBLEMS = {
     "customer_not_found": "Customer {id} not found",
     "no_tariff": "No tariff found for segment '{segment}'",
@@ -42,15 +43,25 @@ class MeterTools:
         return preview(guarded_sql(self.spark, query, row_limit), row_limit)
 
     def pandas_aggregator(
-        self, query: str, operation: str, column: str, group_by: str | None = None
+        self,
+        query: str,
+        operation: str,
+        column: str,
+        group_by: str | None = None,
+        group_limit: int = GROUP_LIMIT,
     ) -> dict:
-        """One aggregate over all rows of a SELECT, whole or by group."""
+        """One aggregate over all rows of a SELECT, whole or by group.
+
+        Of groups the first `group_limit` in their order are handed out, and `truncated` says whether
+        there are more; `aggregate` has them all, as a DataFrame.
+        """
         rows = guarded_sql(self.spark, query, row_limit=None)
         result = aggregate(rows, operation, column, group_by)
         answer = {"operation": operation, "column": column}
         if group_by:
-            groups = {r[group_by]: r["result"] for r in result.orderBy(group_by).collect()}
-            return answer | {"group_by": group_by, "results": groups}
+            rows = result.orderBy(group_by).limit(group_limit + 1).collect()
+            groups = {r[group_by]: r["result"] for r in rows[:group_limit]}
+            return answer | {"group_by": group_by, "results": groups, "truncated": len(rows) > group_limit}
         return answer | {"result": result.first()["result"]}
 
     def tariff_calculator(self, customer_id: int, start_date: str, end_date: str) -> dict:
@@ -64,10 +75,14 @@ class MeterTools:
         own = self.readings.filter(F.col("customer_id") == customer_id)
         return self._one(load_factor(self._request(customer_id, start_date, end_date), own))
 
-    def plot_series(self, query: str, plot_type: str, x_column: str, y_column: str) -> DataFrame:
-        """The series of a plot over all rows of a SELECT; drawing it is up to the caller."""
+    def plot_series(
+        self, query: str, plot_type: str, x_column: str, y_column: str, title: str = ""
+    ) -> DataFrame:
+        """The series of a plot over all rows of a SELECT, with its title (by default y vs x) in each
+        row; drawing it is up to the caller."""
         rows = guarded_sql(self.spark, query, row_limit=None)
-        return plot_data(rows, plot_type, x_column, y_column)
+        named = plot_title(x_column, y_column, title)
+        return plot_data(rows, plot_type, x_column, y_column).withColumn("title", F.lit(named))
 
     def _request(self, customer_id: int, start_date: str, end_date: str) -> DataFrame:
         first, last = date.fromisoformat(start_date), date.fromisoformat(end_date)
