@@ -76,9 +76,9 @@ def test_records(calls):
     assert records[0].success and records[0].error is None
     at = {(tool, args): i for i, (tool, args, *_) in enumerate(CASES)}
     missing = records[at["sql_executor", '{"row_limit": "many"}']]
-    assert missing.error == "Missing required parameter 'query' for tool 'sql_executor'"
+    assert missing.error == "parameter 'query' of tool 'sql_executor' is not given"
     unknown = records[at["nonexistent_tool", '{"a": 1}']].error
-    assert unknown.startswith("Unknown tool 'nonexistent_tool'. Available: sql_executor, pandas_aggregator")
+    assert unknown.startswith("no tool is called 'nonexistent_tool', there are sql_executor, pandas_aggregator")
     bad = records[at["tariff_calculator", '{"customer_id": "one"}']]
     assert not bad.success and "customer_id" in bad.error
 

@@ -50,7 +50,7 @@ def test_cases(frame, partitions):
 
 def test_error_texts(frame):
     turns = frame([(1, 1, "Action: t")], "episode_id bigint, step int, response string")
-    assert parse_turns(turns).first().error == "Action specified but no Action Input found"
+    assert parse_turns(turns).first().error == "an action without its input"
 
 
 def test_long_text_is_parsed_whole(frame):

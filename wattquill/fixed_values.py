@@ -66,9 +66,9 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 ERROR_TEXTS = {
-    "invalid_json": "Invalid JSON in Action Input",
-    "missing_action_input": "Action specified but no Action Input found",
-    "no_markers": "Could not parse response - missing Thought/Action/Answer markers",
+    "invalid_json": "the action input is not valid JSON",
+    "missing_action_input": "an action without its input",
+    "no_markers": "none of the section markers found",
 }
 NUMBER_PATTERN = r"[-+]?\d*\.\d+|\d+"
 

@@ -57,8 +57,8 @@ def episode_outcomes(parsed: DataFrame) -> DataFrame:
     )
     error = F.when(
         F.col("_end").isNull(),
-        F.lit(f"Max iterations ({fv.MAX_STEPS}) reached without answer"),
-    ).when(~success, F.concat(F.lit("Parse error: "), F.col("_error")))
+        F.lit(f"no answer within {fv.MAX_STEPS} steps"),
+    ).when(~success, F.concat(F.lit("unreadable turn: "), F.col("_error")))
     return grouped.select(
         "episode_id",
         status.alias("status"),

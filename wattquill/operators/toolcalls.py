@@ -149,14 +149,14 @@ def call_records(checked: DataFrame) -> DataFrame:
     error = (
         F.when(
             F.col("status") == "unknown_tool",
-            F.format_string(f"Unknown tool '%s'. Available: {tools}", name),
+            F.format_string(f"no tool is called '%s', there are {tools}", name),
         )
         .when(
             F.col("status") == "missing_parameter",
-            F.format_string("Missing required parameter '%s' for tool '%s'", param, name),
+            F.format_string("parameter '%s' of tool '%s' is not given", param, name),
         )
-        .when(F.col("status") == "bad_type", F.format_string("Cannot coerce parameter '%s'", param))
-        .when(F.col("status") == "arguments_not_object", F.lit("Arguments are not an object"))
+        .when(F.col("status") == "bad_type", F.format_string("the value of '%s' has the wrong type", param))
+        .when(F.col("status") == "arguments_not_object", F.lit("the arguments are no object"))
     )
     keys = [c for c in checked.columns if c in ("episode_id", "step")]
     return checked.select(

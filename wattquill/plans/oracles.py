@@ -432,9 +432,9 @@ def _parse(source: str, keys: str) -> dict[str, str]:
         f"{name}_parsed": f"""SELECT {keys}, CASE WHEN answer IS NOT NULL THEN 'answer' WHEN error_kind IS NOT NULL THEN 'error'
  WHEN action IS NOT NULL THEN 'action' ELSE 'thought_only' END AS type, thought, action,
  CASE WHEN error_kind IS NULL THEN j END AS action_input, answer, error_kind,
- CASE error_kind WHEN 'invalid_json' THEN 'Invalid JSON in Action Input'
- WHEN 'missing_action_input' THEN 'Action specified but no Action Input found'
- WHEN 'no_markers' THEN 'Could not parse response - missing Thought/Action/Answer markers' END AS error FROM {name}_kind""",
+ CASE error_kind WHEN 'invalid_json' THEN 'the action input is not valid JSON'
+ WHEN 'missing_action_input' THEN 'an action without its input'
+ WHEN 'no_markers' THEN 'none of the section markers found' END AS error FROM {name}_kind""",
     }
 
 
@@ -504,8 +504,8 @@ EPISODES = {
  ELSE 'failure' END AS status, coalesce(p.type = 'answer', false) AS success, coalesce(e.ended, 10) AS iterations,
  CAST((SELECT count(*) FROM turns_parsed c WHERE c.episode_id = e.episode_id AND c.type = 'action'
   AND c.step < coalesce(e.ended, 11)) AS INTEGER) AS tool_calls, p.answer, {_number("p.answer")} AS answer_number,
- CASE WHEN e.ended IS NULL THEN 'Max iterations (10) reached without answer'
-  WHEN p.type = 'error' THEN 'Parse error: ' || p.error END AS error
+ CASE WHEN e.ended IS NULL THEN 'no answer within 10 steps'
+  WHEN p.type = 'error' THEN 'unreadable turn: ' || p.error END AS error
  FROM ends e LEFT JOIN turns_parsed p ON p.episode_id = e.episode_id AND p.step = e.ended""",
     "expected": """SELECT e.episode_id, CASE CAST(e.episode_id % 5 AS INTEGER) WHEN 0 THEN 'aggregation' WHEN 1 THEN 'billing'
  WHEN 2 THEN 'load_factor' WHEN 3 THEN 'count' ELSE 'plot' END AS category,
@@ -594,10 +594,10 @@ def _evaluation_oracles() -> dict[str, str]:
         "call_success_by_tool": _with(
             calls,
             f"""SELECT tool, status, status = 'ok' AS success, CASE status
- WHEN 'unknown_tool' THEN 'Unknown tool ''' || tool || '''. Available: {tools}'
- WHEN 'missing_parameter' THEN 'Missing required parameter ''' || problem_param || ''' for tool ''' || tool || ''''
- WHEN 'bad_type' THEN 'Cannot coerce parameter ''' || problem_param || ''''
- WHEN 'arguments_not_object' THEN 'Arguments are not an object' END AS error,
+ WHEN 'unknown_tool' THEN 'no tool is called ''' || tool || ''', there are {tools}'
+ WHEN 'missing_parameter' THEN 'parameter ''' || problem_param || ''' of tool ''' || tool || ''' is not given'
+ WHEN 'bad_type' THEN 'the value of ''' || problem_param || ''' has the wrong type'
+ WHEN 'arguments_not_object' THEN 'the arguments are no object' END AS error,
  count(*) AS calls FROM checked GROUP BY ALL""",
         ),
         "episode_outcomes": _episodes("SELECT * FROM outcomes"),

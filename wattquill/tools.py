@@ -19,9 +19,9 @@ from wattquill.sources.tables import read_table, register_views
 
 GROUP_LIMIT = 10_000
 _PROBLEMS = {
-    "customer_not_found": "Customer {id} not found",
-    "no_tariff": "No tariff found for segment '{segment}'",
-    "no_readings": "No readings found for customer {id} in date range",
+    "customer_not_found": "there is no customer {id}",
+    "no_tariff": "segment '{segment}' has no tariff",
+    "no_readings": "customer {id} has no readings in the period",
 }
 
 
