@@ -36,7 +36,7 @@ LEXICON = 512
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
-KEPT_VOTES = 100_000
+KEPT_VOTES = 20_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5)
 
