@@ -54,6 +54,16 @@ def test_days_are_pruned(spark, meter, tmp_path):
     assert sorted(daily_profiles(january).select(key).collect()) == sorted(daily_profiles(whole).select(key).collect())
 
 
+def test_energy_filters_reach_the_scan(spark, meter, tmp_path):
+    root = str(tmp_path / "meter")
+    tables.write_tables(*meter, root)
+    high = tables.read_table(spark, root, "readings").filter("consumption_kwh > 1.5")
+    plan = high._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(consumption_kwh,1.500)" in plan
+    from_doubles = tables.exact_kwh(meter[2]).filter("consumption_kwh > 1.5")
+    assert high.count() == from_doubles.count()
+
+
 def test_unknown_table(spark):
     with pytest.raises(ValueError, match="customers, tariffs, readings"):
         tables.read_table(spark, "/nowhere", "meters")
