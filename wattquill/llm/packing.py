@@ -33,53 +33,107 @@ from wattquill.llm.common import once_per_worker, slices, stored, table, texts_o
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 500_000
+CACHED = 400_000
+WORD_END = "</w>"
+# letters without a case mapping or composition of their own kind, and marks that never join them
+LATIN_WORD = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
 ROWS_PER_BUCKET = 20_000
 
 
 class Encoder:
     """Ids of texts. Spaces and line feeds always part tokens in this vocabulary, so that each
-    distinct stretch between them is encoded once and looked up from then on."""
+    distinct stretch between them is encoded once and looked up from then on.
+
+    Most stretches are a Latin word with marks behind it. The vocabulary lowers its case and parts it
+    from the marks, so that both are looked up by themselves; words that are new are encoded many at a
+    time, and the end mark of a word's last token says where the next begins.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.size = np.zeros(0, np.int64)
+        self.place: dict[str, int] = {"": 0}
+        self.flat = [np.zeros(0, np.uint32)]
+        self.size = [np.zeros(1, np.int64)]
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names)), strict=True))
+        self.flat.append(ids.astype(np.uint32))
+        self.size.append(size)
+
+    def learn_whole(self, names: list[str]) -> None:
+        for k in range(0, len(names), 10_000):
+            some = names[k : k + 10_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.add(some, np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def learn_words(self, names: list[str]) -> None:
+        for k in range(0, len(names), 1000):
+            some = names[k : k + 1000]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self.add(some, ids, np.diff(ends, prepend=0))
+            else:
+                self.learn_whole(some)
+
+    def places(self, names: pa.Array, learn) -> np.ndarray:
+        """Where the ids of each name are; names may repeat or be null (the empty name)."""
+        encoded = pc.fill_null(names, "").dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
+        place = self.place
+        if new := [n for n in distinct if n not in place]:
+            learn(new)
+        where = np.fromiter(map(place.__getitem__, distinct), np.int64, len(distinct))
+        return where[encoded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         encoded = pc.list_flatten(parts).dictionary_encode()
-        names = encoded.dictionary.to_pylist()
         if len(self.place) > CACHED:
             self.clear()
-        new = [n for n in names if n not in self.place]
-        flats, sizes = [self.flat], [self.size]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flats.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
-        first = np.cumsum(self.size) - self.size
-        where = np.fromiter((self.place[n] for n in names), np.int64, len(names))
-        code = where[encoded.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[code]
-        ends = np.cumsum(size)
-        out = self.flat[np.repeat(first[code] - (ends - size), size) + np.arange(size.sum())]
-        cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        split = pc.extract_regex(encoded.dictionary, LATIN_WORD)
+        plain = pc.is_valid(split)
+        word, marks = (pc.if_else(plain, pc.struct_field(split, k), "") for k in (0, 1))
+        other = pc.if_else(plain, "", encoded.dictionary)
+        entries = np.stack(
+            [
+                self.places(pc.utf8_lower(word), self.learn_words),
+                self.places(marks, self.learn_whole),
+                self.places(other, self.learn_whole),
+            ],
+            axis=1,
+        )
+        self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
+        flat, sizes = self.flat[0], self.size[0]
+        # the ids of each distinct stretch, then those of all
+        each = entries.ravel()
+        flat, sizes = gathered(flat, np.cumsum(sizes) - sizes, sizes, each), sizes[each].reshape(-1, 3).sum(axis=1)
+        code = encoded.indices.to_numpy(zero_copy_only=False)
+        out = gathered(flat, np.cumsum(sizes) - sizes, sizes, code)
+        cuts = np.r_[0, np.cumsum(sizes[code])][np.r_[0, np.cumsum(counts)]]
         return out, np.diff(cuts)
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches `which` of `flat`, one after the other."""
+    n = size[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(first[which] - (ends - n), n) + np.arange(total)]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document."""
 
