@@ -136,7 +136,9 @@ def test_plot_artifacts(spark, tmp_path):
 def test_ground_truth_options(spark, small):
     customers = testdata.customers(spark, small)
     questions = wl.workload_questions(customers, "January 2024", "2024-01-01", "2024-01-31")
-    assert questions.count() == questions.select("query").distinct().count() == 150 * 8 + 2 * 6 + 6 + 3
+    assert questions.count() == questions.select("query").distinct().count() == 150 * 10 + 2 * 6 + 6 + 3
+    half = questions.filter(F.col("query").contains(" between 2024-01-01 and 2024-01-15")).first()
+    assert (str(half.start_date), str(half.end_date), half.tool) == ("2024-01-01", "2024-01-15", "calculate_load_factor")
     profiles = daily_profiles(testdata.readings(spark, small))
     minimum = F.col("query").contains("minimum consumption")
     true = wl.ground_truth(questions, customers, testdata.tariffs(spark, small), profiles).filter(minimum)
@@ -144,3 +146,12 @@ def test_ground_truth_options(spark, small):
     assert min(r.expected_value for r in true.collect()) > 0
     forced = wl.with_tolerance(true, force_zero_minimum=True)
     assert {r.expected_value for r in forced.collect()} == {0.0}
+
+
+def test_an_unknown_operation_is_not_left_out(spark, small):
+    customers = testdata.customers(spark, small)
+    asked = wl.workload_questions(customers, "January 2024", "2024-01-01", "2024-01-31")
+    odd = asked.filter(F.col("operation") == "mean").withColumn("operation", F.lit("median"))
+    profiles = daily_profiles(testdata.readings(spark, small))
+    with pytest.raises(Exception, match="no answer for the operation median"):
+        wl.ground_truth(odd, customers, testdata.tariffs(spark, small), profiles).collect()

@@ -85,7 +85,7 @@ EPOCHS, BATCH_SIZE = 3, 4
 ANSWER_DECIMALS = 4
 CATEGORIES = ("aggregation", "billing", "load_factor", "count", "plot")
 
-# question texts; {id}, {segment} and {month} are filled in
+# question texts; {id}, {segment}, {month}, {start} and {middle} are filled in
 CUSTOMER_QUESTIONS = {
     "sum": "What is the total consumption for customer {id}?",
     "mean": "What is the average consumption for customer {id}?",
@@ -95,7 +95,10 @@ CUSTOMER_QUESTIONS = {
     "load_factor": "What is the load factor for customer {id} in {month}?",
     "count_readings": "How many readings are there for customer {id}?",
     "plot": "Plot the daily consumption for customer {id} in {month}",
+    "half_load_factor": "What is the load factor for customer {id} between {start} and {middle}?",
+    "trend_plot": "Visualize the consumption trend for customer {id} in {month}",
 }
+HALF_MONTH_DAYS = 15
 SEGMENT_QUESTIONS = {
     "mean": "What is the average consumption for {segment} customers?",
     "sum": "What is the total consumption for {segment} customers?",

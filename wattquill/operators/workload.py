@@ -1,5 +1,7 @@
 """The question workload and its true answers, worked out as batches instead of one call each."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ _TOOLS = {
 
 def _question(name: str) -> tuple[str, str, str, bool]:
     """(category, tool, operation, whether it is about the month)."""
-    operation = name.removeprefix("month_")
+    operation = name.removeprefix("month_").removeprefix("half_").removeprefix("trend_")
     category, tool = _TOOLS.get(operation, ("aggregation", "pandas_aggregator"))
     return category, tool, operation, "{month}" in fv.CUSTOMER_QUESTIONS.get(name, "") or name != operation
 
@@ -34,15 +36,21 @@ def _question(name: str) -> tuple[str, str, str, bool]:
 def workload_questions(
     customers: DataFrame, month: str, start_date: str, end_date: str
 ) -> DataFrame:
-    """All questions about one month: a fixed number per customer, per segment and in general."""
+    """All questions about one month: a fixed number per customer, per segment and in general.
+
+    One load factor is asked for the first half of the month. For several months join the results
+    with `unionByName` and `distinct`: undated questions are the same in each.
+    """
     spark = customers.sparkSession
+    middle = (date.fromisoformat(start_date) + timedelta(days=fv.HALF_MONTH_DAYS - 1)).isoformat()
 
     def asked(templates: dict[str, str], scope: str, key: Column, slot: str, customer_id: Column) -> Column:
         structs = []
         for name, template in templates.items():
             category, tool, operation, monthly = _question(name)
-            text = template.replace("{month}", month)
-            start, end = (start_date, end_date) if monthly else (None, None)
+            text = template.replace("{month}", month).replace("{start}", start_date).replace("{middle}", middle)
+            last = middle if name.startswith("half_") else end_date
+            start, end = (start_date, last) if monthly else (None, None)
             structs.append(
                 F.struct(
                     F.replace(F.lit(text), F.lit(slot), key).alias("query"),

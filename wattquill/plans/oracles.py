@@ -36,6 +36,8 @@ METER = {
   (4, '2024-01-01', NULL), (5, NULL, NULL), (6, '1990-01-01', '1990-12-31')) o(k, s, e) WHERE customer_id % 100 < 4""",
     "month_requests": f"""SELECT customer_id AS request_id, customer_id, DATE '{START}' AS start_date,
  DATE '{END}' AS end_date FROM customers""",
+    "half_requests": f"""SELECT customer_id AS request_id, customer_id, DATE '{START}' AS start_date,
+ DATE '2024-01-15' AS end_date FROM customers""",
     "order_wh": """SELECT o_custkey AS customer_id, CAST(l_shipdate AS DATE) AS day,
  CAST(l_orderkey % 24 AS INTEGER) AS hour, CAST(l_quantity * 1000 AS BIGINT) AS wh
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -121,7 +123,11 @@ FOUND_FACTORS = "SELECT * EXCLUDE (request_id) FROM factors WHERE status = 'ok'"
 
 # --- workload ---------------------------------------------------------------------------------
 
-_CUSTOMER = {name: text.replace("{month}", meter.MONTH_NAME) for name, text in fv.CUSTOMER_QUESTIONS.items()}
+HALF_END = "2024-01-15"
+_CUSTOMER = {
+    name: text.replace("{month}", meter.MONTH_NAME).replace("{start}", START).replace("{middle}", HALF_END)
+    for name, text in fv.CUSTOMER_QUESTIONS.items()
+}
 _SEGMENT = {name: text.replace("{month}", meter.MONTH_NAME) for name, text in fv.SEGMENT_QUESTIONS.items()}
 _GENERAL = {name: text.replace("{month}", meter.MONTH_NAME) for name, text in fv.GENERAL_QUESTIONS.items()}
 _VALUES = {
@@ -142,6 +148,11 @@ def _truth() -> dict[str, str]:
  'load_factor', load_factor FROM factors""",
         f"""SELECT replace('{_CUSTOMER["plot"]}', '{{id}}', CAST(customer_id AS VARCHAR)), 'plot', 1.0 FROM customers""",
     ]
+    parts += [
+        f"""SELECT replace('{_CUSTOMER["half_load_factor"]}', '{{id}}', CAST(customer_id AS VARCHAR)),
+ 'load_factor', load_factor FROM half_factors""",
+        f"""SELECT replace('{_CUSTOMER["trend_plot"]}', '{{id}}', CAST(customer_id AS VARCHAR)), 'plot', 1.0 FROM customers""",
+    ]
     parts += [f"SELECT '{text}', 'plot', 1.0" for text in fv.PLOT_QUESTIONS]
     for scope, texts, slot, key in (
         ("customer", _CUSTOMER, "{id}", "c.customer_id"),
@@ -166,7 +177,8 @@ def _truth() -> dict[str, str]:
  CAST({_VALUES[operation]} AS DOUBLE) FROM {join} GROUP BY {key}"""
                 )
     minimum = f"contains(query, '{fv.MINIMUM_QUESTION}')"
-    return MONTH_BILLS | MONTH_FACTORS | {
+    half = {f"half_{name}": sql.replace("FROM loads", "FROM half_loads") for name, sql in _factors("half_requests").items()}
+    return MONTH_BILLS | MONTH_FACTORS | half | {
         "answers": "\nUNION ALL ".join(parts),
         "truth": f"""SELECT query, category, round(CAST(value AS DOUBLE), 4) AS expected_value,
  CAST(CASE WHEN category IN ('plot', 'count') OR {minimum} THEN 0 ELSE 0.05 END AS DOUBLE) AS tolerance,
