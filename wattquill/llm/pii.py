@@ -113,12 +113,17 @@ TOKEN = re.compile(r"\w+|[^\w]")
 LABELS = ("O", *KINDS)
 
 
+# a cheap look before the pattern of written-out addresses: an at sign or its words, and a dot in words
+AT_MARKS = ("(at)", "[at]", " @", "@ ", " at ")
+DOT_MARKS = ("dot", "(at)", "[at]", " @", "@ ")
+
+
 def runs(text: str) -> Iterator[tuple[int, int]]:
     for m in NUMBERS.finditer(text):
         if m.end() - m.start() > 6:
             yield m.start(), m.end()
-    lower = text.lower() if "@" in text or "dot" in text or "DOT" in text or "Dot" in text or "at)" in text or "at]" in text else ""
-    if lower and len(lower) == len(text) and ("dot" in lower or "(at)" in lower or "[at]" in lower or "@ " in lower or " @" in lower):
+    lower = text.lower()
+    if any(m in lower for m in DOT_MARKS) and any(m in lower for m in AT_MARKS):
         for m in SPELLED.finditer(text):
             yield m.start(), m.end()
 
