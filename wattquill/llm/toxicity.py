@@ -14,7 +14,8 @@ sent to all tasks; every document is scored, whole.
 
 Defined cases: a null or empty text, or one without a lexicon term, gets the share of toxic rows
 among such examples. Null labels and ids are not learned from; a document with several labels
-counts as toxic if one says so. Repeated rows are scored each. Without any labels the score is 0.5;
+counts as toxic if one says so, one with several texts is learned from by the first in order.
+Repeated rows are scored each. Without any labels the score is 0.5;
 with labels of one class only, that class's.
 """
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import Words, set_aside, slices, table, texts_of, with_text
+from wattquill.llm.common import Words, set_aside, slices, stored, table, texts_of, with_text
 
 EXAMPLES = 6000
 LEXICON = 512
@@ -201,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(EXAMPLES).unionByName(
         usable.filter("toxic = 0").orderBy(order, "doc_id").limit(EXAMPLES)
     )
-    # at most 2 * EXAMPLES rows of two numbers
-    texts = with_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # at most 2 * EXAMPLES rows of two numbers; one text for each, read from a small table from here on
+    texts = with_text(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
+    texts = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
