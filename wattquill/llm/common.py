@@ -23,7 +23,7 @@ from wattquill.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules["wattquill.llm"])
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 
 T = TypeVar("T")
 
