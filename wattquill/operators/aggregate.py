@@ -82,12 +82,12 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count:
                 *path, name, "_n", F.posexplode("_ranks").alias("_which", "_rank")
             )
         else:
-            totals = (
-                rows.join(state.select(*path).distinct(), path, "left_semi")
-                .groupBy(*path, name)
+            # the state is read once in each pass, so that the plan grows with the passes only
+            ranked = (
+                rows.join(state, path)
+                .groupBy(*path, name, "_which", "_rank")
                 .agg(F.sum(count).alias("_n"))
             )
-            ranked = totals.join(state, path)
         state = _holding_rank(ranked, [*keys, "_which"], name, "_n").select(
             *path, name, "_which", (F.col("_rank") - F.col("_before")).alias("_rank")
         )
