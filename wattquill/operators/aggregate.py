@@ -10,8 +10,8 @@ from wattquill.fixed_values import AGGREGATIONS
 from wattquill.functions.numeric import skip_nan
 
 _FLOATS = (T.FloatType, T.DoubleType)
-# the fraction of a double in digits: 4 * 13 bits
-_FRACTION_DIGITS, _PER_DIGIT = 4, 8192.0
+# the fraction of a double, 52 bits, in digits of 18 bits
+_FRACTION_DIGITS, _PER_DIGIT = 3, 262144.0
 
 
 def _check(df: DataFrame, operation: str, column: str, group_by: str | None) -> None:
@@ -40,8 +40,8 @@ def _plain(df: DataFrame, name: str) -> DataFrame:
 
 
 def _digits(value: Column) -> list[Column]:
-    """A value as five digits that order it: sign and power of two, then the 52 bits of the fraction,
-    13 at a time. Every step is monotone, so equal leading digits mean neighbours."""
+    """A value as four digits that order it: sign and power of two, then the 52 bits of the fraction,
+    18 at a time. Every step is monotone, so equal leading digits mean neighbours."""
     size = F.abs(value)
     power = F.floor(F.log2(size))
     sign = F.signum(value).cast("bigint")
@@ -61,7 +61,7 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count:
     Built-in `median` keeps all different values of a group in one task. Here each pass fixes one
     digit of the middle values: it counts the rows that share the digits found so far by their next
     digit, and goes on with the digit that holds the middle rank. No window holds more than the
-    digits of one place (8192, or the powers of two), or in the end the values that are one double,
+    digits of one place (262,144, or the powers of two), or in the end the values that are one double,
     whatever the distribution.
     """
     exact = F.col(value)
