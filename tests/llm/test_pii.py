@@ -91,6 +91,21 @@ def test_the_field_adds_what_patterns_miss(field):
     assert spans("at home a dot is a dot") == []
 
 
+@pytest.mark.parametrize("address", ["john@example dot com", "john@example[dot]com", "john at example.com", "john@example(dot)com", "JOHN AT EXAMPLE.COM", "john at example.com"])
+def test_runs_do_not_depend_on_the_rest(field, address):
+    alone = f"so {address} it is"
+    other = " or an anecdote (at) home @ [at] noon, . dot"
+    found = [pii.all_spans(t, [], field) for t in (alone, alone + other)]
+    assert [s for s in pii.runs(alone)] == [s for s in pii.runs(alone + other) if s[1] <= len(alone)]
+    assert found[0] == [s for s in found[1] if s[2] <= len(alone)]
+    assert [m.span() for m in pii.SPELLED.finditer(alone)] == list(pii.runs(alone))
+
+
+def test_mixed_ways_to_write_an_address(field):
+    for address in ("john@example dot com", "john@example[dot]com"):
+        assert [(k, a, b) for k, a, b in pii.all_spans(f"write {address} today", [], field)] == [("email", 6, 6 + len(address))]
+
+
 def test_generated_examples_are_found(field):
     right = total = 0
     for text, gold in pii.generated(300, seed=99):

@@ -113,9 +113,9 @@ TOKEN = re.compile(r"\w+|[^\w]")
 LABELS = ("O", *KINDS)
 
 
-# a cheap look before the pattern of written-out addresses: an at sign or its words, and a dot in words
-AT_MARKS = ("(at)", "[at]", " @", "@ ", " at ")
-DOT_MARKS = ("dot", "(at)", "[at]", " @", "@ ")
+# a cheap look before the pattern of written-out addresses: what each match has, and may be elsewhere
+AT_MARKS = ("@", "at")
+DOT_MARKS = (".", "dot")
 
 
 def runs(text: str) -> Iterator[tuple[int, int]]:
