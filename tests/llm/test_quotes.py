@@ -71,6 +71,19 @@ def test_replies(frame):
     assert not any(">" in r.own for r in got)
 
 
+def test_short_quotes_and_scripts_without_spaces(frame):
+    rows = [
+        (1, 0, "u", "Shall we go there?"), (1, 1, "v", "Yes."), (1, 2, "u", "> Yes.\nWhen is it then?"), (1, 3, "v", ">> Yes.\n> When is it then?\nSoon."),
+        (1, 4, "u", "Thanks!"), (1, 5, "v", "> thanks\nWelcome"), (1, 6, "u", "👍"), (1, 7, "v", "> 👍\nok"),
+        (2, 0, "u", "我喜欢喝茶。你也喜欢喝茶吗？"), (2, 1, "v", "咖啡更好。水是最好的。"), (2, 2, "u", "> 水是\n> 最好的。\n不对。"), (2, 3, "v", "> 我喜欢喝茶。\n好。"), (2, 4, "u", "> 好。\n对"),
+        # a long sentence decides, a short one between equals
+        (3, 0, "u", "Red. The first remark here."), (3, 1, "v", "Blue. The second remark here."), (3, 2, "u", "> Red.\n> The second remark here."),
+        (3, 3, "v", "> Red. The first remark here.\n> The second remark here."),
+    ]
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.ordered(frame(rows, SCHEMA)).collect() if r.reply_to is not None}
+    assert got == {(1, 2): 1, (1, 3): 2, (1, 5): 4, (1, 7): 6, (2, 2): 1, (2, 3): 0, (2, 4): 3, (3, 2): 1, (3, 3): 0}
+
+
 def test_deep_threads(frame):
     rows = [(1, 0, "u", "begin with number zero.")]
     rows += [(1, k, "u", f"> {rows[0][3] if k == 1 else f'answer with number {k - 1}x.'}\nanswer with number {k}x.") for k in range(1, 70)]

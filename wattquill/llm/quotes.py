@@ -5,7 +5,8 @@ with one depth are a passage, whatever its line breaks. A line that ends in a co
 quote and names who wrote (`On ... wrote:`) goes with it. Passages and own text are cut into
 sentences; normalised (letters and digits only, lower case) they are hashed. A quoted sentence is
 joined to the first message of its conversation that has it as its own text; the message that most
-of the shallowest quotes point to, the later of two, is the one replied to. Replies hang together as
+of the shallowest quotes point to, the later of two, is the one replied to. Sentences of one word, and
+passages as a whole, decide between equals, and alone where no longer sentence links. Replies hang together as
 threads; within a conversation threads follow each other by their first message, and a reply always
 comes after what it answers. Messages without a link begin a thread, so plain conversations keep
 their order. The messages, freed from quotes, are written in parts of at most `PART` messages.
@@ -35,8 +36,13 @@ PART = 64
 LEAST_WORDS = 2
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 WROTE = re.compile(r"\b(wrote|writes|said|schrieb|escribió|écrit)\b.*:\s*$", re.I)
-SENTENCE = re.compile(r"[.!?…]+(?:\s+|$)|\n{2,}")
+SENTENCE = re.compile(r"[.!?…]+(?:\s+|$)|[。！？｡．]+\s*|\n{2,}")
 INNER = re.compile(r"[^\w]+|_+")
+# letters of scripts without spaces between words: so many count as a sentence
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+UNSPACED_LETTER = re.compile(UNSPACED)
+UNSPACED_BREAK = re.compile(f"(?<={UNSPACED}) (?={UNSPACED})")
+LEAST_UNSPACED = 4
 MOST_ROUNDS = 64
 
 
@@ -61,21 +67,36 @@ def levels(text: str) -> list[tuple[int, str]]:
     return found
 
 
+def normalised(text: str) -> str:
+    """Letters and digits, lower case; of a text without any, its marks."""
+    words = UNSPACED_BREAK.sub("", " ".join(INNER.sub(" ", text.lower()).split()))
+    return words or "".join(text.split())
+
+
+def hashed(unit: str) -> int:
+    return xxhash.xxh3_64_intdigest(unit) - 2**63
+
+
+def is_long(unit: str) -> bool:
+    return unit.count(" ") + 1 >= LEAST_WORDS or len(UNSPACED_LETTER.findall(unit)) >= LEAST_UNSPACED
+
+
 def sentence_hashes(passage: str) -> set[int]:
-    """Hashes of the sentences with at least `LEAST_WORDS` words."""
-    out = set()
-    for sentence in SENTENCE.split(passage):
-        words = INNER.sub(" ", (sentence or "").lower()).split()
-        if len(words) >= LEAST_WORDS:
-            out.add(xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63)
-    return out
+    """Hashes of the sentences with at least `LEAST_WORDS` words, or as much without spaces."""
+    return {hashed(u) for u in map(normalised, SENTENCE.split(passage)) if is_long(u)}
+
+
+def other_hashes(passage: str) -> set[int]:
+    """Hashes of the shorter sentences, and of the whole passage if it is not one sentence."""
+    units = {normalised(x) for x in (*SENTENCE.split(passage), passage)}
+    return {hashed(u) for u in units if u} - sentence_hashes(passage)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own (text without quotes), units (hashes of own sentences) and quoted
-    (depth and hash)."""
-    schema = "conv_id long, turn long, role string, own string, units array<long>, quoted array<struct<depth:int,unit:long>>"
-    quoted_type = pa.list_(pa.struct([("depth", pa.int32()), ("unit", pa.int64())]))
+    """conv_id, turn, role, own (text without quotes), units (hashes of own sentences and passages) and
+    quoted (depth, hash, and whether it is of a long sentence)."""
+    schema = "conv_id long, turn long, role string, own string, units array<long>, quoted array<struct<depth:int,unit:long,long:boolean>>"
+    quoted_type = pa.list_(pa.struct([("depth", pa.int32()), ("unit", pa.int64()), ("long", pa.bool_())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,8 +106,16 @@ def parsed(messages: DataFrame) -> DataFrame:
                     passages = levels(text.replace("\r\n", "\n"))
                     mine = "\n".join(p for depth, p in passages if not depth)
                     own.append(re.sub(r"\n{3,}", "\n\n", mine).strip())
-                    units.append(sorted(set().union(*(sentence_hashes(p) for d, p in passages if not d))))
-                    quoted.append([{"depth": d, "unit": u} for d, p in passages if d for u in sorted(sentence_hashes(p))])
+                    units.append(sorted(set().union(*(sentence_hashes(p) | other_hashes(p) for d, p in passages if not d))))
+                    quoted.append(
+                        [
+                            {"depth": d, "unit": u, "long": long}
+                            for d, p in passages
+                            if d
+                            for long, hashes in ((True, sentence_hashes(p)), (False, other_hashes(p)))
+                            for u in sorted(hashes)
+                        ]
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("conv_id", "turn", "role")), pa.array(own, pa.string()), pa.array(units, pa.list_(pa.int64())), pa.array(quoted, quoted_type)],
                     ["conv_id", "turn", "role", "own", "units", "quoted"],
@@ -99,7 +128,7 @@ def links(rows: DataFrame) -> DataFrame:
     """conv_id, turn and the turn replied to, of messages whose quotes are found."""
     known = rows.filter("conv_id is not null and turn is not null")
     asked = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
-        "conv_id", "turn", "q.depth", "q.unit"
+        "conv_id", "turn", "q.depth", "q.unit", "q.long"
     ).distinct()
     first = (
         known.select("conv_id", "turn", F.explode("units").alias("unit"))
@@ -113,9 +142,9 @@ def links(rows: DataFrame) -> DataFrame:
         asked.join(first, ["conv_id", "unit"])
         .filter("reply_to < turn")
         .groupBy("conv_id", "turn", "depth", "reply_to")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count_if("long").alias("n"), F.count_if(~F.col("long")).alias("short"))
         .groupBy("conv_id", "turn")
-        .agg(F.max_by("reply_to", F.struct(-F.col("depth"), "n", "reply_to")).alias("reply_to"))
+        .agg(F.max_by("reply_to", F.struct(F.col("n") > 0, -F.col("depth"), "n", "short", "reply_to")).alias("reply_to"))
     )
 
 
