@@ -39,6 +39,18 @@ CASES = [
     ("<a href='open>link", "link"),
     ("<select><option>a<option>b</select>", "a\nb"),
     ("<textarea>  a\n b</textarea>", "  a\n b"),
+    ("<style>@media print { .nav { display:none } }</style><p class=nav>yes", "yes"),
+    ("<style>@media only screen and (max-width: 600px){.n{display:none}.m{color:red}}.o{display:none}</style><p class=n>yes<p class=o>no", "yes"),
+    ("<style>@media screen, print{.n{display:none}}@media not print{.m{display:none}}</style><p class=n>no<p class=m>no<p>yes", "yes"),
+    ("<style>@media (min-width:40em){.n{display:none}}@media(max-width:5px){p{display:none}}</style><p>yes<p class=n>no", "yes"),
+    ("<style>@supports (display:grid){@media print{p{display:none}} .n{display:none}}</style><p>yes<p class=n>no", "yes"),
+    ("<style>@import 'a.css'; /* } p{display:none} */ b{content:'}'} .n{display:none}</style><p>yes<p class=n>no", "yes"),
+    ("<style>@keyframes k{from{display:none}} @media (prefers-reduced-motion){p{display:none}}</style><p>yes", "yes"),
+    ("<style media=print>p{display:none}</style><style media='screen'>.n{display:none}</style><p>yes<p class=n>no", "yes"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+    ("a<svg>no<defs><text>no</text></defs><title>no</title><text x=1>one</text><g><text>t<tspan>wo</tspan></text></g></svg>b", "a\none\ntwo\nb"),
+    ("<map name=m><area href=x>yes</map>", "yes"),
+    ("a<xmp> <b>x</b>\n  &amp;</xmp>b", "a\n\n <b>x</b>\n  &amp;\n\nb"),
 ]
 
 

@@ -35,8 +35,10 @@ MOST_SPAN = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
-NO_BOX = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas svg math map".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir".split())
+NO_BOX = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
+# in a drawing only `text` and foreign objects show text, and these none at all
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure hr fieldset menu dir".split())
 LINE = frozenset(
     "html body div section article aside nav header footer main address form li dt dd figcaption "
     "details summary dialog legend center caption hgroup search option optgroup".split()
@@ -74,10 +76,64 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|
 SPACES = re.compile(r"[ \t\n\r\f]+")
 HIDES = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
+STYLE_PART = re.compile(r"((?:[^{};\"']++|\"[^\"\n]*+\"?|'[^'\n]*+'?)*+)([{};]|\Z)")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+MEDIA = re.compile(r"(?:(not|only)\s+)?([\w-]*)(?:(?:^|\s+and\s+|\s*)(\(.*\)))?", re.S)
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)?\s*\)")
+SCREEN_WIDTH = 1280
 SIMPLE = re.compile(r"[.#]?[\w-]+")
 
 
+def on_screen(query: str) -> bool:
+    """Whether a media query holds for a screen `SCREEN_WIDTH` wide; not, if that can't be told."""
+
+    def holds(one: str) -> bool:
+        m = MEDIA.fullmatch(one.strip().lower())
+        if not m:
+            return False
+        kind = m[2] in ("", "all", "screen")
+        features = [f for f in re.split(r"\s+and\s+", m[3] or "") if f]
+        known = [WIDTH.fullmatch(f) for f in features]
+        if not all(known):
+            return m[1] == "not" and not kind
+        wide = all(
+            (SCREEN_WIDTH >= size) if f[1] == "min" else (SCREEN_WIDTH <= size)
+            for f in known
+            for size in [float("0" + f[2].rstrip(".")) * (16 if f[3] in ("em", "rem") else 1) if f[2].count(".") < 2 else 0.0]
+        )
+        return (kind and wide) != (m[1] == "not")
+
+    return not query.strip() or any(map(holds, query.split(",")))
+
+
+def hidden_by(sheet: str) -> set[str]:
+    """Simple selectors that a style sheet takes off the screen. Rules in a condition that does not
+    hold, or can't be told, hide nothing."""
+    found: set[str] = set()
+    open_: list[tuple[bool, list[str]]] = [(True, [])]  # holds, selectors
+    for m in STYLE_PART.finditer(COMMENT.sub(" ", sheet)):
+        text, mark = m[1].strip(), m[2]
+        holds, selectors = open_[-1]
+        if mark == "{":
+            if text.startswith("@"):
+                rule = re.match(r"@([\w-]*)", text)[1].lower()
+                if rule == "media":
+                    holds = holds and on_screen(text[6:])
+                elif rule not in ("supports", "layer"):
+                    holds = False
+                open_.append((holds, selectors))
+            else:
+                # a rule inside another one speaks of its descendants only
+                names = [s.strip() for s in text.split(",") if SIMPLE.fullmatch(s.strip())]
+                open_.append((holds and not selectors, names))
+            continue
+        if holds and selectors and HIDES.search(text):
+            found.update(selectors)
+        if mark == "}" and len(open_) > 1:
+            open_.pop()
+    return found
+
+
 class Paper:
     """Lines of text; asks for line ends and empty lines are met before the next text."""
 
@@ -224,6 +280,7 @@ class Element:
     spans: tuple[int, int] = (1, 1)
     closed: bool = False  # details of which only the summary shows
     gap: int = 0
+    drawn: bool = False  # in a drawing, outside its texts
 
 
 class Page:
@@ -268,26 +325,30 @@ class Page:
             if name in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
                 stop = end.start() if end else size
-                self.raw(name, source[at:stop])
+                self.raw(name, source[at:stop], attributes)
                 at = stop
         while len(self.open) > 1:
             self.close()
         return "\n".join(self.papers[0].done())
 
-    def raw(self, name: str, text: str) -> None:
+    def raw(self, name: str, text: str, source: str) -> None:
         if name == "style":
-            for selectors, body in RULE.findall(text):
-                if HIDES.search(body):
-                    self.hidden_names.update(s.strip() for s in selectors.split(",") if SIMPLE.fullmatch(s.strip()))
-        elif name == "title":
+            media = next((m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(source) if m[0].lower() == "media"), "")
+            if on_screen(html.unescape(media)):
+                self.hidden_names |= hidden_by(text)
+        elif name == "title" and not any(e.drawn for e in self.open[:-1]):
             self.title.append(text)
         elif name == "textarea":
             self.text(text)
+        elif name == "xmp":
+            self.text(text, literal=True)
 
-    def text(self, source: str) -> None:
+    def text(self, source: str, literal: bool = False) -> None:
         top = self.open[-1]
+        if top.drawn:
+            return
         if top.shown and top.visible and not top.closed and top.tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-            self.papers[-1].text(html.unescape(source) if "&" in source else source, top.kept)
+            self.papers[-1].text(html.unescape(source) if "&" in source and not literal else source, top.kept)
         elif top.shown and top.visible and not top.closed and source.strip():
             # text that is misplaced between cells stands before the table
             outer = self.papers[-1]
@@ -325,6 +386,7 @@ class Page:
         names = {name, f"#{attributes.get('id', '')}", *(f".{c}" for c in attributes.get("class", "").split())}
         shown = top.shown and not (
             name in NO_BOX
+            or top.drawn and name in UNDRAWN
             or "hidden" in attributes
             or HIDES.search(style)
             or (self.hidden_names and self.hidden_names & names)
@@ -345,12 +407,13 @@ class Page:
                 elif name == "input" and attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
                     paper.text(attributes.get("value", ""), False)
             return
-        e = Element(name, bool(shown), visible, top.kept or name in ("pre", "textarea"))
+        e = Element(name, bool(shown), visible, top.kept or name in ("pre", "xmp", "textarea"))
         e.closed = name == "details" and "open" not in attributes
+        e.drawn = name == "svg" or top.drawn and name not in ("text", "foreignobject")
         self.open.append(e)
         if not shown:
             return
-        if name in BLOCK:
+        if name in BLOCK or name == "text" and top.drawn:
             e.gap = 2 if name in APART else 1
             inner = name in ("ul", "ol", "menu", "dir", "dl") and any(x.tag in ("li", "dd") for x in self.open[:-1])
             e.gap = 1 if inner else e.gap
