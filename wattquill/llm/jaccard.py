@@ -1,9 +1,9 @@
 """Similarity join of documents on the Jaccard similarity of their five-word shingles.
 
-Documents with equal shingle sets are one node. Each node has a MinHash signature cut into `TREES`
-strips: a strip is a path in a sorted prefix trie. Two nodes are candidates if their paths in any
-trie begin with the same `prefix` values. The prefix starts at `DEPTH` values and is shortened until
-a pair at the threshold is found with at least `RECALL`: 4 values of 16 tries, 0.9998. Candidates
+Documents with equal shingle sets are one node. Each node has a MinHash signature of `TREES` bands of
+equal length; two nodes are candidates if any band is equal. This is banding, not a forest of prefix
+tries: the threshold is fixed, so the length follows from it before data is read, the longest up to
+`DEPTH` that finds a pair at the threshold with at least `RECALL`: 4 values, 0.9998. Candidates
 are linked to the smallest node with their prefix, not to each other; the connected parts of that
 graph hold every candidate pair. Inside each part all pairs are compared exactly, from the shingle
 sets. A large part is cut into blocks, and each pair of blocks is a group of its own, so that a
