@@ -5,7 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattquill.llm import fingerprint, jaccard, layout, mixing, packing, passages, pii, quotes, toxicity, voronoi
+from wattquill.llm import (
+    fingerprint,
+    jaccard,
+    layout,
+    mixing,
+    packing,
+    passages,
+    pii,
+    quotes,
+    records,
+    toxicity,
+    voronoi,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_voronoi": voronoi.op9_voronoi,
         "op10_passages": passages.op10_passages,
+        "op13_records": records.op13_records,
         "pipeline": corpus_pipeline.run,
     }
 
