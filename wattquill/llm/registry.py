@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wattquill.llm import (
+    crosstokens,
     fingerprint,
     jaccard,
     layout,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_voronoi": voronoi.op9_voronoi,
         "op10_passages": passages.op10_passages,
+        "op11_crosstokens": crosstokens.op11_crosstokens,
         "op13_records": records.op13_records,
         "pipeline": corpus_pipeline.run,
     }
