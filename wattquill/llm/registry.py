@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wattquill.llm import (
+    collocations,
     crosstokens,
     fingerprint,
     jaccard,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_voronoi": voronoi.op9_voronoi,
         "op10_passages": passages.op10_passages,
         "op11_crosstokens": crosstokens.op11_crosstokens,
+        "op12_collocations": collocations.op12_collocations,
         "op13_records": records.op13_records,
         "pipeline": corpus_pipeline.run,
     }
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.op6_sql(),
         "op9_voronoi": voronoi.OP9_SQL,
+        "op12_collocations": collocations.OP12_SQL,
     }
