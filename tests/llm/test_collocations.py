@@ -105,10 +105,10 @@ def test_small_blocks_and_sections_odd_texts(spark, frame, monkeypatch):
 
 
 def test_products_beyond_64_bits(spark, frame):
-    score = frame([(3 * 10**12, 10**13, 7, 10**6)], "a long, n long, l long, r long").selectExpr(
+    score = frame([(3 * 10**12, 10**13, 4 * 10**12, 7 * 10**12 + 1)], "a long, n long, l long, r long").selectExpr(
         "(cast(1000 as decimal(38,0)) * a * n) div (cast(l as decimal(38,0)) * r) as s"
     )
-    assert score.first()["s"] == 1000 * 3 * 10**12 * 10**13 // (7 * 10**6)
+    assert score.first()["s"] == 1000 * 3 * 10**12 * 10**13 // (4 * 10**12 * (7 * 10**12 + 1))
 
 
 def test_empty_table(spark, frame):
