@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wattquill.operators import billing, loadfactor, plotdata
 from wattquill.operators.aggregate import aggregate_by_lookup
-from wattquill.operators.usage import daily_profiles, period_days, reading_span, usage_profiles
+from wattquill.operators.periods import period_totals, sparse_table
+from wattquill.operators.usage import daily_profiles, usage_profiles
 from wattquill.sources import constants, testdata
 
 READINGS = "reading_id bigint, customer_id bigint, timestamp timestamp_ntz, consumption_kwh decimal(12,3)"
@@ -118,21 +119,56 @@ def test_bills_from_profiles(frames):
     assert direct == sorted(map(str, rolled.collect()))
 
 
-def test_days_of_a_period_are_those_with_readings(frames, spark):
-    readings = frames[2]
-    span = reading_span(readings)
+def test_totals_of_odd_periods(frames, spark):
+    profiles = daily_profiles(frames[2])
     rows = [
-        (1, "0001-01-01", "9999-12-31"), (2, "2024-01-20", "2024-01-10"), (3, None, "2024-01-31"),
-        (4, "2024-01-01", None), (5, None, None), (6, "1990-01-01", "1990-12-31"),
+        ("0001-01-01", "9999-12-31"), ("2024-01-20", "2024-01-10"), (None, "2024-01-31"), ("2024-01-01", None),
+        (None, None), ("1990-01-01", "1990-12-31"), ("2024-01-05", "2024-01-05"), ("2024-01-02", "2099-01-01"),
     ]
-    periods = spark.createDataFrame(rows, "customer_id bigint, start_date string, end_date string").withColumns(
+    periods = spark.createDataFrame([(1, *r) for r in rows] * 2, "customer_id bigint, start_date string, end_date string").withColumns(
         {c: F.col(c).cast("date") for c in ("start_date", "end_date")}
     )
-    days = readings.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
-    got = period_days(periods, span).groupBy("customer_id").agg(F.count("reading_date").alias("n")).collect()
-    assert {r.customer_id: r.n for r in got} == {1: (days[1] - days[0]).days + 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
-    empty = readings.filter("false")
-    assert period_days(periods, reading_span(empty)).count() == len(rows)
+    sums, extremes = ["wh", "row_count"], {"max_wh": "max", "min_wh": "min"}
+    got = period_totals(profiles, periods, ["customer_id"], "reading_date", sums, extremes)
+    days = [r for r in profiles.filter("customer_id = 1").collect()]
+    found = {(str(r.start_date), str(r.end_date)): (r.wh, r.row_count, r.max_wh, r.min_wh) for r in got.collect()}
+    assert set(found) == {r for r in rows if None not in r and r[0] <= r[1]}
+    for (start, end), values in found.items():
+        own = [d for d in days if start <= str(d.reading_date) <= end]
+        top = [d.max_wh for d in own if d.max_wh is not None]
+        low = [d.min_wh for d in own if d.min_wh is not None]
+        assert values == (sum(d.wh for d in own), sum(d.row_count for d in own), max(top, default=None), min(low, default=None))
+    none = period_totals(profiles.filter("false"), periods, ["customer_id"], "reading_date", sums, extremes)
+    assert {(r.wh, r.row_count, r.max_wh) for r in none.collect()} == {(0, 0, None)}
+
+
+def test_sparse_table_covers_every_stretch(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.choice([None, rng.randint(-9, 9)]) for _ in range(37)]
+    rows = [("a", date(2024, 1, 1) + timedelta(days=3 * k), v) for k, v in enumerate(values)] + [("b", date(2024, 1, 1), 5)]
+    rng.shuffle(rows)
+    days = spark.createDataFrame(rows, "k string, day date, v bigint")
+    table = {(r.k, r["rank"]): r.v for r in sparse_table(days, ["k"], "day", {"v": "max"}).collect()}
+    assert table["b", 1] == [5] and len(table) == 38
+    for start in range(37):
+        for level, value in enumerate(table["a", start + 1]):
+            own = [v for v in values[start : start + 2**level] if v is not None]
+            assert value == max(own, default=None)
+
+
+def test_rows_of_a_request_do_not_depend_on_its_length(frames, spark):
+    """All years cost what one day costs: no generator makes a row per day."""
+    profiles, counts = daily_profiles(frames[2]), []
+    for last in ("2024-01-01", "9999-12-31"):
+        requests = spark.createDataFrame([("a", 1, date(2024, 1, 1), date.fromisoformat(last))], REQUESTS)
+        result = loadfactor.load_factor_from_profiles(requests, profiles)
+        plan = result._jdf.queryExecution()
+        result.collect()
+        counts.append(plan.executedPlan().toString().count("sequence("))
+        assert "sequence(start_date" not in plan.optimizedPlan().toString()
+    assert counts[0] == counts[1]
 
 
 def test_values_beyond_the_exact_range_are_counted_as_missing(frames, frame):

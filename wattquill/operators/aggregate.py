@@ -12,6 +12,9 @@ from wattquill.functions.numeric import skip_nan
 _FLOATS = (T.FloatType, T.DoubleType)
 # the fraction of a double, 52 bits, in digits of 18 bits
 _FRACTION_DIGITS, _PER_DIGIT = 3, 262144.0
+# the quantile summary of the median: one in so many ranks of error, and places inside its bracket
+_ACCURACY, _PLACES, _BELOW = 10_000, 4096, -2
+_LARGEST = 1.7976931348623157e308
 
 
 def _check(df: DataFrame, operation: str, column: str, group_by: str | None) -> None:
@@ -28,14 +31,15 @@ def _present(df: DataFrame, name: str) -> Column:
 
 
 def _summable(df: DataFrame, name: str) -> Column:
-    """The column for the sum of a mean: whole numbers as DECIMAL, which large ones don't overflow."""
+    """The column for a sum: whole numbers as DECIMAL, which large ones don't overflow."""
     whole = isinstance(df.schema[name].dataType, T.IntegralType)
     return F.col(name).cast("decimal(20,0)") if whole else F.col(name)
 
 
 def _plain(df: DataFrame, name: str) -> DataFrame:
-    """DECIMAL results are handed out as DOUBLE."""
-    is_decimal = isinstance(df.schema[name].dataType, T.DecimalType)
+    """DECIMAL results are handed out as DOUBLE; sums of whole numbers stay exact."""
+    kind = df.schema[name].dataType
+    is_decimal = isinstance(kind, T.DecimalType) and kind.scale > 0
     return df.withColumn(name, F.col(name).cast("double")) if is_decimal else df
 
 
@@ -55,6 +59,61 @@ def _digits(value: Column) -> list[Column]:
     return digits
 
 
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, result): exact median of `value` per key, the mean of the two middle values; NULL where
+    there is none. Infinities are values like others, so between -oo and oo lies NaN.
+
+    Built-in `median` keeps all different values of a group in one task. Here a first scan makes a
+    mergeable quantile summary, which brackets the middle within a rank error of one in `_ACCURACY`.
+    A second one counts what lies below the bracket and the values inside it, which `_PLACES` places of
+    equal width part again: a window holds the places, another the different values of one place. Equal
+    values are one row, however many there are.
+    """
+    keys, v, d = list(keys), F.col(value), F.col(value).cast("double")
+    margin = 2 / _ACCURACY
+    ends = F.percentile_approx(d, [0.5 - margin, 0.5 + margin], _ACCURACY)
+    summary = rows.groupBy(*keys).agg(F.count(v).alias("_total"), ends.alias("_ends"))
+    summary = summary.select(*keys, "_total", F.get("_ends", F.lit(0)).alias("_low"), F.get("_ends", F.lit(1)).alias("_high"))
+    seen = rows.filter(v.isNotNull()).join(summary, keys) if keys else rows.filter(v.isNotNull()).crossJoin(summary)
+    # halves, so that the width of the widest bracket is finite
+    lowest, highest = (F.least(F.greatest(F.col(c), F.lit(-_LARGEST)), F.lit(_LARGEST)) * 0.5 for c in ("_low", "_high"))
+    place = F.floor((d * 0.5 - lowest) / (highest - lowest) * _PLACES)
+    place = (
+        F.when(d == F.lit(float("-inf")), -1)
+        .when(d == F.lit(float("inf")), _PLACES + 1)
+        .when(highest <= lowest, 0)
+        .otherwise(place)
+    )
+    below = d < F.col("_low")
+    counts = (
+        seen.filter(d <= F.col("_high"))
+        .groupBy(
+            *keys,
+            "_total",
+            F.when(below, _BELOW).otherwise(place).cast("bigint").alias("_place"),
+            F.when(~below, v).alias("_v"),
+        )
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    places = counts.groupBy(*keys, "_total", "_place").agg(F.sum("_n").alias("_n"))
+    ranks = F.array(F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1)
+    ranked = places.select(*keys, "_place", "_n", F.posexplode(ranks).alias("_which", "_rank"))
+    held = _holding_rank(ranked, [*keys, "_which"], "_place", "_n").select(
+        *keys, "_place", "_which", (F.col("_rank") - F.col("_before")).alias("_rank")
+    )
+    middle = _holding_rank(counts.join(held, [*keys, "_place"]), [*keys, "_which"], "_v", "_n")
+    exact = F.col("_v")
+    if isinstance(rows.schema[value].dataType, T.IntegralType):
+        exact = exact.cast("decimal(20,0)")
+    both = middle.groupBy(*keys).agg(F.min(exact).alias("_min"), F.max(exact).alias("_max"), F.count("_v").alias("_found"))
+    totals = summary.select(*keys, "_total")
+    ended = totals.join(both, keys, "left") if keys else totals.crossJoin(both)
+    between = ((F.col("_min") + F.col("_max")) / F.lit(2)).cast("double")
+    missed = F.raise_error(F.lit("the middle lies outside the bracket of the summary"))
+    result = F.when(F.col("_total") > 0, F.when(F.col("_found") == 2, between).otherwise(missed))
+    return ended.select(*keys, result.alias("result"))
+
+
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Exact median per group from (keys, value, count) rows: the mean of the two middle values.
 
@@ -142,18 +201,12 @@ def aggregate(
         values = values.filter(F.col(key).isNotNull())
     v = F.col("_v")
     if operation == "median":
-        seen = values.groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
-        medians = median_of_counts(seen.filter(v.isNotNull()), keys, "_v", "_n")
-        if keys:
-            # groups without a value come from the same counts as the others
-            return seen.select(*keys).distinct().join(medians, keys, "left")
-        return medians.agg(F.max("result").alias("result"))
-    parts = {"sum": F.sum, "mean": F.sum, "min": F.min, "max": F.max, "count": F.count}
-    if operation == "mean":
-        result = _combined("mean", F.sum(_summable(values, "_v")), F.count(v), v, v)
+        return exact_median(values, keys, "_v")
+    parts = {"min": F.min, "max": F.max, "count": F.count}
+    if operation in ("sum", "mean"):
+        result = _combined(operation, F.sum(_summable(values, "_v")), F.count(v), v, v)
     else:
-        part = parts[operation](v)
-        result = F.coalesce(part, F.lit(0)) if operation == "sum" else part
+        result = parts[operation](v)
     return _plain(values.groupBy(*keys).agg(result.alias("result")), "result")
 
 
@@ -167,8 +220,9 @@ def aggregate_by_lookup(
 ) -> DataFrame:
     """The aggregate over `facts JOIN lookup USING (key)`, grouped by a column of the lookup.
 
-    Facts are reduced to one row per key (per key and value for the median) before the join, so
-    neither a large lookup nor a key with very many facts makes the facts themselves travel.
+    Facts are reduced to one row per key before the join, so neither a large lookup nor a key with
+    very many facts makes the facts themselves travel; for the median they join as they are, since
+    most values differ.
     The lookup has one row per key.
     """
     _check(facts, operation, column, None)
@@ -183,12 +237,9 @@ def aggregate_by_lookup(
     values = facts.select(key, _present(facts, column).alias("_v"))
     v = F.col("_v")
     if operation == "median":
-        per_key = values.filter(v.isNotNull()).groupBy(key, "_v").agg(F.count("_v").alias("_n"))
-        counts = per_key.join(side, key).groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
-        medians = median_of_counts(counts, keys, "_v", "_n")
-        return medians if keys else medians.agg(F.max("result").alias("result"))
+        return exact_median(values.join(side, key), keys, "_v")
     per_key = values.groupBy(key).agg(
-        F.sum(_summable(values, "_v") if operation == "mean" else v).alias("_sum") if operation in ("sum", "mean") else F.lit(None).alias("_sum"),
+        F.sum(_summable(values, "_v")).alias("_sum") if operation in ("sum", "mean") else F.lit(None).alias("_sum"),
         F.count(v).alias("_n"),
         F.min(v).alias("_min"),
         F.max(v).alias("_max"),

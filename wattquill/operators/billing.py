@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 from wattquill import fixed_values as fv
 from wattquill.functions.numeric import kwh_decimal, money
 from wattquill.functions.peaks import in_mask, peak_mask, peak_windows
+from wattquill.operators.periods import period_totals
 from wattquill.operators.usage import (
-    Span,
     answer_requests,
     daily_profiles,
     distinct_periods,
     in_period,
     peak_wh,
-    period_days,
-    reading_span,
     readings_of_requests,
     usage_profiles,
 )
@@ -139,37 +137,30 @@ def bill(
 
     `status` is the first of customer_not_found, no_tariff, no_readings that applies, else ok.
     """
-    wanted = readings_of_requests(readings, requests)
-    profiles = daily_profiles(wanted)
-    return bill_from_profiles(requests, customers, tariffs, profiles, reading_span(wanted))
+    profiles = daily_profiles(readings_of_requests(readings, requests))
+    return bill_from_profiles(requests, customers, tariffs, profiles)
 
 
 def bill_from_profiles(
-    requests: DataFrame,
-    customers: DataFrame,
-    tariffs: DataFrame,
-    profiles: DataFrame,
-    span: Span | None = None,
+    requests: DataFrame, customers: DataFrame, tariffs: DataFrame, profiles: DataFrame
 ) -> DataFrame:
-    """`bill` from daily profiles, which may come from a table; `span` are their first and last day.
+    """`bill` from daily profiles, which may come from a table.
 
-    Readings become one profile per customer and day in a single shuffle; the requested days join
-    it on the same key, and the bill itself is a projection over the summed days.
+    The peak energy of a day follows from the customer's tariff; from there on a period is two
+    running totals, however many days it has.
     """
-    priced = distinct_periods(requests).join(
-        customer_tariffs(customers, tariffs).withColumn("_known", F.lit(True)), "customer_id", "left"
+    priced = customer_tariffs(customers, tariffs)
+    periods = distinct_periods(requests)
+    masks = priced.filter(F.col("peak_mask").isNotNull()).select("customer_id", "peak_mask")
+    days = profiles.join(masks, "customer_id").select(
+        "customer_id", "reading_date", peak_wh().alias("peak_wh"), "wh", "row_count", "null_reading_count"
     )
-    days = period_days(priced, span or reading_span(profiles), F.col("peak_mask").isNotNull())
+    sums = ["peak_wh", "wh", "row_count", "null_reading_count"]
+    totals = period_totals(days, periods, ["customer_id"], "reading_date", sums)
     usage = (
-        days.join(profiles, ["customer_id", "reading_date"], "left")
-        .groupBy(*PERIOD_KEY, "segment", "_known", *_TARIFF)
-        .agg(
-            F.sum(peak_wh()).alias("peak_wh"),
-            F.sum("wh").alias("_wh"),
-            F.sum("row_count").alias("row_count"),
-            F.sum("null_reading_count").alias("null_reading_count"),
-        )
-        .withColumn("off_peak_wh", F.col("_wh") - F.col("peak_wh"))
+        periods.join(priced.drop("peak_mask").withColumn("_known", F.lit(True)), "customer_id", "left")
+        .join(totals, PERIOD_KEY, "left")
+        .withColumn("off_peak_wh", F.col("wh") - F.col("peak_wh"))
     )
     costs = _with_costs(usage, F.coalesce(F.col("_known"), F.lit(False)))
     return answer_requests(requests, costs, BILL_COLUMNS)

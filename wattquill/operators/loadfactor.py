@@ -5,14 +5,12 @@ from pyspark.sql import functions as F
 
 from wattquill.functions.numeric import rounded_ratio
 from wattquill.operators.billing import PERIOD_KEY, charged_days
+from wattquill.operators.periods import period_totals
 from wattquill.operators.usage import (
-    Span,
     answer_requests,
     daily_profiles,
     distinct_periods,
     in_period,
-    period_days,
-    reading_span,
     readings_of_requests,
     usage_profiles,
 )
@@ -56,25 +54,16 @@ def load_factor(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
     The customer table is not consulted: an unknown customer simply has no readings.
     """
-    wanted = readings_of_requests(readings, requests)
-    return load_factor_from_profiles(requests, daily_profiles(wanted), reading_span(wanted))
+    return load_factor_from_profiles(requests, daily_profiles(readings_of_requests(readings, requests)))
 
 
-def load_factor_from_profiles(
-    requests: DataFrame, profiles: DataFrame, span: Span | None = None
-) -> DataFrame:
-    """`load_factor` from daily profiles, which may come from a table; `span` are their first and
-    last day."""
+def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`load_factor` from daily profiles, which may come from a table."""
+    periods = distinct_periods(requests)
     days = profiles.select("customer_id", "reading_date", *_SUMMARY)
-    usage = (
-        period_days(distinct_periods(requests), span or reading_span(profiles))
-        .join(days, ["customer_id", "reading_date"], "left")
-        .groupBy(*PERIOD_KEY)
-        .agg(
-            *[F.sum(c).alias(c) for c in _SUMMARY if c != "max_wh"],
-            F.max("max_wh").alias("max_wh"),
-        )
-    )
+    sums = [c for c in _SUMMARY if c != "max_wh"]
+    totals = period_totals(days, periods, ["customer_id"], "reading_date", sums, {"max_wh": "max"})
+    usage = periods.join(totals, PERIOD_KEY, "left")
     return answer_requests(requests, _figures(usage, PERIOD_KEY), LOAD_COLUMNS)
 
 

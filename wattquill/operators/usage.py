@@ -96,32 +96,6 @@ def distinct_periods(requests: DataFrame) -> DataFrame:
     return requests.select("customer_id", "start_date", "end_date").distinct()
 
 
-Span = tuple[Column, Column]
-
-
-def reading_span(readings: DataFrame) -> Span:
-    """First and last day with readings, as scalar subqueries; of readings or of daily profiles."""
-    day = F.col("reading_date") if "reading_date" in readings.columns else F.to_date("timestamp")
-    return readings.agg(F.min(day)).scalar(), readings.agg(F.max(day)).scalar()
-
-
-def period_days(periods: DataFrame, span: Span, known: Column | None = None) -> DataFrame:
-    """One row per period and day within `span`, and one without a day for a period that has none
-    there: one before or after all readings, a reversed or incomplete one, or one that is not `known`.
-
-    Days outside the readings match nothing, so a period of ten thousand years makes no more rows
-    than there are days with readings. Matching on (customer, day) keeps the join an equi-join with
-    only matching pairs, and spreads a customer with very many requests or readings over its days.
-    """
-    dated = periods.withColumns({"_first": span[0], "_last": span[1]})
-    start, end = F.greatest("start_date", "_first"), F.least("end_date", "_last")
-    usable = F.col("start_date").isNotNull() & F.col("end_date").isNotNull() & F.col("_first").isNotNull()
-    usable = usable & (start <= end) & (F.col("start_date") <= F.col("end_date"))
-    usable = usable if known is None else usable & known
-    days = F.when(usable, F.sequence(start, end))
-    return dated.withColumn("reading_date", F.explode_outer(days)).drop("_first", "_last")
-
-
 def answer_requests(requests: DataFrame, answers: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Give every request the answer of its period; periods with a missing date match too."""
     key = ["customer_id", "start_date", "end_date"]

@@ -82,6 +82,15 @@ def _ground_truth(spark: SparkSession, d: str) -> DataFrame:
     return wl.ground_truth(questions, customers, tariffs, profiles)
 
 
+def ground_truth_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Medians, counts of values and grouped questions."""
+    customers, tariffs, readings = _meter(spark, d)
+    questions = tables.materialize(wl.statistics_questions(customers, MONTH_NAME, *MONTH), "questions")
+    profiles = tables.materialize(daily_profiles(readings), "profiles")
+    counts = tables.materialize(wl.value_counts(readings), "counts")
+    return wl.ground_truth(questions, customers, tariffs, profiles, counts=counts)
+
+
 def workload_by_category(spark: SparkSession, d: str) -> DataFrame:
     path = tables.temporary_path(spark, "workload")
     workload_json.write_workload(_ground_truth(spark, d), path)
@@ -385,6 +394,7 @@ def queries() -> dict[str, Query]:
         src_readings_scan,
         table_stats,
         sink_roundtrip_counts,
+        ground_truth_statistics,
         workload_by_category,
         agg_capped_ordered,
         bill_monthly,

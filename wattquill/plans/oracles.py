@@ -3,6 +3,7 @@
 import math
 
 from wattquill import fixed_values as fv
+from wattquill.operators import workload as wl
 from wattquill.plans import meter
 
 START, END = meter.MONTH
@@ -187,6 +188,47 @@ def _truth() -> dict[str, str]:
     }
 
 
+_STATISTICS = {
+    "median": "median(wh) / 1000",
+    "mean": _VALUES["mean"],
+    "sum": _VALUES["sum"],
+    "count": "count(wh)",
+}
+
+
+def _statistics() -> dict[str, str]:
+    """Medians, counts of values and grouped questions: a plain aggregate for each question."""
+    ends = {"month_": END, "half_": HALF_END}
+    parts = []
+
+    def add(name: str, text: str, rows: str, key: str, slot: str, group: str) -> None:
+        prefix = next((p for p in ends if name.startswith(p)), "")
+        text = text.replace("{month}", meter.MONTH_NAME).replace("{start}", START).replace("{middle}", HALF_END)
+        dated = f" AND u.day BETWEEN DATE '{START}' AND DATE '{ends[prefix]}'" if prefix else ""
+        parts.append(
+            f"""SELECT replace('{text}', '{slot}', CAST({key} AS VARCHAR)) AS query, {group} AS group_key,
+ CAST({_STATISTICS[name.removeprefix(prefix)]} AS DOUBLE) AS value FROM {rows.format(dated)} GROUP BY {key}"""
+        )
+
+    of_customers = "customers c LEFT JOIN wh u ON u.customer_id = c.customer_id{}"
+    for name, text in wl.STATISTICS_QUESTIONS["customer"].items():
+        add(name, text, of_customers, "c.customer_id", "{id}", "NULL")
+    for name, text in wl.STATISTICS_QUESTIONS["segment"].items():
+        add(name, text, of_customers, "c.segment", "{segment}", "NULL")
+    for name, text in wl.STATISTICS_QUESTIONS["all"].items():
+        add(name, text, "wh u WHERE true{}", "1", "{none}", "NULL")
+    for group in wl.GROUPS:
+        for name, text in wl.GROUPED_QUESTIONS.items():
+            text = text.replace("{group}", group.replace("_", " "))
+            add(name, text, of_customers, f"c.{group}", "{none}", f"c.{group}")
+    return {
+        "statistics": "\nUNION ALL ".join(parts),
+        "statistics_truth": """SELECT query, CAST(group_key AS VARCHAR) AS group_key, 'aggregation' AS category,
+ round(value, 4) AS expected_value, 0.05::DOUBLE AS tolerance, 'relative' AS tolerance_type
+ FROM statistics WHERE value IS NOT NULL""",
+    }
+
+
 # --- synthetic data ---------------------------------------------------------------------------
 
 
@@ -396,6 +438,7 @@ def _meter_oracles() -> dict[str, str]:
  CAST(sum(reading_id) AS BIGINT) AS id_sum FROM made""",
         ),
         "ground_truth": _meter("SELECT * FROM truth", **_truth()),
+        "ground_truth_statistics": _meter("SELECT * FROM statistics_truth", **_statistics()),
         "workload_by_category": _meter(
             "SELECT category, count(*) AS questions FROM truth GROUP BY category", **_truth()
         ),
