@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattquill.functions.once import computed_once
+
 _WIDE = "decimal(28,0)"
 _PERIOD = ["start_date", "end_date"]
 
@@ -42,20 +44,26 @@ def _doubling(pick: Callable[..., Column]) -> Callable[[Column, Column], Column]
     return doubled
 
 
-def sparse_table(days: DataFrame, keys: Sequence[str], day: str, extremes: dict[str, str]) -> DataFrame:
+def day_lists(days: DataFrame, keys: Sequence[str], day: str, columns: Sequence[str]) -> DataFrame:
+    """(keys, _days): the days of each key in order, one entry per day of the calendar at most."""
+    return days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(day, *columns))).alias("_days"))
+
+
+def sparse_table(lists: DataFrame, keys: Sequence[str], extremes: dict[str, str]) -> DataFrame:
     """(keys, rank, one array per extreme): entry k is the extreme of 2^k days from the rank-th on.
 
-    `extremes` maps columns to `max` or `min`. A row more per day of a key, whatever its readings.
+    `lists` are `day_lists`; `extremes` maps columns to `max` or `min`. A row per day of a key,
+    whatever its readings.
     """
     columns = list(extremes)
-    lists = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(day, *columns))).alias("_days"))
     doublings = F.when(F.size("_days") > 1, F.sequence(F.lit(1), _floor_log2(F.size("_days"))))
     tables = {}
     for column, kind in extremes.items():
         first = F.array(F.transform("_days", _field(column)))
         doubled = _doubling(F.greatest if kind == "max" else F.least)
         tables[column] = F.aggregate(F.coalesce(doublings, F.array().cast("array<int>")), first, doubled)
-    rows = lists.select(*keys, F.size("_days").alias("_n"), *[t.alias(c) for c, t in tables.items()])
+    # each table is built once per key, not once per entry that is taken from it
+    rows = computed_once(lists, list(keys), _n=F.size("_days"), **tables)
 
     def entry(at: Column) -> Column:
         levels = [F.transform(c, lambda level: F.get(level, at)).alias(c) for c in columns]
@@ -72,13 +80,14 @@ def period_totals(
     sums: Sequence[str],
     extremes: dict[str, str] | None = None,
 ) -> DataFrame:
-    """(keys, start_date, end_date, sums, extremes) of the different, complete, unreversed periods.
+    """(keys, start_date, end_date, sums, extremes) of the periods with both dates, each once.
 
     `days` has one row per key and day, `periods` the keys with start_date and end_date, both days
-    included. A period without days has sums of 0 and extremes of NULL.
+    included. A period without days has sums of 0 and extremes of NULL, a reversed one only NULLs.
     """
     keys, extremes = list(keys), extremes or {}
-    wanted = periods.select(*keys, *_PERIOD).filter(F.col("start_date") <= F.col("end_date")).distinct()
+    # no filter here: other uses of the same distinct periods can share their exchange
+    wanted = periods.select(*keys, *_PERIOD).distinct()
     ends = F.array(
         F.struct(F.col("end_date").alias("_at"), F.lit(1).alias("_sign")),
         F.struct(F.date_sub("start_date", 1).alias("_at"), F.lit(-1).alias("_sign")),
@@ -86,29 +95,34 @@ def period_totals(
     ends = wanted.select(*keys, *_PERIOD, F.inline(ends))
     points = ends.select(*keys, "_at").distinct()
     counted = [*sums, "_rank"]
+    if extremes:
+        # totals and extremes start from the same lists, so that the days are worked out once
+        lists = day_lists(days, keys, day, [*sums, *extremes])
+        days = lists.select(*keys, F.inline("_days"))
     events = days.select(
         *keys, F.col(day).alias("_at"), *[F.col(c).cast(_WIDE).alias(c) for c in sums], F.lit(1).alias("_rank"), F.lit(False).alias("_point")
     ).unionByName(points.withColumn("_point", F.lit(True)), allowMissingColumns=True)
     so_far = Window.partitionBy(*keys).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
     running = events.select(*keys, "_at", "_point", *[F.sum(c).over(so_far).alias(c) for c in counted])
     running = running.filter("_point").drop("_point")
-    sign = F.col("_sign")
+    sign, forward = F.col("_sign"), F.col("start_date") <= F.col("end_date")
     found = (
         ends.join(running, [*keys, "_at"])
         .groupBy(*keys, *_PERIOD)
         .agg(
-            *[F.sum(sign * F.coalesce(F.col(c), F.lit(0).cast(_WIDE))).cast("bigint").alias(c) for c in sums],
+            *[F.sum(F.when(forward, sign * F.coalesce(F.col(c), F.lit(0).cast(_WIDE)))).cast("bigint").alias(c) for c in sums],
             F.max(F.when(sign > 0, F.coalesce("_rank", F.lit(0)))).alias("_last"),
             (F.max(F.when(sign < 0, F.coalesce("_rank", F.lit(0)))) + 1).alias("_first"),
         )
     )
+    found = found.filter("start_date is not null and end_date is not null")
     if not extremes:
         return found.drop("_first", "_last")
     first, last = F.col("_first"), F.col("_last")
     level = _floor_log2(last - first + 1)
     covering = F.array(first, last - _power_of_two(level) + 1)
-    stretches = found.filter(first <= last).select(*keys, *_PERIOD, level.alias("_level"), F.explode(covering.cast("array<int>")).alias("rank"))
-    table = sparse_table(days, keys, day, extremes)
+    stretches = found.filter(first <= last).filter(forward).select(*keys, *_PERIOD, level.alias("_level"), F.explode(covering.cast("array<int>")).alias("rank"))
+    table = sparse_table(lists, keys, extremes)
     picks = {"max": F.max, "min": F.min}
     extreme = (
         stretches.join(table, [*keys, "rank"])

@@ -13,6 +13,7 @@ from wattquill.operators.billing import bill_from_profiles
 from wattquill.operators.loadfactor import load_factor_from_profiles
 from wattquill.operators.periods import period_totals
 from wattquill.sources.constants import literal_rows
+from wattquill.sources.tables import materialize
 
 QUESTION_COLUMNS = [
     "query", "category", "tool", "operation", "scope", "scope_key", "customer_id", "start_date", "end_date",
@@ -281,7 +282,9 @@ def _medians(questions: DataFrame, customers: DataFrame, counts: DataFrame) -> D
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(ends, keys[2:], strict=True)]
     never = undated.select(*scope, *[F.lit(None).cast("date").alias(c) for c in ends], "wh", "n")
     rows = dated.select(*scope, *ends, "wh", "n").unionByName(never)
-    medians = median_of_counts(rows.select(*scope, *text, "wh", "n"), keys, "wh", "n")
+    # written once: the median reads its counts once for each digit
+    rows = materialize(rows.select(*scope, *text, "wh", "n"), "counts")
+    medians = median_of_counts(rows, keys, "wh", "n")
     return medians.withColumnRenamed("result", "median_wh")
 
 
