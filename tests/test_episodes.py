@@ -90,11 +90,30 @@ def test_copies_of_a_turn_change_nothing(frame):
     assert once.collect() == often.collect()
 
 
-def test_reward_path_is_a_hash_aggregate(frame):
-    parsed = parse_turns(frame([(1, 1, CALL)], TURNS))
-    numbers = ep.episode_outcomes(parsed).select("episode_id", "success", "tool_calls", "answer_number")
-    plan = numbers._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+def test_different_texts_at_one_step_give_one_outcome(frame):
+    rows = [(1, 1, "Answer: 5"), (1, 1, "Answer: 6"), (1, 1, "no marker"), (2, 1, CALL), (2, 1, CALL.replace("sql_executor", "zz_tool"))]
+    seen = set()
+    for order in (rows, rows[::-1], rows * 3):
+        parsed = parse_turns(frame(order, TURNS).repartition(2))
+        outcomes = {r.episode_id: r for r in ep.episode_outcomes(parsed).collect()}
+        assert len(outcomes) == 2 and outcomes[1].status == "success"
+        assert float(outcomes[1].answer) == outcomes[1].answer_number
+        tools = {r.episode_id: r.tools for r in ep.episode_tool_calls(parsed).collect()}
+        assert tools == {1: [], 2: ["zz_tool"]}
+        seen.add(str(sorted(map(str, outcomes.values()))))
+    assert len(seen) == 1
+
+
+def test_no_aggregate_sorts_texts(frame):
+    parsed = parse_turns(frame([(1, 1, CALL), (1, 2, "Answer: 2")], TURNS))
+    whole = ep.episode_outcomes(parsed)
+    numbers = ep.episode_outcomes(parsed, texts=False)
+    assert numbers.columns == [c for c in whole.columns if c not in ("answer", "error")]
+    for df in (whole, numbers, ep.episode_tool_calls(parsed)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "Join" not in numbers._jdf.queryExecution().executedPlan().toString()
+    assert numbers.collect() == whole.select(numbers.columns).collect()
 
 
 def test_metrics(frame):

@@ -261,6 +261,26 @@ def test_plot_data(spark):
     assert plotdata.plot_title("day", "kwh", "Use") == "Use"
 
 
+def test_scatter_sample(spark):
+    df = spark.range(5000).selectExpr("id", "id * 2.0D AS x", "id % 7 AS y")
+    got = {}
+    for parts in (1, 3, 11):
+        sample = plotdata.plot_data(df.repartition(parts), "scatter", "x", "y", sample=500, key="id")
+        got[parts] = sorted(map(tuple, sample.collect()))
+    assert got[1] == got[3] == got[11] and len(got[1]) == 500
+    assert {r[2] for r in got[1]} == {got[1][0][2]} and got[1][0][2] == pytest.approx(0.1, rel=0.2)
+    # a smaller sample is part of a larger one
+    few = plotdata.plot_data(df, "scatter", "x", "y", sample=50, key="id").collect()
+    assert {tuple(r)[:2] for r in few} < {r[:2] for r in got[1]}
+    rest = plotdata.plot_data(df.limit(20), "scatter", "x", "y", sample=50, key="id").collect()
+    assert len(rest) == 20 and {r.sample_rate for r in rest} == {1.0}
+    plan = plotdata.plot_data(df, "scatter", "x", "y", sample=50, key="id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+    for bad in (dict(plot_type="bar", key="id"), dict(plot_type="scatter"), dict(plot_type="scatter", key="nope")):
+        with pytest.raises(ValueError):
+            plotdata.plot_data(df, x_column="x", y_column="y", sample=5, **bad)
+
+
 def test_histogram_edges(spark):
     values = [0.0, 0.05, 0.1, 0.3, 0.6, 0.7, 0.999, 1.0, None]
     df = spark.createDataFrame([(v,) for v in values], "load_factor double")

@@ -88,6 +88,24 @@ def test_without_a_shared_folder():
     assert local == shared_dir(_session("local[2]", "a")) != shared_dir(_session("local[2]", "b"))
 
 
+def test_a_failing_write_leaves_the_old_tables(spark, meter, tmp_path):
+    root = str(tmp_path / "meter")
+    customers, tariffs, readings = meter
+    assert tables.write_tables(*meter, root)
+    old = {n: sorted(map(str, tables.read_table(spark, root, n).collect())) for n in ("customers", "tariffs", "readings")}
+    broken = readings.withColumn("customer_id", F.when(F.col("customer_id") > 0, F.raise_error(F.lit("lost"))).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_tables(customers.limit(1), tariffs.limit(1), broken, root, overwrite=True)
+    for name, rows in old.items():
+        assert sorted(map(str, tables.read_table(spark, root, name).collect())) == rows
+    begun = tables.read_table(spark, root, "customers")
+    assert tables.write_tables(customers.limit(1), tariffs, readings, root, overwrite=True)
+    assert tables.read_table(spark, root, "customers").count() == 1
+    assert begun.count() == len(old["customers"]), "a reader that began with the old version finishes"
+    versions = [p.name for p in (tmp_path / "meter").iterdir() if p.name.startswith("version-")]
+    assert len(versions) == 2
+
+
 def test_workload_json(spark, tmp_path):
     entries = [
         {"query": "a?", "category": "count", "expected_value": 100.0, "tolerance": 0.0, "tolerance_type": "exact"},

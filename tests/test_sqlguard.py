@@ -64,6 +64,45 @@ def test_reading_files_by_path_is_refused(spark, small, statement):
         guarded_sql(spark, statement.format(small))
 
 
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT * FROM {}",
+        "SELECT (SELECT count(*) FROM {})",
+        "SELECT * FROM customers c JOIN {} f ON true",
+        "SELECT * FROM customers WHERE customer_id IN (SELECT 1 FROM {})",
+        "WITH f AS (SELECT * FROM {}) SELECT count(*) FROM f",
+        "WITH f AS (WITH g AS (SELECT * FROM {}) SELECT * FROM g) SELECT * FROM f",
+        "SELECT * FROM customers, LATERAL (SELECT * FROM {})",
+        "SELECT * FROM customers UNION ALL SELECT * FROM {}",
+    ],
+)
+def test_refusal_does_not_tell_what_exists(spark, tmp_path, statement):
+    """The same error for a file that is there, one that is not and one that can't be read; no job."""
+    (tmp_path / "there.parquet").write_text("not parquet at all")
+    tracker = spark.sparkContext.statusTracker()
+    seen = set()
+    for name in ("there", "missing"):
+        relation = f"parquet.`{tmp_path}/{name}.parquet`"
+        spark.sparkContext.setJobGroup(f"guard {name}", "")
+        with pytest.raises(ValueError, match="only registered views") as refused:
+            guarded_sql(spark, statement.format(relation))
+        seen.add(str(refused.value).replace(name, "x"))
+        assert not tracker.getJobIdsForGroup(f"guard {name}")
+    assert len(seen) == 1
+    for name in ("no_such_table", "default.no_such_table", "IDENTIFIER('parquet.`/tmp/x`')"):
+        with pytest.raises(ValueError, match="only registered views"):
+            guarded_sql(spark, statement.format(name))
+
+
+def test_views_and_expressions_in_any_spelling_are_read(spark):
+    assert guarded_sql(spark, "SELECT * FROM `CUSTOMERS` LIMIT 3").count() == 3
+    nested = "WITH A AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM B WHERE x IN (SELECT x FROM a)"
+    assert guarded_sql(spark, nested).count() == 1
+    lateral = "SELECT * FROM notes n, LATERAL (SELECT count(*) AS n FROM customers c WHERE c.customer_id > n.id)"
+    assert guarded_sql(spark, lateral).count() == 1
+
+
 def test_queries_without_a_view_are_allowed(spark):
     assert guarded_sql(spark, "SELECT sum(id) AS s FROM range(5)").first().s == 10
     assert guarded_sql(spark, "SELECT * FROM VALUES (1), (2) AS t(x)").count() == 2

@@ -12,62 +12,76 @@ from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
 from wattquill.functions.hashing import digest
+from wattquill.functions.once import computed_once
 from wattquill.functions.ranking import bucketed_row_number
 from wattquill.functions.text import last_number
 
 
-def _when_terminal(value: Column) -> Column:
-    ends = F.col("type").isin("answer", "error") & (F.col("step") <= fv.MAX_STEPS)
-    return F.when(ends, value)
+# where step, kind and hash of a turn lie in its packed number
+_STEP_BIT, _KIND_BIT = 58, 57
 
 
-def episode_outcomes(parsed: DataFrame) -> DataFrame:
+def _terminal() -> Column:
+    return F.col("type").isin("answer", "error") & F.col("step").between(1, fv.MAX_STEPS)
+
+
+def _terminal_rank() -> Column:
+    """A terminal turn as one number: step, kind (answers first) and bits of a hash of its text.
+
+    The least number of an episode is its end. Copies of a turn have the same number, and of different
+    texts at one step the one with the lower hash counts, in whatever order they come.
+    """
+    left = F.call_function("shiftleft", F.col("step").cast("bigint"), F.lit(_STEP_BIT))
+    kind = F.call_function("shiftleft", (F.col("type") == "error").cast("bigint"), F.lit(_KIND_BIT))
+    text = F.xxhash64("answer", "error").bitwiseAND(F.lit((1 << _KIND_BIT) - 1))
+    return left.bitwiseOR(kind).bitwiseOR(text)
+
+
+def _step_of(rank: Column) -> Column:
+    return F.call_function("shiftright", rank, F.lit(_STEP_BIT)).cast("int")
+
+
+def episode_outcomes(parsed: DataFrame, texts: bool = True) -> DataFrame:
     """One row per episode: it ends with the first answer (success) or error (failure), at most
     ten steps in; thoughts and tool calls continue it.
 
-    `tool_calls` counts the calls before that end. Columns that are not selected are pruned: without
-    `answer` and `error` the aggregate is a hash aggregate over numbers.
+    `tool_calls` counts the calls before that end. The state of an episode is three numbers, in a hash
+    aggregate. Texts of `answer` and `error` are fetched afterwards, for the turn each episode ends
+    with; `texts=False` leaves these two columns and their join out.
     """
-    step = F.col("step").cast("int")
-    staged = parsed.select(
-        "episode_id",
-        step.alias("step"),
-        "type",
-        "answer",
-        "error",
-        F.when(F.col("type") == "answer", last_number(F.col("answer"))).alias("number"),
-    )
-    at = _when_terminal(F.col("step"))
+    staged = parsed.select("episode_id", F.col("step").cast("int").alias("step"), "type", "answer", "error")
+    rank = F.when(_terminal(), _terminal_rank())
     is_call = (F.col("type") == "action") & F.col("step").between(1, fv.MAX_STEPS)
     bit = F.call_function("shiftleft", F.lit(1), F.col("step"))
-    grouped = staged.groupBy("episode_id").agg(
-        F.min(at).alias("_end"),
-        F.min(_when_terminal(F.col("step") * 2 + (F.col("type") == "error").cast("int"))).alias("_kind"),
-        F.coalesce(F.bit_or(F.when(is_call, bit)), F.lit(0)).alias("_calls"),
-        F.min_by("number", at).alias("answer_number"),
-        F.min_by("answer", at).alias("answer"),
-        F.min_by("error", at).alias("_error"),
-    )
-    success = F.coalesce(F.col("_kind") % 2 == 0, F.lit(False))
-    before_end = F.call_function(
-        "shiftleft", F.lit(1), F.coalesce(F.col("_end"), F.lit(fv.MAX_STEPS + 1))
-    ) - F.lit(1)
-    status = F.when(F.col("_end").isNull(), "max_iterations").otherwise(
-        F.when(success, "success").otherwise("failure")
+    number = F.when(F.col("type") == "answer", last_number(F.col("answer")))
+    packed = computed_once(staged, ["episode_id"], rank=rank, call=F.when(is_call, bit), number=number)
+    grouped = packed.groupBy("episode_id").agg(
+        F.min("rank").alias("_rank"),
+        F.coalesce(F.bit_or("call"), F.lit(0)).alias("_calls"),
+        F.min_by("number", "rank").alias("answer_number"),
     )
-    error = F.when(
-        F.col("_end").isNull(),
-        F.lit(f"no answer within {fv.MAX_STEPS} steps"),
-    ).when(~success, F.concat(F.lit("unreadable turn: "), F.col("_error")))
-    return grouped.select(
-        "episode_id",
+    end = _step_of(F.col("_rank"))
+    is_error = F.call_function("shiftright", F.col("_rank"), F.lit(_KIND_BIT)) % 2 == 1
+    success = F.coalesce(~is_error, F.lit(False))
+    before_end = F.call_function("shiftleft", F.lit(1), F.coalesce(end, F.lit(fv.MAX_STEPS + 1))) - F.lit(1)
+    status = F.when(end.isNull(), "max_iterations").otherwise(F.when(success, "success").otherwise("failure"))
+    columns = [
         status.alias("status"),
         success.alias("success"),
-        F.coalesce(F.col("_end"), F.lit(fv.MAX_STEPS)).alias("iterations"),
+        F.coalesce(end, F.lit(fv.MAX_STEPS)).alias("iterations"),
         F.bit_count(F.col("_calls").bitwiseAND(before_end)).cast("int").alias("tool_calls"),
-        F.when(success, F.col("answer")).alias("answer"),
-        F.when(success, F.col("answer_number")).alias("answer_number"),
-        error.alias("error"),
+    ]
+    value = F.when(success, F.col("answer_number")).alias("answer_number")
+    if not texts:
+        return grouped.select("episode_id", *columns, value)
+    # copies of a turn fall together in the first step of this aggregate, before anything is sent
+    ends = staged.filter(_terminal()).select("episode_id", _terminal_rank().alias("_rank"), "answer", F.col("error").alias("_error"))
+    found = grouped.join(ends.distinct(), ["episode_id", "_rank"], "left")
+    error = F.when(end.isNull(), F.lit(f"no answer within {fv.MAX_STEPS} steps")).when(
+        ~success, F.concat(F.lit("unreadable turn: "), F.col("_error"))
+    )
+    return found.select(
+        "episode_id", *columns, F.when(success, F.col("answer")).alias("answer"), value, error.alias("error")
     )
 
 
@@ -85,20 +99,24 @@ def trajectory(parsed: DataFrame, outcomes: DataFrame) -> DataFrame:
 def episode_tool_calls(parsed: DataFrame) -> DataFrame:
     """Number and ordered list of the tools called before the end of each episode.
 
-    Ten slots, one per step, instead of a collected list: the state stays bounded.
+    The ends are numbers in a hash aggregate; calls lose their copies before they meet their episode,
+    and the list has one entry per step, so ten at most.
     """
-    is_call = F.col("type") == "action"
-    slots = [
-        F.max(F.when(is_call & (F.col("step") == i), F.col("action"))).alias(f"_s{i}")
-        for i in range(1, fv.MAX_STEPS + 1)
-    ]
-    grouped = parsed.groupBy("episode_id").agg(F.min(_when_terminal(F.col("step"))).alias("_end"), *slots)
-    end = F.coalesce(F.col("_end"), F.lit(fv.MAX_STEPS + 1))
-    kept = [F.when(F.lit(i) < end, F.col(f"_s{i}")) for i in range(1, fv.MAX_STEPS + 1)]
-    tools = F.array_compact(F.array(*kept))
-    return grouped.select(
-        "episode_id", F.size(tools).alias("tool_calls"), tools.alias("tools")
+    step = F.col("step").cast("int")
+    in_time = F.col("step").between(1, fv.MAX_STEPS)
+    ends = parsed.groupBy("episode_id").agg(F.min(F.when(_terminal(), step)).alias("_end"))
+    calls = parsed.filter((F.col("type") == "action") & in_time & F.col("action").isNotNull())
+    # of different tools at one step the last by name counts
+    calls = calls.select("episode_id", step.alias("step"), "action").distinct()
+    kept = ends.join(calls, "episode_id", "left").groupBy("episode_id", "_end").agg(
+        F.collect_list(F.when(F.col("step") < F.coalesce("_end", F.lit(fv.MAX_STEPS + 1)), F.struct("step", "action"))).alias("_calls")
+    )
+    at_step = F.transform(
+        F.sequence(F.lit(1), F.lit(fv.MAX_STEPS)),
+        lambda at: F.array_max(F.transform(F.filter("_calls", lambda c: c["step"] == at), lambda c: c["action"])),
     )
+    tools = F.array_compact(at_step)
+    return kept.select("episode_id", F.size(tools).alias("tool_calls"), tools.alias("tools"))
 
 
 def _accuracy(plot_verified: Column) -> Column:

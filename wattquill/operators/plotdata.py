@@ -1,9 +1,12 @@
 """Plot-ready series: two columns, whole, aggregated instead of cut off. Nothing is drawn here."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattquill.fixed_values import PLOT_TYPES
+from wattquill.fixed_values import DEFAULT_SEED, PLOT_TYPES
+from wattquill.functions.hashing import digest, uniform
 from wattquill.functions.numeric import kwh_decimal
 from wattquill.operators.aggregate import aggregate_by_lookup
 from wattquill.operators.billing import peak_split
@@ -14,14 +17,40 @@ def plot_title(x_column: str, y_column: str, title: str = "") -> str:
     return title or f"{y_column} vs {x_column}"
 
 
-def plot_data(df: DataFrame, plot_type: str, x_column: str, y_column: str) -> DataFrame:
-    """(series_x, series_y), in x order for a line."""
+def plot_data(
+    df: DataFrame,
+    plot_type: str,
+    x_column: str,
+    y_column: str,
+    sample: int | None = None,
+    key: Sequence[str] | str | None = None,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """(series_x, series_y), in x order for a line.
+
+    With `sample` a scatter has at most that many points: those whose hash of `key` (the columns that
+    tell the rows apart) is lowest. Each task keeps its lowest ones and these are merged, so the sample
+    is the same for any partitioning, and a row stays in it while fewer than `sample` rows hash lower.
+    `sample_rate` is the hash below which all rows were taken, the share of rows to expect; 1 if all fit.
+    """
     if plot_type not in PLOT_TYPES:
         raise ValueError(f"invalid plot type {plot_type!r}, allowed: {', '.join(PLOT_TYPES)}")
-    for axis, name in (("x", x_column), ("y", y_column)):
+    keys = [key] if isinstance(key, str) else list(key or [])
+    for axis, name in (("x", x_column), ("y", y_column), *(("key", k) for k in keys)):
         if name not in df.columns:
             raise ValueError(f"{axis} column {name!r} not found, available: {', '.join(df.columns)}")
-    series = df.select(F.col(x_column).alias("series_x"), F.col(y_column).alias("series_y"))
+    columns = [F.col(x_column).alias("series_x"), F.col(y_column).alias("series_y")]
+    if sample is not None:
+        if plot_type != "scatter" or not keys or sample < 1:
+            raise ValueError("only a scatter is sampled, by the hash of its key, with one point or more")
+        hashed = uniform(digest(seed, "plot", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+        lowest = df.select(*columns, hashed.alias("_hash")).orderBy("_hash", "series_x", "series_y").limit(sample)
+        # a window over the sample only
+        all_of_it = Window.partitionBy(F.lit(1))
+        full = F.count(F.lit(1)).over(all_of_it) == sample
+        rate = F.when(full, F.max("_hash").over(all_of_it)).otherwise(1.0)
+        return lowest.select("series_x", "series_y", rate.alias("sample_rate"))
+    series = df.select(*columns)
     return series.orderBy("series_x") if plot_type == "line" else series
 
 

@@ -1,10 +1,12 @@
 """Read-only SQL for callers that are not trusted with more.
 
 The statement becomes a subquery of a SELECT, so whatever is not a query fails to parse; words such
-as `updated_at` or a literal 'Drop' stay allowed. What it may read and call is decided on the plan
-that Spark's analyser makes of it, not on its text: calls into the JVM by name are refused wherever
-they stand, and so is every relation but the registered views (tables of the catalog, files by path).
-What a registered view contains is its owner's business.
+as `updated_at` or a literal 'Drop' stay allowed. What it may read is decided on the plan that Spark's
+parser makes of it, before any name is looked up: a relation that is neither a registered view nor a
+common table expression of the statement is refused, whether or not such a table or file exists, and
+without a file being opened. The analysed plan is looked at as well: calls into the JVM by name are
+refused wherever they stand, and so is any leaf but views and rows of the statement's own. What a
+registered view contains is its owner's business.
 """
 
 import re
@@ -48,6 +50,40 @@ def _nodes(plan: JavaObject) -> Iterator[JavaObject]:
             pending += _items(node.children()) + _items(node.subqueries())
 
 
+def _parts(relation: JavaObject) -> list[str]:
+    return _items(relation.multipartIdentifier())
+
+
+def _refuse_unregistered_relations(spark: SparkSession, plan: JavaObject) -> None:
+    """Decides on the parser's plan, in which no relation has been resolved.
+
+    A name of a common table expression is let through wherever it stands: outside of its scope it
+    would be a table of the catalog, which the analysed plan shows.
+    """
+    catalog = spark._jsparkSession.sessionState().catalog()
+    expressions: set[str] = set()
+    relations: list[list[str]] = []
+    pending = [plan]
+    while pending:
+        node = pending.pop()
+        kind = _kind(node)
+        if kind == "UnresolvedRelation":
+            relations.append(_parts(node))
+        elif "UnresolvedIdentifier" in kind:
+            raise ValueError("only registered views may be read, by a name written out")
+        if kind == "UnresolvedWith":
+            inner = _items(node.innerChildren())
+            expressions |= {str(alias.alias()).lower() for alias in inner}
+            pending += inner
+        pending += _items(node.children()) + _items(node.subqueries())
+    for parts in relations:
+        known = len(parts) == 1 and (
+            parts[0].lower() in expressions or catalog.getTempView(parts[0]).isDefined()
+        )
+        if not known:
+            raise ValueError(f"only registered views may be read, not {'.'.join(parts)}")
+
+
 def _refuse_what_is_not_a_query_over_views(plan: JavaObject) -> None:
     for node in _nodes(plan):
         if _kind(node) == _VIEW:
@@ -96,8 +132,10 @@ def guarded_sql(
     ValueError, a failing one RuntimeError.
     """
     text = re.sub(r"[;\s]+\Z", "", query)
+    statement = f"SELECT * FROM (\n{text}\n)"
     try:
-        df = spark.sql(f"SELECT * FROM (\n{text}\n)")
+        _refuse_unregistered_relations(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
+        df = spark.sql(statement)
         plan = df._jdf.queryExecution().analyzed()
     except PySparkException as error:
         if "PARSE_SYNTAX_ERROR" in str(error):

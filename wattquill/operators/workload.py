@@ -307,7 +307,7 @@ def _scope_answers(
     )
     op = F.col("operation")
     if counts is None:
-        answered = answered.withColumn("median_wh", F.when(op == "median", F.raise_error(F.lit("medians need value counts"))).cast("double"))
+        answered = answered.withColumn("median_wh", F.when(op == "median", F.raise_error(F.lit("no answer for the operation median without value counts"))).cast("double"))
     else:
         keys = {"_from": "start_date", "_to": "end_date"}
         text = {k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in keys.items()}

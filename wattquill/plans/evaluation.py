@@ -153,7 +153,7 @@ def _plot_episodes(spark: SparkSession, d: str, parsed: DataFrame) -> DataFrame:
 
 def _rewards_of(spark: SparkSession, d: str, parsed: DataFrame) -> DataFrame:
     plots = _plot_episodes(spark, d, parsed)
-    return ep.episode_rewards(ep.episode_outcomes(parsed), testdata.expectations(parsed), plots)
+    return ep.episode_rewards(ep.episode_outcomes(parsed, texts=False), testdata.expectations(parsed), plots)
 
 
 def _rewards(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,7 @@ def reward_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def episode_token_usage(spark: SparkSession, d: str) -> DataFrame:
     parsed = _parsed_table(spark, d)
-    return ep.token_usage(parsed, ep.episode_outcomes(parsed))
+    return ep.token_usage(parsed, ep.episode_outcomes(parsed, texts=False))
 
 
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def step_rewards(spark: SparkSession, d: str) -> DataFrame:
     parsed = _parsed_table(spark, d)
-    return ep.step_rewards(parsed, ep.episode_outcomes(parsed), _rewards_of(spark, d, parsed))
+    return ep.step_rewards(parsed, ep.episode_outcomes(parsed, texts=False), _rewards_of(spark, d, parsed))
 
 
 def accuracy_by_category(spark: SparkSession, d: str) -> DataFrame:

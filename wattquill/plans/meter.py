@@ -23,6 +23,7 @@ BIG_PERIOD = ("1995-01-01", "2001-12-31")
 AS_OF = date(2024, 1, 1)
 GENERATED_DAYS = 30
 BASE_CUSTOMER = 7
+PLOT_POINTS = 100
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +276,12 @@ def plot_peak_vs_offpeak(spark: SparkSession, d: str) -> DataFrame:
     return pd.plot_data(pd.peak_vs_offpeak(*_meter(spark, d)), "scatter", "peak_kwh", "off_peak_kwh")
 
 
+def plot_peak_vs_offpeak_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The scatter for any number of customers: as many points as can be drawn."""
+    split = pd.peak_vs_offpeak(*_meter(spark, d))
+    return pd.plot_data(split, "scatter", "peak_kwh", "off_peak_kwh", sample=PLOT_POINTS, key="customer_id")
+
+
 def plot_load_factor_hist(spark: SparkSession, d: str) -> DataFrame:
     return pd.load_factor_histogram(lf.load_factor_period(testdata.readings(spark, d), *MONTH))
 
@@ -414,6 +421,7 @@ def queries() -> dict[str, Query]:
         plot_total_by_segment,
         plot_month_trend,
         plot_peak_vs_offpeak,
+        plot_peak_vs_offpeak_sample,
         plot_load_factor_hist,
         plot_mean_by_meter_type,
         gen_customers_profile,

@@ -392,6 +392,13 @@ def _meter_oracles() -> dict[str, str]:
             f"""SELECT series_x, series_y FROM (SELECT u.customer_id,
  {KWH.format(f'coalesce(sum(CASE WHEN {PEAK} THEN wh END), 0)')} AS series_x,
  {KWH.format(f'coalesce(sum(CASE WHEN NOT {PEAK} THEN wh END), 0)')} AS series_y {JOINED} GROUP BY ALL)"""
+        ),
+        "plot_peak_vs_offpeak_sample": _meter(
+            f"""SELECT series_x, series_y, CASE WHEN count(*) OVER () = {meter.PLOT_POINTS} THEN max(h) OVER () ELSE 1.0::DOUBLE END
+ AS sample_rate FROM (SELECT u.customer_id, {_uniform("'42:plot:' || u.customer_id")} AS h,
+ {KWH.format(f'coalesce(sum(CASE WHEN {PEAK} THEN wh END), 0)')} AS series_x,
+ {KWH.format(f'coalesce(sum(CASE WHEN NOT {PEAK} THEN wh END), 0)')} AS series_y {JOINED} GROUP BY u.customer_id
+ ORDER BY h LIMIT {meter.PLOT_POINTS})"""
         ),
         "plot_load_factor_hist": _meter(
             """SELECT bin, (bin - 1) / 10.0::DOUBLE AS bin_start, bin / 10.0::DOUBLE AS bin_end, count(*) AS customers

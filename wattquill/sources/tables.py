@@ -12,6 +12,7 @@ from wattquill.session import shared_dir
 logger = logging.getLogger(__name__)
 
 READING_KWH = "decimal(15,3)"
+MANIFEST = "current"
 
 
 def exact_kwh(readings: DataFrame) -> DataFrame:
@@ -27,6 +28,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of `customers`, `tariffs`, `readings` below `root`."""
     if name not in METER_TABLES:
         raise ValueError(f"unknown table {name!r}, expected one of {', '.join(METER_TABLES)}")
+    version = current_version(spark, root)
+    root = f"{root}/{version}" if version else root
     if name != "readings":
         return spark.read.schema(METER_TABLES[name]).parquet(f"{root}/{name}")
     # our own files hold the exact type, and filters on it reach the scan; others may hold doubles
@@ -46,6 +49,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _file_context(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    return hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()), target
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder below `root` that the last finished write made current; None before any."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}")
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(files):
+        return None
+    stream = system.open(files)
+    try:
+        return stream.readLine()
+    finally:
+        stream.close()
+
+
+def _make_current(spark: SparkSession, root: str, version: str) -> None:
+    """Readers see the old version or the new one: the manifest is replaced by one rename."""
+    context, target = _file_context(spark, f"{root}/{MANIFEST}")
+    _, written = _file_context(spark, f"{root}/{MANIFEST}-{version}")
+    system = written.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(written, True)
+    stream.writeBytes(f"{version}\n")
+    stream.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(written, target, options)
+
+
 def write_tables(
     customers: DataFrame,
     tariffs: DataFrame,
@@ -53,31 +89,48 @@ def write_tables(
     root: str,
     overwrite: bool = False,
 ) -> bool:
-    """Write the three tables below `root`; False (and nothing written) if one is already there.
+    """Write the three tables below `root`; False (and nothing written) if there are tables already.
+
+    All or nothing: the tables go into a new version folder, and only when all three are there does
+    one rename make it the one that `read_table` follows. A write that fails leaves the tables as they
+    were. The version before stays for readers that have begun with it; older ones are removed.
 
     Readings go into one folder per day. The range shuffle on (day, customer, time) gives files of
     even size however large one day or one customer is, each with a narrow customer range, so day
     folders and Parquet min/max statistics do the work of the usual three indexes.
     """
     spark = readings.sparkSession
-    if not overwrite and any(_exists(spark, f"{root}/{name}") for name in METER_TABLES):
+    before = current_version(spark, root)
+    there = before or any(_exists(spark, f"{root}/{name}") for name in METER_TABLES)
+    if not overwrite and there:
         logger.warning("tables exist below %s, use overwrite=True to replace them", root)
         return False
+    version = f"version-{uuid.uuid4().hex}"
     order = ["reading_date", "customer_id", "timestamp"]
-    customers.write.mode("overwrite").parquet(f"{root}/customers")
-    tariffs.write.mode("overwrite").parquet(f"{root}/tariffs")
+    customers.write.parquet(f"{root}/{version}/customers")
+    tariffs.write.parquet(f"{root}/{version}/tariffs")
     (
         exact_kwh(readings)
         .withColumn("reading_date", F.to_date("timestamp"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .partitionBy("reading_date")
-        .parquet(f"{root}/readings")
+        .write.partitionBy("reading_date")
+        .parquet(f"{root}/{version}/readings")
     )
+    _make_current(spark, root, version)
+    _remove_versions(spark, root, {version, before})
     return True
 
 
+def _remove_versions(spark: SparkSession, root: str, kept: set[str | None]) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(target):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name not in kept:
+            system.delete(status.getPath(), True)
+
+
 def temporary_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
