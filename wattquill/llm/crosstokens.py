@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 BLOCK_BYTES = 3_000_000
 CHUNK = 2_000_000
+CACHED = 300_000
+STRETCH = re.compile(r" (?=[A-Za-zÀ-ÖØ-öø-ÿ])(?<=\S )")
 SEPARATORS = (",", "|", ";")
 
 
@@ -63,7 +66,8 @@ class Vocabulary:
 
 
 class Pair:
-    """Both tokenizers, their tokens' bytes, the identity map, and the ids as text for the hashes."""
+    """Both tokenizers, their tokens' bytes, the identity map, the ids as text for the hashes, and the
+    ids of stretches seen before."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
@@ -94,16 +98,52 @@ class Pair:
         self.same = np.fromiter((place.get(t, -1) for t in a_tokens), np.int64, len(a_tokens))
         most = max(len(a_tokens), len(b_tokens))
         self.texts = Vocabulary([f"{i}{s}".encode() for i in range(most) for s in SEPARATORS])
+        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
+        self.local = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.a_kept, self.b_kept = Kept(), Kept()
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of stretches that were not seen yet."""
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)]
+        for kept, ids in ((self.a_kept, a), (self.b_kept, self.b.encode(new, num_threads=1))):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            kept.append(np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A ids and their number for each text, B ids and their number."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        out = []
-        for ids in (a, b):
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            out += [np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), sizes]
-        return tuple(out)
+        """A ids and their number for each text, B ids and their number.
+
+        No token of either vocabulary reaches over a single space before a letter, so each distinct
+        stretch between such spaces is encoded once and looked up from then on.
+        """
+        parts = [STRETCH.split(t) for t in texts] if self.local else [[t] for t in texts]
+        flat = [p for own in parts for p in own]
+        if len(self.place) > CACHED:
+            self.clear()
+        if new := list(dict.fromkeys(p for p in flat if p not in self.place)):
+            self.learn(new)
+        which = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        cuts = np.cumsum([0, *map(len, parts)])
+        return *self.a_kept.of(which, cuts), *self.b_kept.of(which, cuts)
+
+
+class Kept:
+    """Ids of the stretches seen so far."""
+
+    def __init__(self):
+        self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
+
+    def of(self, which: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts whose stretches lie between the cuts, and their number for each text."""
+        ids = gathered(self.flat, np.cumsum(self.size) - self.size, self.size, which)
+        return ids, np.diff(np.cumsum(np.r_[0, self.size[which]])[cuts])
 
 
 class Groups:
