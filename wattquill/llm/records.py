@@ -8,14 +8,14 @@ The index of a file has three 8-byte numbers for each record (offset of its fram
 payload, ids before it in the file) and a masked CRC-32C of all that, so that a reader can fetch any
 records in any order without reading the others.
 
-Texts are encoded once into a written table; ranges of (doc_id, checksum, row number) of about
-`SHARD_BYTES` are sorted and become one file each, so a doc_id that a third of all rows share is
-spread over many files. A task writes under a name of its own and reports it in one row; the manifest
+Ranges of (doc_id, hash of the text, row number) with about `SHARD_BYTES` of text are sorted, encoded
+and become one file each, so a doc_id that a third of all rows share is spread over many files. A task
+writes under a name of its own and reports it in one row; the manifest
 is those rows as a Parquet table, which only holds files of tasks that Spark committed. Files of lost
 or repeated attempts stay unread.
 
 Defined cases: a null text is an empty one, only the end id; a null doc_id comes first and stays
-null; repeated rows are written each, in the order of their ids' checksum; an empty table gives an
+null; repeated rows are written each, in the order of their texts' hashes; an empty table gives an
 empty manifest. A frame or index whose checksum is wrong raises. Other columns are not written.
 """
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import once_per_worker, slices, stored, table, texts_of, with_text
+from wattquill.llm.common import once_per_worker, slices, table, texts_of, with_text
 from wattquill.llm.packing import TOKENIZER, Encoder
 from wattquill.session import shared_dir
 
 END = 1
 SHARD_BYTES = 16_000_000
-READ_BYTES = 8_000_000
+READ_BYTES = 4_000_000
+SLICE = 3_000_000
 HEAD = 10
 POLYNOMIAL = 0x82F63B78  # CRC-32C, bits reversed
 MASK_DELTA = 0xA282EAD8
@@ -147,66 +147,40 @@ def unframed(frames: list[memoryview]) -> list[bytes]:
     return payloads
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, crc, ids (in the width of the vocabulary) and row of each document."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(f"encoder {path}", lambda: Encoder(path))
-        width = 2 if len(encoder.is_end) <= 65536 else 4
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
-                ids, sizes = encoder.encode(texts_of(part, "text"))
-                ends = np.cumsum(sizes).tolist()
-                crc, kept = [], []
-                for a, b in zip([0, *ends], ends):
-                    own = np.append(ids[a:b], np.uint32(END)).astype("<u4")
-                    crc.append(zlib.crc32(own.tobytes()))
-                    kept.append(bytes([width]) + own.astype(f"<u{width}").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(sizes + 1, pa.int64()),
-                        pa.array(crc, pa.int64()),
-                        pa.array(kept, pa.binary()),
-                        pa.array(np.arange(row, row + len(kept)), pa.int64()),
-                    ],
-                    ["doc_id", "n_tokens", "crc", "ids", "row"],
-                )
-                row += len(kept)
-
-    return docs.mapInArrow(encode, "doc_id long, n_tokens long, crc long, ids binary, row long")
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = SHARD_BYTES) -> None:
     """Files, indexes and manifest of `docs` (doc_id, text) under `path`, in ascending doc_id order."""
-    spark = docs.sparkSession
-    ids = stored(encoded(with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), tokenizer), "ids")
-    size = ids.agg(F.sum(F.length("ids") + HEAD + 16)).first()[0] or 0
+    docs = with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    size = docs.agg(F.sum(F.octet_length("text") + HEAD + 16)).first()[0] or 0
     fs, folder = opened(path)
     fs.create_dir(folder, recursive=True)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("row")]
+    # equal ids are told apart by their text, and equal rows need no order
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row")]
+    docs = docs.withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = once_per_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+        width = 2 if len(encoder.is_end) <= 65536 else 4
         fs, folder = opened(path)
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:07d}-{uuid.uuid4().hex}"
         index, offset, before = [], 0, 0
         with fs.open_output_stream(f"{folder}/{name}.records") as out:
             for batch in batches:
-                for part in slices(batch, "ids", 8_000_000):
-                    payloads = [
-                        (b"\0" if d is None else b"\1") + (d or 0).to_bytes(8, "little", signed=True) + i
-                        for d, i in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist(), strict=True)
-                    ]
-                    frames = framed(payloads)
+                for part in slices(batch, "text", SLICE):
+                    ids, n = encoder.encode(texts_of(part, "text"))
+                    ends = np.cumsum(n).tolist()
+                    payloads = []
+                    for doc_id, a, b in zip(part.column("doc_id").to_pylist(), [0, *ends], ends):
+                        head = (b"\0" if doc_id is None else b"\1") + (doc_id or 0).to_bytes(8, "little", signed=True)
+                        payloads.append(head + bytes([width]) + np.append(ids[a:b], np.uint32(END)).astype(f"<u{width}").tobytes())
                     size = np.fromiter(map(len, payloads), np.int64, len(payloads))
-                    n = part.column("n_tokens").to_numpy()
                     starts = np.cumsum(size + 16) - (size + 16) + offset
+                    n = n + 1
                     index.append(np.stack([starts, size, np.cumsum(n) - n + before], axis=1))
                     offset += int((size + 16).sum())
                     before += int(n.sum())
-                    out.write(b"".join(frames))
+                    for frame in framed(payloads):
+                        out.write(frame)
         if not index:
             fs.delete_file(f"{folder}/{name}.records")
             return
@@ -219,9 +193,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int = SHARD_B
             schema=pa.schema([("shard", pa.int64()), ("name", pa.string())] + [(c, pa.int64()) for c in ("records", "tokens", "bytes")]),
         )
 
-    shards = max(1, -(-size // shard_bytes))
     manifest = (
-        ids.repartitionByRange(shards, *order)
+        docs.repartitionByRange(max(1, -(-size // shard_bytes)), *order)
         .sortWithinPartitions(*order)
         .mapInArrow(save, "shard long, name string, records long, tokens long, bytes long")
     )
