@@ -1,7 +1,7 @@
 """Phrases of 2 to 5 words that stand together more often than their parts, by counting quotient filters.
 
 Texts are cut into blocks of one language; a block holds its words as places in a list of its own. The
-lists are counted first: words seen fewer than `LEAST` times can't be in a phrase that is, so only the
+lists are counted first, a section of the words' hashes at a time: words seen fewer than `LEAST` times can't be in a phrase that is, so only the
 others get ids, and the rest only break the stream of words.
 
 Then phrases of 2, 3, 4 and 5 words are counted, a length at a time. A block packs each run of word
@@ -13,8 +13,7 @@ The filters of a section are merged over all blocks, whatever block they are fro
 gives the phrases with `LEAST` or more, and tells each block which of its values these are; the block
 keeps only runs of words in which all shorter phrases are that frequent, since no other run can be.
 
-What a task holds is one block, or one section's filters: sections of a language grow in number with
-its words. A phrase that is everywhere costs one counter a block. Ids, filters and candidates are
+What a task holds is one block, or one section's filters: sections grow in number with the words. A phrase that is everywhere costs one counter a block. Ids, filters and candidates are
 never sent to all tasks or to the driver, which sees one number a length.
 
 Defined cases: a null text is an empty one, a null lang is `und`; pieces without words give nothing;
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,12 +41,29 @@ MOST_RANKS = 2000
 BLOCK_BYTES = 8_000_000
 SECTION_BYTES = 8_000_000
 VALUE_BYTES = 10
+WORD_BYTES = 25
 BREAKS = "[.,;:!?\n\x0b\x0c\r]"
 ROUNDS = 4
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def section_bits(values: int, value_bytes: int) -> int:
+    """Bits of a section's number, for sections of about `SECTION_BYTES`."""
+    return max(0, -(-values * value_bytes // SECTION_BYTES) - 1).bit_length()
+
+
+def ranges(section: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal sections."""
+    starts = np.flatnonzero(np.r_[True, section[1:] != section[:-1]]).tolist() if len(section) else []
+    return list(zip(starts, [*starts[1:], len(section)]))
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, lang, codes (places in `words` from 1 on, 0 for a break), words and their counts."""
+    """block, lang, codes (places in `words` from 1 on, 0 for a break), words in the order of their
+    hashes, and their counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -61,19 +78,21 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     ended = pc.binary_join_element_wise(marked, "\n", " ")
                     found = pc.list_flatten(pc.split_pattern_regex(ended, "[ \t]+"))
                     found = found.filter(pc.not_equal(found, "")).dictionary_encode()
-                    names = found.dictionary.to_pylist()
-                    place = np.zeros(len(names), np.int64)
-                    word = np.array([w != "\n" for w in names], bool)
-                    place[word] = np.arange(1, word.sum() + 1)
+                    words = found.dictionary.filter(pc.not_equal(found.dictionary, "\n"))
+                    order = np.argsort(word_hashes(words), kind="stable")
+                    rank = np.empty(len(words), np.int64)
+                    rank[order] = np.arange(1, len(words) + 1)
+                    place = np.zeros(len(found.dictionary), np.int64)
+                    place[pc.not_equal(found.dictionary, "\n").to_numpy(zero_copy_only=False)] = rank
                     codes = place[found.indices.to_numpy(zero_copy_only=False)]
-                    counts = np.bincount(codes, minlength=word.sum() + 1)[1:]
+                    counts = np.bincount(codes, minlength=len(words) + 1)[1:]
                     block += 1
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([block], pa.int64()),
                             pa.array([lang], pa.string()),
                             pa.array([codes.astype("<u4").tobytes()], pa.binary()),
-                            pa.array([[w for w in names if w != "\n"]], pa.list_(pa.string())),
+                            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.take(pa.array(order))),
                             pa.array([counts], pa.list_(pa.int64())),
                         ],
                         ["block", "lang", "codes", "words", "counts"],
@@ -237,64 +256,106 @@ def stream_row(block: int, lang: str, ids: np.ndarray, length: int) -> pa.Table:
 STREAM = "block long, lang string, ids binary, runs long"
 
 
+def numbered(cut: DataFrame, least: int) -> DataFrame:
+    """lang, word, n, id (from 1 on) of the words seen `least` times or more, and for each block and
+    section the ids of its words, 0 for the others.
+
+    Sections are ranges of the words' hashes; lists of a section are merged over all blocks.
+    """
+    bits = section_bits(cut.agg(F.sum(F.size("words"))).first()[0] or 0, WORD_BYTES)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lang, block, words, counts = (batch.column(c).slice(row, 1) for c in ("lang", "block", "words", "counts"))
+                words, counts = words.flatten(), counts.flatten()
+                section = (word_hashes(words) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+                for s, e in ranges(section):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            lang,
+                            pa.array([section[s]], pa.int64()),
+                            block,
+                            *(pa.ListArray.from_arrays(pa.array([0, e - s], pa.int32()), x.slice(s, e - s)) for x in (words, counts)),
+                        ],
+                        ["lang", "section", "block", "words", "counts"],
+                    )
+
+    def number(group: pa.Table) -> pa.Table:
+        lists = group.column("words").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        found = lists.flatten().dictionary_encode()
+        index = found.indices.to_numpy(zero_copy_only=False)
+        counts = group.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        total = np.zeros(len(found.dictionary), np.int64)
+        np.add.at(total, index, counts)
+        often = total >= least
+        # ids of all sections interleave, so they stay dense
+        ids = np.where(often, (np.cumsum(often) - 1 << bits) + group.column("section")[0].as_py() + 1, 0)
+        ends = np.cumsum(sizes)
+        own = [ids[index[e - n : e]].astype("<u4").tobytes() for n, e in zip(sizes, ends)]
+        n, m = int(often.sum()), group.num_rows
+        words = found.dictionary.filter(pa.array(often))
+        known = [pa.array([group.column("lang")[0].as_py()] * n, pa.string()), words, pa.array(total[often]), pa.array(ids[often])]
+        empty = [pa.nulls(m, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+        back = [group.column("block"), group.column("section"), pa.array(own, pa.binary())]
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        names = ["lang", "word", "n", "id", "block", "section", "ids"]
+        return pa.concat_tables([pa.Table.from_arrays(x, names) for x in ([*known, *none], [*empty, *back])])
+
+    return (
+        cut.select("lang", "block", "words", "counts")
+        .mapInArrow(split, "lang string, section long, block long, words array<string>, counts array<long>")
+        .groupBy("lang", "section")
+        .applyInArrow(number, "lang string, word string, n long, id long, block long, section long, ids binary")
+    )
+
+
 def streams(cut: DataFrame, ids: DataFrame) -> DataFrame:
     """Each block as ids of frequent words; all else is a break."""
-    places = cut.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    known = places.join(ids, ["lang", "word"]).select(F.col("block").alias("of"), "place", "id")
 
     def translate(block: pa.Table, known: pa.Table) -> pa.Table:
-        if not block.num_rows:
+        if not block.num_rows or not known.num_rows:
             return stream_row(0, "", np.zeros(0), 2).slice(1)
         (raw,) = block.column("codes").to_pylist()
-        codes = np.frombuffer(raw, "<u4")
-        of_code = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-        of_code[known.column("place").to_numpy() + 1] = known.column("id").to_numpy()
-        out = of_code[codes]
+        # sections follow one another as the words of a block do
+        of_code = np.frombuffer(bytes(4) + b"".join(known.sort_by("section").column("ids").to_pylist()), "<u4")
+        out = of_code[np.frombuffer(raw, "<u4")]
         out = out[(out != 0) | (np.r_[0, out[:-1]] != 0)]
         return stream_row(block.column("block")[0].as_py(), block.column("lang")[0].as_py(), out, 2)
 
+    known = ids.filter("ids is not null").select(F.col("block").alias("of"), "section", "ids")
     return (
         cut.select("block", "lang", "codes").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(translate, STREAM)
     )
 
 
-def filters(stream: DataFrame, packing: Packing) -> DataFrame:
-    """lang, bits, section, block and filter of the runs of each block."""
-    # one row for each language: how many sections its values need
-    bits = stream.groupBy("lang").agg(
-        F.least(
-            F.lit(packing.width),
-            F.greatest(F.lit(0.0), F.ceil(F.log2(F.sum("runs") * VALUE_BYTES / SECTION_BYTES))),
-        ).cast("int").alias("bits")
-    )
+def filters(stream: DataFrame, packing: Packing, bits: int) -> DataFrame:
+    """lang, section, block and filter of the runs of each block."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, bits, block, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "bits", "block", "ids")), strict=True):
+            for lang, block, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u4")
                 limbs = packing.pack(ids, runs_of(ids, packing.length))
                 limbs, order, first = packing.distinct(limbs)
                 counts = np.diff(np.r_[first, len(order)])
                 section = packing.section(limbs, bits)
-                starts = np.flatnonzero(np.r_[True, section[1:] != section[:-1]]) if len(section) else []
-                ends = [*starts[1:], len(section)]
-                parts = [packing.filter([x[s:e] for x in limbs], counts[s:e], bits) for s, e in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(parts), pa.string()),
-                        pa.array([bits] * len(parts), pa.int32()),
-                        pa.array(section[starts] if len(section) else [], pa.int64()),
-                        pa.array([block] * len(parts), pa.int64()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    ["lang", "bits", "section", "block", "filter"],
-                )
+                for s, e in ranges(section):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang], pa.string()),
+                            pa.array([section[s]], pa.int64()),
+                            pa.array([block], pa.int64()),
+                            pa.array([packing.filter([x[s:e] for x in limbs], counts[s:e], bits)], pa.binary()),
+                        ],
+                        ["lang", "section", "block", "filter"],
+                    )
 
     return (
         stream.filter("runs > 0")
-        .join(bits, "lang")
-        .select("lang", "bits", "block", "ids")
-        .mapInArrow(build, "lang string, bits int, section long, block long, filter binary")
+        .select("lang", "block", "ids")
+        .mapInArrow(build, "lang string, section long, block long, filter binary")
     )
 
 
@@ -311,11 +372,11 @@ MERGED = pa.schema(
 )
 
 
-def merged(parts: DataFrame, packing: Packing, least: int) -> DataFrame:
+def merged(parts: DataFrame, packing: Packing, bits: int, least: int) -> DataFrame:
     """Frequent runs (lang, words, a), and for each block (block, section) which of its values they are."""
 
     def merge(group: pa.Table) -> pa.Table:
-        lang, bits, section = (group.column(c)[0].as_py() for c in ("lang", "bits", "section"))
+        lang, section = (group.column(c)[0].as_py() for c in ("lang", "section"))
         owners = group.column("block").to_pylist()
         found = [packing.values(raw, section, bits) for raw in group.column("filter").to_pylist()]
         sizes = [len(counts) for _, counts in found]
@@ -376,22 +437,6 @@ def narrowed(stream: DataFrame, masks: DataFrame, packing: Packing) -> DataFrame
     return stream.groupBy("block").cogroup(masks.groupBy("of")).applyInArrow(narrow, STREAM)
 
 
-def dictionary(cut: DataFrame, least: int) -> DataFrame:
-    """lang, word, n and id (from 1 on) of the words seen `least` times or more, written."""
-    words = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    often = (
-        words.groupBy("lang", F.col("e.words").alias("word"))
-        .agg(F.sum("e.counts").alias("n"))
-        .filter(F.col("n") >= least)
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    often = stored(often, "words")
-    # partition and row of the written table, put together densely
-    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND(2**33 - 1)
-    parts = (often.agg(F.max(part)).first()[0] or 0) + 1
-    return often.select("lang", "word", "n", (row * parts + part + 1).alias("id"))
-
-
 def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES):
     """lang, words (ids) and a of all phrases of up to `longest` words seen `least` times or more;
     the dictionary of the ids; and lang, n: the number of all words."""
@@ -399,13 +444,15 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_b
     cut = stored(blocks(docs, block_bytes), "blocks")
     totals = cut.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n"))
     totals = totals.groupBy("lang").agg(F.sum("n").alias("n"))
-    ids = dictionary(cut, least)
+    words = stored(numbered(cut, least), "words")
+    ids = words.filter("word is not null").select("lang", "word", "n", "id")
     most = ids.agg(F.max("id")).first()[0] or 1
-    stream = stored(streams(cut, ids), "stream")
+    stream = stored(streams(cut, words), "stream")
     grams = ids.select("lang", F.array("id").alias("words"), F.col("n").alias("a"))
     for length in range(2, longest + 1):
         packing = Packing(length, int(most).bit_length())
-        found = stored(merged(filters(stream, packing), packing, least), "grams")
+        bits = min(packing.width, section_bits(stream.agg(F.sum("runs")).first()[0] or 0, VALUE_BYTES))
+        found = stored(merged(filters(stream, packing, bits), packing, bits, least), "grams")
         grams = grams.unionByName(found.filter("words is not null").select("lang", "words", "a"))
         if length < longest:
             stream = stored(narrowed(stream, found, packing), "stream")
@@ -456,7 +503,8 @@ with texts as (
 pieces as (
     select lang, regexp_extract_all(piece, '[^ 	]+') as words
     from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) as piece from texts)
+-
+]')) as piece from texts)
 ),
 runs as (
     select lang, size, unnest(list_transform(range(1, len(words) - size + 2),
