@@ -40,7 +40,7 @@ from wattquill.session import shared_dir
 END = 1
 SHARD_BYTES = 16_000_000
 READ_BYTES = 4_000_000
-SLICE = 3_000_000
+SLICE = 5_000_000
 HEAD = 10
 POLYNOMIAL = 0x82F63B78  # CRC-32C, bits reversed
 MASK_DELTA = 0xA282EAD8
