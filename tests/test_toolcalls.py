@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ CASES = [
     ("sql_executor", '{"query": "q", "row_limit": "-00123456789012345678901234567890123456789012"}', "ok", None,
      {"query": "q", "row_limit": "-123456789012345678901234567890123456789012"}, 0),
     ("sql_executor", '{"query": "q", "row_limit": 1e30}', "ok", None,
-     {"query": "q", "row_limit": "1000000000000000000000000000000"}, 0),
+     {"query": "q", "row_limit": "1000000000000000019884624838656"}, 0),
     ("sql_executor", '{"query": "q", "row_limit": NaN}', "bad_type", "row_limit", None, 0),
     ("sql_executor", '{"query": null}', "ok", None, {"query": None, "row_limit": "100"}, 0),
     ("sql_executor", '{"query": "q", "row_limit": "1.5"}', "bad_type", "row_limit", None, 0),
@@ -90,3 +92,17 @@ def test_five_tools_with_seventeen_parameters(spark):
         "sql_executor": 2, "pandas_aggregator": 4, "tariff_calculator": 3, "plot_generator": 5,
         "calculate_load_factor": 3,
     }
+
+
+def test_integers_of_doubles_are_exact(frame):
+    """As Python's int: every digit of the double, towards zero."""
+    import random
+
+    rng = random.Random(4)
+    values = [float(2**k + d) for k in range(49, 126) for d in (-1, 0, 1)] + [1e15 + 0.5, 9.99e37, 2.0**53 - 0.5]
+    values += [rng.uniform(1, 10) * 10.0 ** rng.randint(15, 36) for _ in range(200)]
+    values = [v * s for v in values for s in (1, -1)]
+    rows = [(k, "sql_executor", json.dumps({"query": "q", "row_limit": v}).replace("e+", "e")) for k, v in enumerate(values)]
+    df = frame(rows, "episode_id bigint, tool string, action_input string")
+    got = {r.episode_id: (r.status, r.arguments["row_limit"]) for r in check_calls(df).collect()}
+    assert got == {k: ("ok", str(int(v))) for k, v in enumerate(values)}

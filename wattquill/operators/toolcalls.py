@@ -52,15 +52,32 @@ def _plain_integer(digits: Column) -> Column:
     return F.when(plain.isin("-0", "+0"), "0").otherwise(F.ltrim(plain, F.lit("+")))
 
 
+def _digits_of_double(value: Column) -> Column:
+    """All digits of a double below 10^38 in size, as DECIMAL: its fraction times a power of two.
+
+    A cast would take the shortest text that reads back as the same double, and fill up with zeros.
+    """
+    # 54 bits stay, so that the logarithm may be off by one
+    power = F.greatest(F.floor(F.log2(F.abs(value))) - 54, F.lit(0)).cast("int")
+    fraction = (value / F.pow(F.lit(2.0), power)).cast("bigint").cast("decimal(18,0)")
+    half = F.least(power, F.lit(36))
+
+    def two_to(exponent: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent).cast("decimal(12,0)")
+
+    return fraction * two_to(half) * two_to(power - half)
+
+
 def _truncated(number: Column) -> Column:
     """A JSON number without its fraction, towards zero: integers of any length, and doubles below
-    10^38 digit by digit (larger ones keep their exponent). Infinities have no integer."""
+    10^38 with all digits of their exact value (larger ones keep their exponent). Infinities have no
+    integer."""
     value = number.try_cast("double")
     whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
     return (
         F.when(number.rlike(r"^-?\d+$"), _plain_integer(number))
         .when(F.abs(value) < 1e15, whole.cast("bigint").cast("string"))
-        .when(F.abs(value) < 1e38, value.cast("decimal(38,0)").cast("string"))
+        .when(F.abs(value) < 1e38, _digits_of_double(value).cast("string"))
         .when(F.abs(value) < float("inf"), number)
     )
 
