@@ -92,3 +92,20 @@ def test_parameters_must_be_positive(spark, bad):
         gn.with_time_axis(one, F.lit("2024-01-01"), bad)
     with pytest.raises(ValueError, match="positive"):
         gn.with_time_axis(one, F.lit("2024-01-01"), 1, bad)
+
+
+def test_readings_of_an_id_range_need_no_shuffle(spark):
+    ids = spark.range(5, 18).withColumnRenamed("id", "customer_id")
+    customers = gn.generate_customers(ids, date(2024, 1, 1))
+    start = "2024-03-30"
+    expected = sorted(map(tuple, gn.generate_readings(customers, start, 3, 60).collect()))
+    for rows in (100, 10**6):
+        made = gn.generate_range_readings(spark, 5, 13, start, 3, 60, rows_per_task=rows)
+        assert sorted(map(tuple, made.collect())) == expected
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.rdd.getNumPartitions() == -(-13 * 3 * 24 // rows)
+    # tasks follow the rows, not the cores
+    assert gn.generate_range_readings(spark, 1, 10**6, start, 365).rdd.getNumPartitions() == 35040
+    for bad in (dict(count=0, days=1), dict(count=1, days=0), dict(count=1, days=1, interval_minutes=2000)):
+        with pytest.raises(ValueError):
+            gn.generate_range_readings(spark, 1, start=start, **bad)

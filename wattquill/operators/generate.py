@@ -9,6 +9,7 @@ from wattquill import fixed_values as fv
 from wattquill.functions.hashing import digest, normal, uniform
 
 _MINUTES_A_DAY = 24 * 60
+ROWS_PER_TASK = 1_000_000
 
 
 def _positive(**numbers: int) -> None:
@@ -23,6 +24,12 @@ def customer_ids(spark: SparkSession, count: int) -> DataFrame:
     return spark.range(1, count + 1).withColumnRenamed("id", "customer_id")
 
 
+def _segment(seed: int) -> Column:
+    """The segment of a customer, which follows from the id alone."""
+    drawn = uniform(digest(seed, "segment", F.col("customer_id")))
+    return F.when(drawn < fv.RESIDENTIAL_SHARE, fv.SEGMENTS[0]).otherwise(fv.SEGMENTS[1])
+
+
 def generate_customers(
     ids: DataFrame, as_of: date, seed: int = fv.DEFAULT_SEED
 ) -> DataFrame:
@@ -35,9 +42,7 @@ def generate_customers(
     base = F.date_sub(F.lit(as_of), fv.JOIN_DATE_SPAN_DAYS)
     return ids.select(
         "customer_id",
-        F.when(draw("segment") < fv.RESIDENTIAL_SHARE, fv.SEGMENTS[0])
-        .otherwise(fv.SEGMENTS[1])
-        .alias("segment"),
+        _segment(seed).alias("segment"),
         F.when(draw("meter") < fv.SMART_SHARE, fv.METER_TYPES[0])
         .otherwise(fv.METER_TYPES[1])
         .alias("meter_type"),
@@ -73,6 +78,28 @@ def season_factor(timestamp: Column) -> Column:
     )
 
 
+def _steps_of_days(
+    days: DataFrame, start: Column, per_day: int, interval_minutes: int
+) -> DataFrame:
+    """Rows with `_day` once for each step of the day: adds `step` and `timestamp`."""
+    stepped = days.withColumn("_in_day", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))))
+    step = (F.col("_day") * per_day + F.col("_in_day")).cast("bigint")
+    offset = F.make_dt_interval(mins=(step * interval_minutes).cast("int"))
+    return (
+        stepped.withColumn("step", step)
+        .withColumn("timestamp", start.cast("timestamp_ntz") + offset)
+        .drop("_day", "_in_day")
+    )
+
+
+def _intervals(days: int, interval_minutes: int) -> int:
+    """Intervals of a day."""
+    _positive(days=days, interval_minutes=interval_minutes)
+    per_day = _MINUTES_A_DAY // interval_minutes
+    _positive(intervals_per_day=per_day)
+    return per_day
+
+
 def with_time_axis(
     df: DataFrame,
     start: Column,
@@ -82,23 +109,45 @@ def with_time_axis(
 ) -> DataFrame:
     """Every row once per interval: adds `step` (0, 1, ..) and `timestamp`.
 
-    Rows are multiplied by day, dealt out evenly over `partitions` tasks (twice the cores if not
-    given), and only then multiplied by the steps of a day: a small customer file would otherwise
-    leave all the work to the one task that reads it. Nothing is joined.
+    Rows are multiplied by day, dealt out evenly over `partitions` tasks (one for `ROWS_PER_TASK`
+    resulting rows if not given), and only then multiplied by the steps of a day: a small customer file
+    would otherwise leave all the work to the one task that reads it. Nothing is joined. For ids without
+    gaps `range_time_axis` needs no dealing out.
     """
-    _positive(days=days, interval_minutes=interval_minutes)
-    per_day = _MINUTES_A_DAY // interval_minutes
-    _positive(intervals_per_day=per_day)
-    tasks = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    per_day = _intervals(days, interval_minutes)
+    tasks = partitions or max(1, -(-df.count() * days * per_day // ROWS_PER_TASK))
     dealt = df.withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).repartition(tasks)
-    stepped = dealt.withColumn("_in_day", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))))
-    step = (F.col("_day") * per_day + F.col("_in_day")).cast("bigint")
-    offset = F.make_dt_interval(mins=(step * interval_minutes).cast("int"))
-    return (
-        stepped.withColumn("step", step)
-        .withColumn("timestamp", start.cast("timestamp_ntz") + offset)
-        .drop("_day", "_in_day")
+    return _steps_of_days(dealt, start, per_day, interval_minutes)
+
+
+def range_time_axis(
+    spark: SparkSession,
+    first_id: int,
+    count: int,
+    start: Column,
+    days: int,
+    interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES,
+    seed: int = fv.DEFAULT_SEED,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """customer_id, segment, step and timestamp of `count` customers with ids from `first_id` on.
+
+    A range over customers times days, cut by rows a task: ids follow from the position, segments from
+    the ids, so there is no table to read, nothing to deal out and no shuffle.
+    """
+    _positive(count=count, rows_per_task=rows_per_task)
+    per_day = _intervals(days, interval_minutes)
+    tasks = max(1, -(-count * days * per_day // rows_per_task))
+    place = spark.range(0, count * days, 1, tasks)
+    ids = place.select(
+        (F.call_function("div", F.col("id"), F.lit(days)) + F.lit(first_id).cast("bigint")).alias("customer_id"),
+        (F.col("id") % days).cast("int").alias("_day"),
     )
+    return _steps_of_days(ids.withColumn("segment", _segment(seed)), start, per_day, interval_minutes)
+
+
+def _start(start: datetime | str) -> Column:
+    return F.lit(start).cast("timestamp_ntz") if isinstance(start, str) else F.lit(start)
 
 
 def generate_readings(
@@ -112,9 +161,26 @@ def generate_readings(
 
     `reading_id` counts in customer-then-time order; it is computed, not sorted for.
     """
-    start_at = F.lit(start).cast("timestamp_ntz") if isinstance(start, str) else F.lit(start)
-    axis = with_time_axis(customers.select("customer_id", "segment"), start_at, days, interval_minutes)
-    steps = days * (_MINUTES_A_DAY // interval_minutes)
+    axis = with_time_axis(customers.select("customer_id", "segment"), _start(start), days, interval_minutes)
+    return _readings(axis, days * _intervals(days, interval_minutes), seed)
+
+
+def generate_range_readings(
+    spark: SparkSession,
+    first_id: int,
+    count: int,
+    start: datetime | str,
+    days: int,
+    interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES,
+    seed: int = fv.DEFAULT_SEED,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """`generate_readings` of the customers that `generate_customers` makes of ids without gaps."""
+    axis = range_time_axis(spark, first_id, count, _start(start), days, interval_minutes, seed, rows_per_task)
+    return _readings(axis, days * _intervals(days, interval_minutes), seed)
+
+
+def _readings(axis: DataFrame, steps: int, seed: int) -> DataFrame:
     mean = base_load(F.col("segment"), F.col("timestamp")) * season_factor(F.col("timestamp"))
     drawn = axis.withColumn(
         "_digest", digest(seed, "reading", F.col("customer_id"), F.col("step"))

@@ -24,6 +24,8 @@ AS_OF = date(2024, 1, 1)
 GENERATED_DAYS = 30
 BASE_CUSTOMER = 7
 PLOT_POINTS = 100
+# small tasks, so that test sizes use all cores
+GENERATED_ROWS = 300_000
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,6 +301,15 @@ def _generated_customers(spark: SparkSession, d: str) -> DataFrame:
     return gn.generate_customers(ids, AS_OF)
 
 
+def _dense_ids(spark: SparkSession, d: str) -> tuple[int, int]:
+    """First id and number of the generated customers, whose ids have no gaps."""
+    ids = testdata.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    found = ids.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("n")).first()
+    if found.n and found.last - found.first + 1 != found.n:
+        raise ValueError("the customer ids have gaps: use generate_readings")
+    return found.first or 1, found.n
+
+
 def gen_customers_profile(spark: SparkSession, d: str) -> DataFrame:
     return (
         _generated_customers(spark, d)
@@ -322,8 +333,9 @@ def gen_tariffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gen_time_axis(spark: SparkSession, d: str) -> DataFrame:
-    axis = gn.with_time_axis(
-        _generated_customers(spark, d).select("customer_id"), F.lit("2024-01-01"), GENERATED_DAYS
+    first, count = _dense_ids(spark, d)
+    axis = gn.range_time_axis(
+        spark, first, count, F.lit("2024-01-01"), GENERATED_DAYS, rows_per_task=GENERATED_ROWS
     )
     return axis.groupBy(_stamp("timestamp").alias("timestamp")).agg(
         F.count(F.lit(1)).alias("customers"), F.max("step").alias("step")
@@ -355,7 +367,10 @@ def gen_season_factor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generated_readings(spark: SparkSession, d: str) -> DataFrame:
-    return gn.generate_readings(_generated_customers(spark, d), "2024-01-01", GENERATED_DAYS)
+    first, count = _dense_ids(spark, d)
+    return gn.generate_range_readings(
+        spark, first, count, "2024-01-01", GENERATED_DAYS, rows_per_task=GENERATED_ROWS
+    )
 
 
 def gen_readings_profile(spark: SparkSession, d: str) -> DataFrame:
