@@ -88,6 +88,36 @@ def test_without_a_shared_folder():
     assert local == shared_dir(_session("local[2]", "a")) != shared_dir(_session("local[2]", "b"))
 
 
+def _rows_read(df):
+    """Rows of the row groups that a scan has read, before any filter on rows."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("dictionary", ["true", "false"])
+def test_row_groups_read_for_one_customer_over_a_month(spark, tmp_path, dictionary):
+    """Customer 77 has readings on three days of thirty; the ranges of all days include it."""
+    customers = spark.createDataFrame([(1, "residential", "smart", datetime(2020, 1, 1))], CUSTOMERS)
+    every = spark.range(200).filter("id != 77").selectExpr("id AS customer_id", "explode(sequence(0, 29)) AS day")
+    some = spark.range(1).selectExpr("77L AS customer_id", "explode(array(3, 11, 28)) AS day")
+    readings = every.union(some).selectExpr(
+        "customer_id * 100 + day AS reading_id",
+        "customer_id",
+        "CAST(date_add(DATE '2024-01-01', day) AS TIMESTAMP_NTZ) AS timestamp",
+        "CAST(1.5 AS DOUBLE) AS consumption_kwh",
+    )
+    root = str(tmp_path / "meter")
+    tables.write_tables(customers, constants.tariffs(spark), readings, root)
+    version = tables.current_version(spark, root)
+    written = spark.read.option("parquet.filter.dictionary.enabled", dictionary).parquet(f"{root}/{version}/readings")
+    month = written.filter("reading_date BETWEEN '2024-01-01' AND '2024-01-30'")
+    one = month.filter("customer_id = 77")
+    assert one.count() == 3
+    assert _rows_read(one) <= 3 * 200
+    assert _rows_read(month) == 199 * 30 + 3
+
+
 def test_a_failing_write_leaves_the_old_tables(spark, meter, tmp_path):
     root = str(tmp_path / "meter")
     customers, tariffs, readings = meter

@@ -96,8 +96,10 @@ def write_tables(
     were. The version before stays for readers that have begun with it; older ones are removed.
 
     Readings go into one folder per day. The range shuffle on (day, customer, time) gives files of
-    even size however large one day or one customer is, each with a narrow customer range, so day
-    folders and Parquet min/max statistics do the work of the usual three indexes.
+    even size however large one day or one customer is, each with a narrow customer range: day folders
+    stand for the index by time, min/max statistics for the one by customer. A Bloom filter of the
+    customers in each row group stands for the third, customer and time together: a look-up over many
+    days opens the footers of these days, but reads only the row groups that hold the customer.
     """
     spark = readings.sparkSession
     before = current_version(spark, root)
@@ -115,6 +117,8 @@ def write_tables(
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.partitionBy("reading_date")
+        .option("parquet.bloom.filter.enabled#customer_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(f"{root}/{version}/readings")
     )
     _make_current(spark, root, version)
