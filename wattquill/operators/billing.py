@@ -8,9 +8,7 @@ from wattquill.functions.numeric import kwh_decimal, money
 from wattquill.functions.peaks import in_mask, peak_mask, peak_windows
 from wattquill.operators.periods import period_totals
 from wattquill.operators.usage import (
-    answer_requests,
     daily_profiles,
-    distinct_periods,
     in_period,
     peak_wh,
     readings_of_requests,
@@ -18,8 +16,8 @@ from wattquill.operators.usage import (
 )
 
 _RATE = "decimal(10,6)"
-_TARIFF = ["peak_rate", "off_peak_rate", "daily_charge"]
 PERIOD_KEY = ["customer_id", "start_date", "end_date"]
+REQUEST_KEY = ["request_id", *PERIOD_KEY]
 BILL_COLUMNS = [
     "segment",
     "total_kwh",
@@ -91,7 +89,7 @@ def standing_charges(requests: DataFrame, customers: DataFrame, tariffs: DataFra
     )
 
 
-def _with_costs(usage: DataFrame, known: Column) -> DataFrame:
+def _with_costs(usage: DataFrame, known: Column, keys: list[str]) -> DataFrame:
     """Costs and status from peak_wh, off_peak_wh, row_count and the tariff columns."""
     peak, off_peak = kwh_decimal(F.col("peak_wh")), kwh_decimal(F.col("off_peak_wh"))
     days = charged_days(F.col("start_date"), F.col("end_date"))
@@ -121,7 +119,7 @@ def _with_costs(usage: DataFrame, known: Column) -> DataFrame:
         "total_cost": F.col("_peak_cost") + F.col("_off_peak_cost") + F.col("_standing"),
     }
     return costed.select(
-        *PERIOD_KEY,
+        *keys,
         "segment",
         *[F.when(ok, money(amount)).alias(name) for name, amount in amounts.items()],
         F.when(ok, F.lit(fv.CURRENCY)).alias("currency"),
@@ -150,20 +148,20 @@ def bill_from_profiles(
     running totals, however many days it has.
     """
     priced = customer_tariffs(customers, tariffs)
-    periods = distinct_periods(requests)
     masks = priced.filter(F.col("peak_mask").isNotNull()).select("customer_id", "peak_mask")
     days = profiles.join(masks, "customer_id").select(
         "customer_id", "reading_date", peak_wh().alias("peak_wh"), "wh", "row_count", "null_reading_count"
     )
     sums = ["peak_wh", "wh", "row_count", "null_reading_count"]
-    totals = period_totals(days, periods, ["customer_id"], "reading_date", sums)
+    totals = period_totals(days, requests, ["customer_id"], "reading_date", sums)
     usage = (
-        periods.join(priced.drop("peak_mask").withColumn("_known", F.lit(True)), "customer_id", "left")
+        requests.select(*REQUEST_KEY)
+        .join(priced.drop("peak_mask").withColumn("_known", F.lit(True)), "customer_id", "left")
         .join(totals, PERIOD_KEY, "left")
         .withColumn("off_peak_wh", F.col("wh") - F.col("peak_wh"))
     )
-    costs = _with_costs(usage, F.coalesce(F.col("_known"), F.lit(False)))
-    return answer_requests(requests, costs, BILL_COLUMNS)
+    costs = _with_costs(usage, F.coalesce(F.col("_known"), F.lit(False)), REQUEST_KEY)
+    return costs.select(*REQUEST_KEY, *BILL_COLUMNS)
 
 
 def bill_period(
@@ -179,7 +177,7 @@ def bill_period(
         .withColumn("start_date", F.lit(start_date).cast("date"))
         .withColumn("end_date", F.lit(end_date).cast("date"))
     )
-    return _with_costs(usage, F.lit(True))
+    return _with_costs(usage, F.lit(True), PERIOD_KEY)
 
 
 def bills_by_segment(bills: DataFrame) -> DataFrame:

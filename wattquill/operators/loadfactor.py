@@ -4,12 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattquill.functions.numeric import rounded_ratio
-from wattquill.operators.billing import PERIOD_KEY, charged_days
+from wattquill.operators.billing import PERIOD_KEY, REQUEST_KEY, charged_days
 from wattquill.operators.periods import period_totals
 from wattquill.operators.usage import (
-    answer_requests,
     daily_profiles,
-    distinct_periods,
     in_period,
     readings_of_requests,
     usage_profiles,
@@ -59,12 +57,11 @@ def load_factor(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
 def load_factor_from_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """`load_factor` from daily profiles, which may come from a table."""
-    periods = distinct_periods(requests)
     days = profiles.select("customer_id", "reading_date", *_SUMMARY)
     sums = [c for c in _SUMMARY if c != "max_wh"]
-    totals = period_totals(days, periods, ["customer_id"], "reading_date", sums, {"max_wh": "max"})
-    usage = periods.join(totals, PERIOD_KEY, "left")
-    return answer_requests(requests, _figures(usage, PERIOD_KEY), LOAD_COLUMNS)
+    totals = period_totals(days, requests, ["customer_id"], "reading_date", sums, {"max_wh": "max"})
+    usage = requests.select(*REQUEST_KEY).join(totals, PERIOD_KEY, "left")
+    return _figures(usage, REQUEST_KEY).select(*REQUEST_KEY, *LOAD_COLUMNS)
 
 
 def load_factor_period(readings: DataFrame, start_date: str, end_date: str) -> DataFrame:

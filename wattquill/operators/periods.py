@@ -86,8 +86,7 @@ def period_totals(
     included. A period without days has sums of 0 and extremes of NULL, a reversed one only NULLs.
     """
     keys, extremes = list(keys), extremes or {}
-    # no filter here: other uses of the same distinct periods can share their exchange
-    wanted = periods.select(*keys, *_PERIOD).distinct()
+    wanted = periods.select(*keys, *_PERIOD).filter("start_date is not null and end_date is not null").distinct()
     ends = F.array(
         F.struct(F.col("end_date").alias("_at"), F.lit(1).alias("_sign")),
         F.struct(F.date_sub("start_date", 1).alias("_at"), F.lit(-1).alias("_sign")),
@@ -115,7 +114,6 @@ def period_totals(
             (F.max(F.when(sign < 0, F.coalesce("_rank", F.lit(0)))) + 1).alias("_first"),
         )
     )
-    found = found.filter("start_date is not null and end_date is not null")
     if not extremes:
         return found.drop("_first", "_last")
     first, last = F.col("_first"), F.col("_last")

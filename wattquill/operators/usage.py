@@ -89,16 +89,3 @@ def daily_profiles(readings: DataFrame) -> DataFrame:
 def peak_wh() -> Column:
     """Energy of a profile in the peak hours of `peak_mask`; NULL where that is NULL."""
     return masked_sum(F.col("wh_by_hour"), F.col("peak_mask"))
-
-
-def distinct_periods(requests: DataFrame) -> DataFrame:
-    """The different (customer, start, end) of the requests: repeated requests are answered once."""
-    return requests.select("customer_id", "start_date", "end_date").distinct()
-
-
-def answer_requests(requests: DataFrame, answers: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Give every request the answer of its period; periods with a missing date match too."""
-    key = ["customer_id", "start_date", "end_date"]
-    same = [F.col(f"q.{k}").eqNullSafe(F.col(f"a.{k}")) for k in key]
-    joined = requests.alias("q").join(answers.alias("a"), same, "left")
-    return joined.select("q.request_id", *[f"q.{k}" for k in key], *[f"a.{c}" for c in columns])
