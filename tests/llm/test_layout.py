@@ -51,6 +51,26 @@ CASES = [
     ("a<svg>no<defs><text>no</text></defs><title>no</title><text x=1>one</text><g><text>t<tspan>wo</tspan></text></g></svg>b", "a\none\ntwo\nb"),
     ("<map name=m><area href=x>yes</map>", "yes"),
     ("a<xmp> <b>x</b>\n  &amp;</xmp>b", "a\n\n <b>x</b>\n  &amp;\n\nb"),
+    # the winning declaration decides
+    ("<style>.tab{display:none} .tab.active{display:block}</style><p class='tab active'>yes<p class=tab>no", "yes"),
+    ("<style>.x{display:none}</style><p class=x style='display:block'>yes<p class=x style='color:red'>no", "yes"),
+    ("<style>.x{display:none} .x{display:block}</style><p class=x>yes", "yes"),
+    ("<style>.x{display:block} .x{display:none}</style><p class=x>no<p>yes", "yes"),
+    ("<style>#i{display:block} .x{display:none} p{display:none}</style><p class=x id=i>yes<p class=x>no", "yes"),
+    ("<style>.x{display:none!important}</style><p class=x style='display:block'>no<p class=x style='display:block !important'>yes", "yes"),
+    ("<p style='x-display:none'>yes<p style='display:none;display:nonsense'>no<p style=\"content:'display:none'\">too", "yes\n\ntoo"),
+    ("<style>.x{visibility:hidden} .y{visibility:visible}</style><p class=x>no<b class=y>yes</b><i style='visibility:inherit'>no</i>", "yes"),
+    ("<style>.row{display:flex}</style><p hidden class=row>yes<p hidden>no", "yes"),
+    ("<style>.tab:not(.active){display:none}</style><p class='tab active'>yes<p class=tab>no<p>too", "yes\n\ntoo"),
+    ("<style>p[data-x]{display:none} [role=menu]{display:none}</style><p data-x=1>no<p role=menu>no<p role=main>yes", "yes"),
+    ("<style>.a .b{display:none} .m:hover{display:none}</style><p class=b>yes<p class=m>too", "yes\n\ntoo"),
+    ("<style>.t{display:none} .a > .t.on{display:block} .t:hover{display:block}</style><p class='t on'>yes<p class=t>no", "yes"),
+    ("<style>.t{display:none; &.on{display:block}}</style><p class='t on'>yes<p class=t>no", "yes"),
+    ("<p class=x>yes<style>.x{display:none} p.x{display:block}</style><p class=x>too<b style='display:none'>no", "yes\n\ntoo"),
+    ("<p class=x>no<style>.x{display:none}</style><p>yes", "yes"),
+    ("<template><style>p{display:none}</style></template><p>yes", "yes"),
+    ("a<plaintext><b>x</b>", "a\n\n<b>x</b>"),
+    (f"<table><tr><td>{'w' * 60}<td>b<tr><td>c<td>d</table>", f"{'w' * 60}  b\nc{' ' * 61}d"),
 ]
 
 
@@ -75,6 +95,33 @@ def test_deep_and_long_pages():
     assert layout.rendered("<table>" + row * 5000 + "</table>")[1].count("\n") == 4999
 
 
+@pytest.mark.parametrize(
+    ("unit", "times", "word"),
+    [("<div>t", 166_000, "t"), ("<ul><li>t", 110_000, "t"), ("<ol><li><p>t", 83_000, "t"), ("<table><tr><td>t", 62_000, "t"), ("<blockquote>t", 77_000, "t"), ("<b></i></p>t", 83_000, "t")],
+)
+def test_nested_megabyte(unit, times, word):
+    """Time is linear in the page and no text is lost at any depth."""
+    import time
+
+    begun = time.process_time()
+    text = layout.rendered(unit * times)[1]
+    assert time.process_time() - begun < 30
+    assert text.count(word) == times
+
+
+def test_marks_of_deep_lists():
+    depth = layout.MOST_LEVELS + 3
+    lines = layout.rendered("<ul><li>" * depth + "x<br>y" + "</ul>" * 3 + "z")[1].split("\n")
+    assert lines[0] == "- " * depth + "x"
+    assert [x.strip() for x in lines[1:]] == ["y", "z"]
+
+
+def test_many_rules():
+    sheet = "".join(f".c{k}{{display:none}} .c{k}.on{{display:block}}" for k in range(5000))
+    body = "".join(f"<p class='c{k}'>no<p class='c{k} on'>yes" for k in range(5000))
+    assert set(layout.rendered(f"<style>{sheet}</style>{body}")[1].split()) == {"yes"}
+
+
 def test_no_visible_word_is_lost(spark, small):
     """On well-formed given pages: the words between tags, script and style left out."""
     import html

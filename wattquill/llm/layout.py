@@ -3,15 +3,23 @@
 A builder turns the tags of a page into a well-formed tree in document order: end tags that HTML
 implies are added (a `p` ends before a block, `li`, `dt`, `option`, rows and cells before the next),
 missing rows are opened, end tags without a start are ignored, and nothing closes across a cell.
-The tree is visited while it is built, with a stack of open elements, so that deep nesting needs no
-recursion and a page is read once. Each element carries what shows: elements without a box
-(`script`, `head`, ...), `hidden`, `display:none` in a style attribute or a simple rule of a style
-sheet, closed `details` and `dialog`; `visibility` is inherited and can be turned on again.
+The tree is visited while it is built, with a stack of open elements and the places of each tag on
+it, so that deep nesting needs no recursion and no search: the time is linear in the page. A page
+with a style sheet after its first text is read a second time with all its rules.
+
+Each element carries what shows. Elements without a box (`script`, `head`, ...) never do, nor does
+what is in closed `details`. For the others `display` and `visibility` are those of the winning
+declaration: important ones first, then the style attribute, then rules by specificity and order;
+without one, `hidden` and a closed `dialog` are not shown. `visibility` is inherited and can be
+turned on again. Rules select by tag, id, classes, plain attributes and `:not()` of these. What
+can't be told leaves text in: a rule with a combinator or another pseudo-class hides nothing, but
+one with a combinator may show its last element.
 
 Layout: white space collapses outside `pre`; `br` breaks a line; paragraphs, headings, lists, quotes
 and tables stand apart by an empty line, other blocks begin a line; list items have a mark or number
-and are indented by their level, quotes have `> `; the cells of a table stand in columns, padded to
-the widest cell up to `WIDEST`; spans of columns and rows are kept.
+and are indented by their level (the first `MOST_LEVELS` levels of lists and quotes), quotes have
+`> `; the cells of a table stand in columns, padded to the widest cell up to `WIDEST`; spans of
+columns and rows are kept. Tables more than `MOST_TABLES` deep are lines of cells.
 
 Defined cases: a null page has a null text, an empty one an empty text. Broken markup never fails: an
 unfinished comment or tag runs to the end of the page. Rows are independent of each other.
@@ -21,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,7 +38,9 @@ from pyspark.sql import functions as F
 
 from wattquill.llm.common import slices, table
 
-WIDEST = 40
+WIDEST = 120
+MOST_LEVELS = 64
+MOST_TABLES = 16
 MOST_SPAN = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +48,7 @@ RAW = frozenset("script style xmp iframe noembed noframes title textarea".split(
 NO_BOX = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
 # in a drawing only `text` and foreign objects show text, and these none at all
 UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure hr fieldset menu dir".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp plaintext table figure hr fieldset menu dir".split())
 LINE = frozenset(
     "html body div section article aside nav header footer main address form li dt dd figcaption "
     "details summary dialog legend center caption hgroup search option optgroup".split()
@@ -63,6 +73,10 @@ ENDED_BY = {
     "rt": frozenset(["rt", "rp"]),
     "rp": frozenset(["rt", "rp"]),
 }
+ENDS: dict[str, list[str]] = {}
+for _tag, _enders in ENDED_BY.items():
+    for _name in sorted(_enders):
+        ENDS.setdefault(_name, []).append(_tag)
 # what an implied end doesn't reach across
 FENCE = {
     "li": frozenset("ul ol menu dir table td th".split()),
@@ -71,17 +85,144 @@ FENCE = {
     "p": frozenset("table td th caption button object".split()),
 }
 DEFAULT_FENCE = frozenset(["table"])
+LISTS = frozenset("ul ol menu dir".split())
+CELLS = frozenset(["td", "th", "table"])
+# end tags that reach out of a cell
+FAR_ENDS = frozenset("table tr tbody thead tfoot body html".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-HIDES = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+DISPLAY = re.compile(
+    r"(?:none|contents|block|inline|inline-block|flow-root|list-item|run-in|(?:inline-)?(?:flex|grid|table)|table-[a-z-]+|ruby[a-z-]*|math"
+    r"|-webkit-(?:inline-)?(?:box|flex)|-ms-(?:inline-)?(?:flexbox|grid)|inherit|initial|unset|revert|revert-layer)(?:\s|\Z)"
+)
+VISIBILITY = re.compile(r"(?:visible|hidden|collapse|inherit|initial|unset|revert|revert-layer)\Z")
+IMPORTANT = re.compile(r"\s*!\s*important\Z")
+DECLARATION = re.compile(r"([\w-]+)\s*:\s*(.*)", re.S)
 STYLE_PART = re.compile(r"((?:[^{};\"']++|\"[^\"\n]*+\"?|'[^'\n]*+'?)*+)([{};]|\Z)")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 MEDIA = re.compile(r"(?:(not|only)\s+)?([\w-]*)(?:(?:^|\s+and\s+|\s*)(\(.*\)))?", re.S)
 WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)?\s*\)")
 SCREEN_WIDTH = 1280
-SIMPLE = re.compile(r"[.#]?[\w-]+")
+COMPOUND_PART = re.compile(
+    r"(?P<tag>\A(?:[a-zA-Z][\w-]*|\*))|#(?P<id>[\w-]+)|\.(?P<name>[\w-]+)"
+    r"|\[\s*(?P<key>[\w-]+)\s*(?:=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[\w-]+))\s*)?\]"
+    r"|:not\(\s*(?P<but>[^():]+?)\s*\)"
+)
+COMBINED = re.compile(r"\s*[>+~]\s*|\s+")
+
+
+@dataclass(frozen=True)
+class Compound:
+    """What an element must have: names (`a`, `#id`, `.class`), attributes (with a value or any), and
+    what it must not have."""
+
+    names: frozenset[str]
+    attributes: frozenset[tuple[str, str | None]] = frozenset()
+    but: tuple["Compound", ...] = ()
+    weight: tuple[int, int, int] = (0, 0, 0)
+
+    def holds(self, names: set[str], attributes: dict[str, str]) -> bool:
+        return (
+            self.names <= names
+            and all(k in attributes and v in (None, attributes[k]) for k, v in self.attributes)
+            and not any(b.holds(names, attributes) for b in self.but)
+        )
+
+
+def compound(text: str) -> Compound | None:
+    """A selector without combinators; None if it asks for what can't be told."""
+    names, attributes, but, weight, at = set(), set(), [], [0, 0, 0], 0
+    while at < len(text):
+        m = COMPOUND_PART.match(text, at)
+        if not m:
+            return None
+        at = m.end()
+        if m["tag"]:
+            if m["tag"] != "*":
+                names.add(m["tag"].lower())
+                weight[2] += 1
+        elif m["id"]:
+            names.add("#" + m["id"])
+            weight[0] += 1
+        elif m["name"]:
+            names.add("." + m["name"])
+            weight[1] += 1
+        elif m["key"]:
+            attributes.add((m["key"].lower(), next((v for v in m.group("a", "b", "c") if v is not None), None)))
+            weight[1] += 1
+        else:
+            inner = [compound(x.strip()) for x in m["but"].split(",")]
+            if not all(inner):
+                return None
+            but += inner
+            weight = [x + y for x, y in zip(weight, max(x.weight for x in inner), strict=True)]
+    return Compound(frozenset(names), frozenset(attributes), tuple(but), tuple(weight)) if text else None
+
+
+Declared = dict[str, tuple[str, bool]]  # of `display` and `visibility`: value, whether important
+
+
+def declared(text: str) -> Declared:
+    """The last valid value of each of the two properties; an important one before others."""
+    found: Declared = {}
+    for part in STYLE_PART.finditer(COMMENT.sub(" ", text)):
+        m = DECLARATION.fullmatch(part[1].strip())
+        if not m or (name := m[1].lower()) not in ("display", "visibility"):
+            continue
+        value = m[2].strip().lower()
+        plain = IMPORTANT.sub("", value)
+        if (DISPLAY if name == "display" else VISIBILITY).match(plain) and (plain != value or not found.get(name, ("", False))[1]):
+            found[name] = plain.split()[0], plain != value
+    return found
+
+
+class Rules:
+    """Rules of style sheets in order, found by the rarest kind of name that they ask for."""
+
+    def __init__(self):
+        self.by_name: dict[str, dict[tuple[Compound, bool], dict[str, tuple]]] = {}
+        self.count = 0
+        self.plain = True  # no rule asks for attributes
+        self.known: dict[tuple, dict[str, str]] = {}
+
+    def add(self, selectors: list[tuple[Compound, bool]], found: Declared) -> None:
+        self.count += 1
+        self.known.clear()
+        for selector, only_shows in selectors:
+            self.plain &= not selector.attributes and not any(b.attributes for b in selector.but)
+            key = min(selector.names, key=lambda n: ("#.".find(n[0]) % 3, n), default="")
+            kept = self.by_name.setdefault(key, {}).setdefault((selector, only_shows), {})
+            for name, (value, important) in found.items():
+                if only_shows and value in ("none", "hidden", "collapse"):
+                    continue
+                rank = important, selector.weight, self.count
+                if name not in kept or kept[name][0] < rank:
+                    kept[name] = rank, value
+
+    def style(self, names: set[str], attributes: dict[str, str], inline: str) -> dict[str, str]:
+        """Winning values of an element."""
+        if not inline and not self.by_name:
+            return {}
+        key = None
+        if self.plain and not inline:
+            key = tuple(sorted(names))
+            if key in self.known:
+                return self.known[key]
+        best: dict[str, tuple] = {}
+        for name in (*names, ""):
+            for (selector, _), kept in self.by_name.get(name, {}).items():
+                if kept and selector.holds(names, attributes):
+                    for of, (rank, value) in kept.items():
+                        if of not in best or best[of][0] < (rank[0], False, *rank[1:]):
+                            best[of] = (rank[0], False, *rank[1:]), value
+        for of, (value, important) in declared(inline).items() if inline else ():
+            if of not in best or best[of][0] < (important, True):
+                best[of] = (important, True), value
+        found = {of: value for of, (_, value) in best.items()}
+        if key is not None:
+            self.known[key] = found
+        return found
 
 
 def on_screen(query: str) -> bool:
@@ -106,11 +247,20 @@ def on_screen(query: str) -> bool:
     return not query.strip() or any(map(holds, query.split(",")))
 
 
-def hidden_by(sheet: str) -> set[str]:
-    """Simple selectors that a style sheet takes off the screen. Rules in a condition that does not
-    hold, or can't be told, hide nothing."""
-    found: set[str] = set()
-    open_: list[tuple[bool, list[str]]] = [(True, [])]  # holds, selectors
+def selectors_of(text: str, nested: bool) -> list[tuple[Compound, bool]]:
+    """Selectors of a rule that can be told, and whether they are of use for showing only."""
+    found = []
+    for one in text.split(","):
+        *outer, last = COMBINED.split(one.strip().replace("&", ""))
+        if selector := compound(last):
+            found.append((selector, nested or bool(outer)))
+    return found
+
+
+def add_rules(rules: Rules, sheet: str) -> None:
+    """Add the rules of a style sheet on a screen. Those in a condition that does not hold, or can't
+    be told, are left out."""
+    open_: list[tuple[bool, list[tuple[Compound, bool]]]] = [(True, [])]  # holds, selectors
     for m in STYLE_PART.finditer(COMMENT.sub(" ", sheet)):
         text, mark = m[1].strip(), m[2]
         holds, selectors = open_[-1]
@@ -123,15 +273,13 @@ def hidden_by(sheet: str) -> set[str]:
                     holds = False
                 open_.append((holds, selectors))
             else:
-                # a rule inside another one speaks of its descendants only
-                names = [s.strip() for s in text.split(",") if SIMPLE.fullmatch(s.strip())]
-                open_.append((holds and not selectors, names))
+                # a rule inside another one speaks of its descendants
+                open_.append((holds, selectors_of(text, len(open_) > 1 and bool(selectors))))
             continue
-        if holds and selectors and HIDES.search(text):
-            found.update(selectors)
+        if holds and selectors and text and (found := declared(text)):
+            rules.add(selectors, found)
         if mark == "}" and len(open_) > 1:
             open_.pop()
-    return found
 
 
 class Paper:
@@ -144,6 +292,8 @@ class Paper:
         self.space = False
         self.blank = True
         self.prefix: list[list[str]] = []  # of lists and quotes: first and further lines
+        self.deep: list[str] = []  # beyond `MOST_LEVELS`: marks only
+        self.used = 0  # of these, how many are written
 
     def text(self, text: str, kept: bool) -> None:
         if kept:
@@ -172,6 +322,20 @@ class Paper:
         self.now.append(text)
         self.blank = False
 
+    def push(self, first: str, further: str) -> None:
+        if len(self.prefix) < MOST_LEVELS:
+            self.prefix.append([first, further])
+        else:
+            self.deep.append(first)
+
+    def pop(self) -> None:
+        self.flush()
+        if self.deep:
+            self.deep.pop()
+            self.used = min(self.used, len(self.deep))
+        else:
+            self.prefix.pop()
+
     def start(self) -> None:
         if self.gap:
             self.flush()
@@ -182,6 +346,8 @@ class Paper:
             for p in self.prefix:
                 self.now.append(p[0])
                 p[0] = p[1]
+            self.now += self.deep[self.used :]
+            self.used = len(self.deep)
             self.blank = True
 
     def flush(self) -> None:
@@ -284,11 +450,19 @@ class Element:
 
 
 class Page:
-    def __init__(self):
+    def __init__(self, rules: Rules | None = None):
         self.papers = [Paper()]
         self.title: list[str] = []
-        self.hidden_names: set[str] = set()
+        self.given = rules is not None
+        self.rules = rules or Rules()
+        self.begun = False  # text has been met
+        self.late = False  # and then a style sheet
         self.open = [Element("", True, True, False)]
+        self.at: dict[str, list[int]] = {}  # places of each tag among the open elements
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def read(self, source: str) -> str:
         at, size = 0, len(source)
@@ -322,6 +496,9 @@ class Page:
                 self.end(name)
                 continue
             self.begin(name, attributes)
+            if name == "plaintext":
+                self.text(source[at:], literal=True)
+                break
             if name in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
                 stop = end.start() if end else size
@@ -334,9 +511,11 @@ class Page:
     def raw(self, name: str, text: str, source: str) -> None:
         if name == "style":
             media = next((m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(source) if m[0].lower() == "media"), "")
-            if on_screen(html.unescape(media)):
-                self.hidden_names |= hidden_by(text)
-        elif name == "title" and not any(e.drawn for e in self.open[:-1]):
+            if not self.given and not self.at.get("template") and on_screen(html.unescape(media)):
+                before = self.rules.count
+                add_rules(self.rules, text)
+                self.late |= self.begun and self.rules.count > before
+        elif name == "title" and not self.at.get("svg"):
             self.title.append(text)
         elif name == "textarea":
             self.text(text)
@@ -345,6 +524,7 @@ class Page:
 
     def text(self, source: str, literal: bool = False) -> None:
         top = self.open[-1]
+        self.begun = self.begun or bool(source.strip())
         if top.drawn:
             return
         if top.shown and top.visible and not top.closed and top.tag not in ("table", "tr", "tbody", "thead", "tfoot"):
@@ -356,25 +536,13 @@ class Page:
 
     def imply(self, name: str) -> None:
         """Close what `name` ends."""
-        for tag, enders in ENDED_BY.items():
-            if name not in enders:
-                continue
-            fence = FENCE.get(tag, DEFAULT_FENCE)
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag == tag:
-                    while len(self.open) > k:
-                        self.close()
-                    break
-                if self.open[k].tag in fence:
-                    break
+        for tag in ENDS.get(name, ()):
+            k = self.last((tag,))
+            if k > self.last(FENCE.get(tag, DEFAULT_FENCE)):
+                self.close_to(k)
 
     def within(self, name: str) -> bool:
-        for e in reversed(self.open):
-            if e.tag == name:
-                return True
-            if e.tag == "table":
-                return False
-        return False
+        return self.last((name,)) > self.last(("table",))
 
     def begin(self, name: str, source: str) -> None:
         self.imply(name)
@@ -382,21 +550,21 @@ class Page:
             self.begin("tr", "")
         attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in reversed(ATTRIBUTE.findall(source))} if source.strip(" /") else {}
         top = self.open[-1]
-        style = attributes.get("style", "")
-        names = {name, f"#{attributes.get('id', '')}", *(f".{c}" for c in attributes.get("class", "").split())}
+        names = {name, *(f".{c}" for c in attributes.get("class", "").split())}
+        if "id" in attributes:
+            names.add(f"#{attributes['id']}")
+        style = self.rules.style(names, attributes, attributes.get("style", ""))
+        display = style.get("display", "revert")
+        if display.startswith("revert"):
+            display = "none" if "hidden" in attributes or name == "dialog" and "open" not in attributes else ""
         shown = top.shown and not (
             name in NO_BOX
             or top.drawn and name in UNDRAWN
-            or "hidden" in attributes
-            or HIDES.search(style)
-            or (self.hidden_names and self.hidden_names & names)
-            or name == "dialog" and "open" not in attributes
+            or display == "none"
             or name == "input" and attributes.get("type", "").lower() == "hidden"
             or top.closed and name != "summary"
         )
-        visible = top.visible
-        if m := VISIBILITY.search(style):
-            visible = m[1].lower() == "visible"
+        visible = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style.get("visibility"), top.visible)
         paper = self.papers[-1]
         if name in VOID:
             if shown and visible:
@@ -407,22 +575,30 @@ class Page:
                 elif name == "input" and attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
                     paper.text(attributes.get("value", ""), False)
             return
-        e = Element(name, bool(shown), visible, top.kept or name in ("pre", "xmp", "textarea"))
+        e = Element(name, bool(shown), visible, top.kept or name in ("pre", "xmp", "textarea", "plaintext"))
         e.closed = name == "details" and "open" not in attributes
         e.drawn = name == "svg" or top.drawn and name not in ("text", "foreignobject")
+        outer = self.last(LISTS)
+        inner = bool(self.at.get("li") or self.at.get("dd"))
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append(e)
         if not shown:
             return
         if name in BLOCK or name == "text" and top.drawn:
             e.gap = 2 if name in APART else 1
-            inner = name in ("ul", "ol", "menu", "dir", "dl") and any(x.tag in ("li", "dd") for x in self.open[:-1])
-            e.gap = 1 if inner else e.gap
+            if inner and (name in LISTS or name == "dl"):
+                e.gap = 1
             paper.ask(e.gap)
         if name == "table":
-            e.grid = Grid()
-        elif name == "tr" and (grid := self.grid()):
-            grid.row()
-        elif name in ("td", "th") and self.grid():
+            e.grid = Grid() if len(self.papers) <= MOST_TABLES else None
+        elif name == "tr":
+            if grid := self.grid():
+                grid.row()
+            else:
+                paper.ask(1)
+        elif name in ("td", "th") and not self.grid():
+            paper.text(" ", False)
+        elif name in ("td", "th"):
             e.paper = Paper()
             e.spans = tuple(max(1, min(MOST_SPAN, number(attributes.get(n), 1))) for n in ("colspan", "rowspan"))
             self.papers.append(e.paper)
@@ -430,42 +606,40 @@ class Page:
             e.counter = number(attributes.get("start"), 1)
         elif name == "li":
             mark = "- "
-            for x in reversed(self.open[:-1]):
-                if x.tag in ("ul", "ol", "menu", "dir"):
-                    if x.counter is not None:
-                        x.counter = number(attributes.get("value"), x.counter)
-                        mark = f"{x.counter}. "
-                        x.counter += 1
-                    break
-            paper.prefix.append([mark, " " * len(mark)])
+            if outer and (x := self.open[outer]).counter is not None:
+                x.counter = number(attributes.get("value"), x.counter)
+                mark = f"{x.counter}. "
+                x.counter += 1
+            paper.push(mark, " " * len(mark))
             e.marks = 1
         elif name == "dd":
-            paper.prefix.append(["  ", "  "])
+            paper.push("  ", "  ")
             e.marks = 1
         elif name == "blockquote":
             paper.start() if paper.gap and paper.now else None
-            paper.prefix.append(["> ", "> "])
+            paper.push("> ", "> ")
             e.marks = 1
 
     def grid(self) -> Grid | None:
-        return next((e.grid for e in reversed(self.open) if e.tag == "table"), None)
+        return self.open[k].grid if (k := self.last(("table",))) else None
 
     def end(self, name: str) -> None:
         if name in ("br", "p") and not self.within(name):
             self.begin(name, "")
             if name == "br":
                 return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == name:
-                while len(self.open) > k:
-                    self.close()
-                return
-            # an end tag doesn't reach out of its cell
-            if self.open[k].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        k = self.last((name,))
+        # an end tag doesn't reach out of its cell
+        if k and (name in FAR_ENDS or k >= self.last(CELLS)):
+            self.close_to(k)
+
+    def close_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self.close()
 
     def close(self) -> None:
         e = self.open.pop()
+        self.at[e.tag].pop()
         if not e.shown:
             return
         paper = self.papers[-1]
@@ -479,8 +653,7 @@ class Page:
         if e.gap:
             paper.ask(e.gap)
         for _ in range(e.marks):
-            paper.flush()
-            paper.prefix.pop()
+            paper.pop()
 
 
 def number(text: str | None, otherwise: int) -> int:
@@ -492,6 +665,9 @@ def rendered(source: str) -> tuple[str, str]:
     """Title and visible text of a page."""
     page = Page()
     text = page.read(source)
+    if page.late:
+        page = Page(page.rules)
+        text = page.read(source)
     return SPACES.sub(" ", html.unescape("".join(page.title[:1]))).strip(), text
 
 
