@@ -136,3 +136,39 @@ def test_query(spark, small):
         assert got[r.doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert got[r.doc_id].n_email == sum(k == "email" for k, _, _ in base)
         assert set(filter(None, listed.split(","))) <= set(got[r.doc_id].spans.split(","))
+
+
+def test_long_parts_of_addresses():
+    field = pii.trained([])
+    for local, host in (("a" * 70, "example"), ("jane", "h" * 80), ("jane.roe", "one dot two dot three dot four dot five")):
+        text = f"write to {local} at {host} dot com today"
+        assert any(k == "email" and text[a:b].startswith(local) for k, a, b in pii.all_spans(text, pii.base_spans(text), field))
+
+
+def test_many_spans_take_linear_time():
+    """A text of a megabyte that holds little but personal data."""
+    import time
+
+    field = pii.trained([])
+    unit = "jo@mail.com 10.0.0.1 +1 (269) 555-3296 4111 1111 1111 1111x a at b dot com, "
+
+    def seconds(times):
+        begun = time.process_time()
+        text = unit * times
+        base = pii.base_spans(text)
+        spans = pii.all_spans(text, base, field)
+        assert set(base) <= set(spans) and sum(k == "email" for k, _, _ in base) == times
+        return time.process_time() - begun
+
+    few, many = seconds(1_700), seconds(13_600)
+    assert many < 16 * few + 5
+
+
+def test_added_spans_keep_off_all_others():
+    field = pii.trained([])
+    text = "call 555 123 4567 or jo at mail dot com, 10.0.0.1 and +1 (269) 555-3296 4524132264652876 " * 30
+    base = pii.base_spans(text)
+    added = [s for s in pii.all_spans(text, base, field) if s not in base]
+    places = sorted(s[1:] for s in added)
+    assert all(x[1] <= y[0] for x, y in zip(places, places[1:], strict=False))
+    assert all(b <= s or a >= e for _, a, b in added for _, s, e in base)

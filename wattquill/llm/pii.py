@@ -3,7 +3,7 @@
 The base patterns are email, ip, card and phone, leftmost and non-overlapping per kind; a match that
 fails its check is dropped. The field works on the runs of a text that could hold more: runs of
 digits and number punctuation, and addresses written with `at` and `dot`. A run is cut into tokens;
-each token sequence of at most `MOST_TOKENS` that has the makings of a kind is a candidate segment,
+each token sequence of at most `MOST_TOKENS` that has the makings of a kind is a candidate segment, whatever its tokens' lengths,
 rated as a whole (its shape, digit count, check digit, separators, neighbours). A dynamic program
 over the run then chooses the segmentation with the highest total of segment and transition
 weights, so that boundaries and kinds are chosen together: `+1 (269) 555-3296 4524132264652876` is a
@@ -24,6 +24,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.llm.common import table, with_text
+from wattquill.llm.common import slices, table, texts_of, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
@@ -107,7 +108,7 @@ NUMBERS = re.compile(r"[0-9+(][0-9 ().+-]*+")
 AT = r"(?:@|\(at\)|\[at\]|\bat\b)"
 DOT = r"(?:\.|\(dot\)|\[dot\]|\bdot\b)"
 SPELLED = re.compile(
-    rf"(?<![\w.+-])[\w.+-]{{1,64}}+ ?{AT} ?[\w-]{{1,63}}+(?: ?{DOT} ?[\w-]{{1,63}}+){{1,4}}", re.I
+    rf"(?<![\w.+-])[\w.+-]++ ?{AT} ?[\w-]++(?: ?{DOT} ?[\w-]++)+", re.I
 )
 TOKEN = re.compile(r"\w+|[^\w]")
 LABELS = ("O", *KINDS)
@@ -406,20 +407,56 @@ def labelled(text: str, spans: list[Span], hidden: bool = False) -> list[tuple[i
     return out
 
 
+def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same ground without overlaps, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def neighbours(base: list[Span], found: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Each run with the base spans that it overlaps, as disjoint stretches in order."""
+    taken = merged([(a, b) for _, a, b in base])
+    ends = [b for _, b in taken]
+    for a, b in found:
+        k = first = bisect_right(ends, a)
+        while k < len(taken) and taken[k][0] < b:
+            k += 1
+        yield a, b, taken[first:k]
+
+
+def free(tokens: list[tuple[int, int]], found: list[Candidate], taken: list[tuple[int, int]]) -> list[Candidate]:
+    """Candidates that touch none of the stretches."""
+    ends = [b for _, b in taken]
+    out = []
+    for c in found:
+        k = bisect_right(ends, tokens[c[0]][0])
+        if k == len(taken) or taken[k][0] >= tokens[c[1] - 1][1]:
+            out.append(c)
+    return out
+
+
 def all_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Base spans and those that the field adds, by start, then kind."""
-    taken = sorted((a, b) for _, a, b in base)
+    near = neighbours(base, list(runs(text)))
     added: list[Span] = []
-    for a, b in runs(text):
+    placed: list[tuple[int, int]] = []
+    for a, b, taken in near:
         tokens, found = candidates(text, a, b)
-        near = [t for t in taken if t[0] < b and t[1] > a]
-        if near:
-            found = [c for c in found if all(tokens[c[1] - 1][1] <= s or tokens[c[0]][0] >= e for s, e in near)]
+        if taken:
+            found = free(tokens, found, taken)
         if not found:
             continue
         for i, j, kind, _ in field.best(len(tokens), found):
             span = kind, tokens[i][0], tokens[j - 1][1]
-            if all(span[2] <= s or span[1] >= e for _, s, e in added[-8:]):
+            # runs of numbers and of words may overlap: what came first stays
+            at = bisect_left(placed, span[1:])
+            if (not at or placed[at - 1][1] <= span[1]) and (at == len(placed) or span[2] <= placed[at][0]):
+                placed.insert(at, span[1:])
                 added.append(span)
     return ordered(base + added)
 
@@ -460,25 +497,29 @@ def found_spans(docs: DataFrame, field: Field, redact: bool = False) -> DataFram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            base_all, span_all, text_all = [], [], []
-            for text in texts:
-                base = base_spans(text or "")
-                spans = all_spans(text or "", base, field)
-                base_all.append(written(base))
-                span_all.append(written(spans))
-                text_all.append(redacted(text, spans) if redact and text else text)
-            columns = {n: batch.column(n) for n in names}
+            for part in slices(batch, "text"):
+                yield looked_at(part)
+
+    def looked_at(part: pa.RecordBatch) -> pa.RecordBatch:
+        base_all, span_all, text_all = [], [], []
+        for text in texts_of(part, "text").to_pylist():
+            base = base_spans(text or "")
+            spans = all_spans(text or "", base, field)
             if redact:
-                columns["text"] = pa.array(text_all, pa.string())
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in text_all], pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+                text_all.append(redacted(text, spans) if text else text)
             else:
-                yield pa.RecordBatch.from_arrays(
-                    [*columns.values(), pa.array(base_all, pa.string()), pa.array(span_all, pa.string())],
-                    [*names, "pii_base", "pii_spans"],
-                )
+                base_all.append(written(base))
+                span_all.append(written(spans))
+        columns = {n: part.column(n) for n in names}
+        if not redact:
+            return pa.RecordBatch.from_arrays(
+                [*columns.values(), pa.array(base_all, pa.string()), pa.array(span_all, pa.string())],
+                [*names, "pii_base", "pii_spans"],
+            )
+        columns["text"] = pa.array(text_all, pa.string())
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in text_all], pa.int64())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return docs.mapInArrow(find, out.schema)
 
