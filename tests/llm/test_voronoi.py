@@ -17,7 +17,8 @@ def brute_force(rows, k=5):
     out = []
     for q in sorted({i for i, _ in vectors if i % 50 == 0}):
         own = min(v for i, v in vectors if i == q)
-        scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in vectors if i != q)
+        products = [(sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in vectors if i != q]
+        scores = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for s, i in products)
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -50,3 +51,32 @@ def test_few_rows(frame):
 def test_large_components_stay_exact(frame):
     rows = [(50 * i, [30000.0 * (i + 1), -29999.5, 0.00390625]) for i in range(8)]
     assert answer(frame, rows) == brute_force(rows)
+
+
+def test_every_finite_vector_takes_part(frame):
+    """Components beyond 32, 53 and 64 bits beside small ones; float holds these values as they are."""
+    rows = [(50, [1e7, 1.0, -0.5]), (51, [1e7, 3.0, 0.25]), (52, [-1.0, 2.0, 0.0]), (100, [0.5, 0.5, 0.5])]
+    rows += [(53, [2.0**40, 1.0, 1.0]), (54, [-(2.0**40), 1.0, 2.0]), (150, [2.0**50, 1.0, 0.0]), (55, [2.0**120, 0.0, 1.0])]
+    rows += [(200, [0.0, 2.0**-8, 2.0**-8]), (56, [0.0, 2.0**60, -(2.0**60)]), (250, [2.0**100] * 3)]
+    for how in ({}, {"pivots": 2, "slice_rows": 3}):
+        assert answer(frame, rows, **how) == brute_force(rows)
+
+
+def test_repeated_rows_and_many_queries(frame):
+    """More copies of one row than a slice has room for, and more queries than a block."""
+    rows = [(7, [1.0, 1.0])] * 300 + [(7, [1.0, 0.5])] * 3 + [(50 * k, [float(k % 7), 1.0]) for k in range(600)]
+    assert answer(frame, rows, pivots=3, slice_rows=50) == brute_force(rows)
+
+
+def test_products_of_every_size():
+    import random
+
+    rng = random.Random(3)
+    for top in (2**10, 2**26, 2**31, 2**52):
+        q = [[float(rng.randint(-top, top)) for _ in range(4)] for _ in range(5)]
+        x = [[float(rng.randint(-(2**r), 2**r)) for _ in range(4)] for r in (3, 20, 40, 52, 53)]
+        import numpy as np
+
+        got = vo.exact_products(np.array(q), np.array(x)).tolist()
+        exact = [[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q]
+        assert got == [[min(max(s, -(2**63)), 2**63 - 1) for s in r] for r in exact]
