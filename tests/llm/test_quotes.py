@@ -93,6 +93,27 @@ def test_deep_threads(frame):
     assert {got[k].thread for k in range(70)} == {0} and got[102].thread == 102
 
 
+def test_one_long_thread(spark):
+    """A thread of 100,000 messages is numbered in buckets of 64 turns; all of it is in order."""
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"),
+        F.when(F.col("id") == 0, "begin with this one.").otherwise(F.concat(F.lit("> begin with this one.\nanswer "), F.col("id").cast("string"))).alias("text"),
+    )
+    got = quotes.ordered(rows)
+    assert got.filter("position = turn + 1 AND thread = 0 AND coalesce(reply_to, 0) = 0").count() == n
+    placed = quotes.with_places(got)
+    assert placed.groupBy("conv_id", *quotes.PLACES).count().agg(F.max("count")).first()[0] == 64
+
+
+def test_hashes_are_those_of_units_and_whole():
+    for text in ("", "Yes.", "Tea is good. Is it? 好。我喜欢喝茶。 …", "👍", "!? . ...", "one_two a.b c\n\n d. e"):
+        units = {quotes.normalised(x) for x in (*quotes.SENTENCE.split(text), text)} - {""}
+        long, short = quotes.hashes(text)
+        assert long == {quotes.hashed(u) for u in map(quotes.normalised, quotes.SENTENCE.split(text)) if quotes.is_long(u)}
+        assert long | short == {quotes.hashed(u) for u in units}
+
+
 def test_parts(frame):
     got = quotes.conversations(frame(ROWS, SCHEMA), 4).collect()
     assert sum(r.n_messages for r in got) == len(ROWS)

@@ -12,7 +12,8 @@ comes after what it answers. Messages without a link begin a thread, so plain co
 their order. The messages, freed from quotes, are written in parts of at most `PART` messages.
 
 Both sides are counted up before they are joined, on conversation and hash, with one row per key on
-the original's side; positions are counted in buckets. Nothing gathers a whole conversation.
+the original's side; positions are counted in buckets, of threads and of turns within one. Nothing gathers a whole
+conversation or thread.
 
 Defined cases: a null text is an empty one; a message that holds quotes only stays, empty. Null
 conversations have no links, null turns come first and have none. Rows that repeat a turn stay and
@@ -67,10 +68,14 @@ def levels(text: str) -> list[tuple[int, str]]:
     return found
 
 
+def letters(text: str) -> str:
+    """Letters and digits, lower case."""
+    return UNSPACED_BREAK.sub("", " ".join(INNER.sub(" ", text.lower()).split()))
+
+
 def normalised(text: str) -> str:
     """Letters and digits, lower case; of a text without any, its marks."""
-    words = UNSPACED_BREAK.sub("", " ".join(INNER.sub(" ", text.lower()).split()))
-    return words or "".join(text.split())
+    return letters(text) or "".join(text.split())
 
 
 def hashed(unit: str) -> int:
@@ -81,15 +86,20 @@ def is_long(unit: str) -> bool:
     return unit.count(" ") + 1 >= LEAST_WORDS or len(UNSPACED_LETTER.findall(unit)) >= LEAST_UNSPACED
 
 
-def sentence_hashes(passage: str) -> set[int]:
-    """Hashes of the sentences with at least `LEAST_WORDS` words, or as much without spaces."""
-    return {hashed(u) for u in map(normalised, SENTENCE.split(passage)) if is_long(u)}
+def hashes(passage: str) -> tuple[set[int], set[int]]:
+    """Hashes of the sentences with at least `LEAST_WORDS` words, or as much without spaces, and those
+    of the shorter ones and of the whole passage."""
+    parts = SENTENCE.split(passage)
+    worded = [letters(x) for x in parts]
+    units = {w or "".join(x.split()) for w, x in zip(worded, parts, strict=True)}
+    long = {u for u in units if is_long(u)}
+    # sentences end between words, so that those of the passage are theirs
+    whole = UNSPACED_BREAK.sub("", " ".join(filter(None, worded))) or "".join(passage.split())
+    return set(map(hashed, long)), {hashed(u) for u in (units | {whole}) - long if u}
 
 
-def other_hashes(passage: str) -> set[int]:
-    """Hashes of the shorter sentences, and of the whole passage if it is not one sentence."""
-    units = {normalised(x) for x in (*SENTENCE.split(passage), passage)}
-    return {hashed(u) for u in units if u} - sentence_hashes(passage)
+def sentence_hashes(passage: str) -> set[int]:
+    return hashes(passage)[0]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -106,14 +116,15 @@ def parsed(messages: DataFrame) -> DataFrame:
                     passages = levels(text.replace("\r\n", "\n"))
                     mine = "\n".join(p for depth, p in passages if not depth)
                     own.append(re.sub(r"\n{3,}", "\n\n", mine).strip())
-                    units.append(sorted(set().union(*(sentence_hashes(p) | other_hashes(p) for d, p in passages if not d))))
+                    found = [(d, *hashes(p)) for d, p in passages]
+                    units.append(sorted(set().union(*(long | short for d, long, short in found if not d))))
                     quoted.append(
                         [
-                            {"depth": d, "unit": u, "long": long}
-                            for d, p in passages
+                            {"depth": d, "unit": u, "long": is_}
+                            for d, long, short in found
                             if d
-                            for long, hashes in ((True, sentence_hashes(p)), (False, other_hashes(p)))
-                            for u in sorted(hashes)
+                            for is_, some in ((True, long), (False, short))
+                            for u in sorted(some)
                         ]
                     )
                 yield pa.RecordBatch.from_arrays(
@@ -166,6 +177,21 @@ def threads(found: DataFrame) -> DataFrame:
     raise RuntimeError("threads did not settle")
 
 
+PLACES = ["_wide", "_near", "_far_turn", "_near_turn"]
+
+
+def with_places(placed: DataFrame) -> DataFrame:
+    """Buckets along (thread, turn): the finest holds at most 64 turns of one thread."""
+    return placed.withColumns(
+        {
+            "_wide": F.floor(F.col("thread") / 4096),
+            "_near": F.col("thread"),
+            "_far_turn": F.floor(F.col("turn") / 4096),
+            "_near_turn": F.floor(F.col("turn") / 64),
+        }
+    )
+
+
 def ordered(messages: DataFrame) -> DataFrame:
     """conv_id, position (from 1), turn, role, own, reply_to, depth and thread of each message."""
     rows = stored(parsed(messages), "messages")
@@ -174,12 +200,10 @@ def ordered(messages: DataFrame) -> DataFrame:
         rows.select("conv_id", "turn", "role", "own")
         .join(linked, ["conv_id", "turn"], "left")
         .withColumns({"thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("bigint"))})
-        .withColumn("_wide", F.floor(F.col("thread") / 4096))
-        .withColumn("_near", F.floor(F.col("thread") / 64))
     )
     return bucketed_row_number(
-        placed, ["conv_id"], ["_wide", "_near"], ["thread", "turn", "role", "own"], "position"
-    ).drop("_wide", "_near")
+        with_places(placed), ["conv_id"], PLACES, ["thread", "turn", "role", "own"], "position"
+    ).drop(*PLACES)
 
 
 def conversations(messages: DataFrame, part: int = PART) -> DataFrame:
