@@ -61,5 +61,5 @@ def test_run(spark, steps):
 
 def test_registered():
     names = [n for n in driver.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in driver.queries()
