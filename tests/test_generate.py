@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattquill.operators import generate as gn
+from wattquill.plans import meter
 
 
 def made(spark, count=60, days=3, partitions=None):
@@ -109,3 +110,13 @@ def test_readings_of_an_id_range_need_no_shuffle(spark):
     for bad in (dict(count=0, days=1), dict(count=1, days=0), dict(count=1, days=1, interval_minutes=2000)):
         with pytest.raises(ValueError):
             gn.generate_range_readings(spark, 1, start=start, **bad)
+
+
+def _aggregates(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Aggregate [" in line]
+
+
+def test_times_are_written_as_text_after_they_are_counted(spark, small):
+    (counted,) = _aggregates(meter.gen_time_axis(spark, small))
+    assert "date_format" not in counted.split("],")[0]

@@ -337,9 +337,9 @@ def gen_time_axis(spark: SparkSession, d: str) -> DataFrame:
     axis = gn.range_time_axis(
         spark, first, count, F.lit("2024-01-01"), GENERATED_DAYS, rows_per_task=GENERATED_ROWS
     )
-    return axis.groupBy(_stamp("timestamp").alias("timestamp")).agg(
-        F.count(F.lit(1)).alias("customers"), F.max("step").alias("step")
-    )
+    # written as text once a time, not once a row
+    times = axis.groupBy("timestamp").agg(F.count(F.lit(1)).alias("customers"), F.max("step").alias("step"))
+    return times.withColumn("timestamp", _stamp("timestamp"))
 
 
 def gen_base_load(spark: SparkSession, d: str) -> DataFrame:
