@@ -112,6 +112,18 @@ def test_readings_of_an_id_range_need_no_shuffle(spark):
             gn.generate_range_readings(spark, 1, start=start, **bad)
 
 
+def test_watt_hours_are_the_generated_energy(spark):
+    rows = gn.generate_range_readings(spark, 5, 3, "2024-01-01", 2, watt_hours=True)
+    plain = gn.generate_range_readings(spark, 5, 3, "2024-01-01", 2)
+    assert "wh" not in plain.columns
+    assert rows.filter("wh is null or wh != consumption_kwh * 1000").count() == 0
+    assert sorted(map(tuple, rows.drop("wh").collect())) == sorted(map(tuple, plain.collect()))
+    key = F.concat_ws(":", F.lit("42"), F.lit("reading"), F.col("customer_id").cast("string"))
+    axis = gn.range_time_axis(spark, 5, 3, F.lit("2024-01-01"), 2, columns={"_key": key})
+    text = axis.select("_key", "customer_id", "step").first()
+    assert text._key == f"42:reading:{text.customer_id}"
+
+
 def _aggregates(df):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return [line for line in plan.splitlines() if "Aggregate [" in line]
@@ -120,3 +132,8 @@ def _aggregates(df):
 def test_times_are_written_as_text_after_they_are_counted(spark, small):
     (counted,) = _aggregates(meter.gen_time_axis(spark, small))
     assert "date_format" not in counted.split("],")[0]
+
+
+def test_the_profile_of_generated_readings_needs_no_decimals_a_row(spark, small):
+    plan = meter.gen_readings_profile(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(15,3)" not in plan and "42:reading" not in plan.split("Generate")[0]

@@ -129,11 +129,13 @@ def range_time_axis(
     interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES,
     seed: int = fv.DEFAULT_SEED,
     rows_per_task: int = ROWS_PER_TASK,
+    columns: dict[str, Column] | None = None,
 ) -> DataFrame:
     """customer_id, segment, step and timestamp of `count` customers with ids from `first_id` on.
 
     A range over customers times days, cut by rows a task: ids follow from the position, segments from
-    the ids, so there is no table to read, nothing to deal out and no shuffle.
+    the ids, so there is no table to read, nothing to deal out and no shuffle. More `columns` that follow
+    from the id are worked out once a day, not once a step.
     """
     _positive(count=count, rows_per_task=rows_per_task)
     per_day = _intervals(days, interval_minutes)
@@ -143,7 +145,8 @@ def range_time_axis(
         (F.call_function("div", F.col("id"), F.lit(days)) + F.lit(first_id).cast("bigint")).alias("customer_id"),
         (F.col("id") % days).cast("int").alias("_day"),
     )
-    return _steps_of_days(ids.withColumn("segment", _segment(seed)), start, per_day, interval_minutes)
+    known = ids.withColumns({"segment": _segment(seed)} | (columns or {}))
+    return _steps_of_days(known, start, per_day, interval_minutes)
 
 
 def _start(start: datetime | str) -> Column:
@@ -161,8 +164,9 @@ def generate_readings(
 
     `reading_id` counts in customer-then-time order; it is computed, not sorted for.
     """
-    axis = with_time_axis(customers.select("customer_id", "segment"), _start(start), days, interval_minutes)
-    return _readings(axis, days * _intervals(days, interval_minutes), seed)
+    known = customers.select("customer_id", "segment", _reading_key(seed).alias("_key"))
+    axis = with_time_axis(known, _start(start), days, interval_minutes)
+    return _readings(axis, days * _intervals(days, interval_minutes))
 
 
 def generate_range_readings(
@@ -174,17 +178,23 @@ def generate_range_readings(
     interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES,
     seed: int = fv.DEFAULT_SEED,
     rows_per_task: int = ROWS_PER_TASK,
+    watt_hours: bool = False,
 ) -> DataFrame:
-    """`generate_readings` of the customers that `generate_customers` makes of ids without gaps."""
-    axis = range_time_axis(spark, first_id, count, _start(start), days, interval_minutes, seed, rows_per_task)
-    return _readings(axis, days * _intervals(days, interval_minutes), seed)
+    """`generate_readings` of the customers that `generate_customers` makes of ids without gaps; with
+    `watt_hours` also `wh`, the same energy in whole watt-hours, for sums without decimals."""
+    key = {"_key": _reading_key(seed)}
+    axis = range_time_axis(spark, first_id, count, _start(start), days, interval_minutes, seed, rows_per_task, key)
+    return _readings(axis, days * _intervals(days, interval_minutes), watt_hours)
 
 
-def _readings(axis: DataFrame, steps: int, seed: int) -> DataFrame:
+def _reading_key(seed: int) -> Column:
+    """What the digests of all readings of a customer begin with."""
+    return F.concat_ws(":", F.lit(str(seed)), F.lit("reading"), F.col("customer_id").cast("string"))
+
+
+def _readings(axis: DataFrame, steps: int, watt_hours: bool = False) -> DataFrame:
     mean = base_load(F.col("segment"), F.col("timestamp")) * season_factor(F.col("timestamp"))
-    drawn = axis.withColumn(
-        "_digest", digest(seed, "reading", F.col("customer_id"), F.col("step"))
-    )
+    drawn = axis.withColumn("_digest", digest(F.col("_key"), F.col("step")))
     kwh = mean * (F.lit(1.0) + F.lit(fv.NOISE_SHARE) * normal(F.col("_digest")))
     wh = F.floor(F.greatest(kwh, F.lit(0.0)) * F.lit(1000.0) + F.lit(0.5))
     return drawn.select(
@@ -192,4 +202,5 @@ def _readings(axis: DataFrame, steps: int, seed: int) -> DataFrame:
         "customer_id",
         "timestamp",
         (wh.cast("decimal(15,0)") / F.lit(1000)).cast("decimal(15,3)").alias("consumption_kwh"),
+        *([wh.alias("wh")] if watt_hours else []),
     )

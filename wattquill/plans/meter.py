@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattquill.functions.numeric import kwh_decimal, watt_hours
+from wattquill.functions.numeric import kwh_decimal
 from wattquill.operators import aggregate as ag
 from wattquill.operators import billing as bl
 from wattquill.operators import generate as gn
@@ -366,18 +366,17 @@ def gen_season_factor(spark: SparkSession, d: str) -> DataFrame:
     return months.agg(F.count(F.lit(1)).alias("orders"))
 
 
-def _generated_readings(spark: SparkSession, d: str) -> DataFrame:
+def _generated_readings(spark: SparkSession, d: str, watt_hours: bool = False) -> DataFrame:
     first, count = _dense_ids(spark, d)
     return gn.generate_range_readings(
-        spark, first, count, "2024-01-01", GENERATED_DAYS, rows_per_task=GENERATED_ROWS
+        spark, first, count, "2024-01-01", GENERATED_DAYS, rows_per_task=GENERATED_ROWS, watt_hours=watt_hours
     )
 
 
 def gen_readings_profile(spark: SparkSession, d: str) -> DataFrame:
-    wh = watt_hours(F.col("consumption_kwh"))
-    hours = _generated_readings(spark, d).groupBy("customer_id", F.hour("timestamp").alias("hour"))
+    hours = _generated_readings(spark, d, watt_hours=True).groupBy("customer_id", F.hour("timestamp").alias("hour"))
     per_customer = hours.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(wh).alias("wh"), F.min(wh).alias("lo"), F.max(wh).alias("hi")
+        F.count(F.lit(1)).alias("n"), F.sum("wh").alias("wh"), F.min("wh").alias("lo"), F.max("wh").alias("hi")
     )
     return (
         per_customer.join(_generated_customers(spark, d), "customer_id")
