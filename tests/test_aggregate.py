@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 
+from wattquill.operators import aggregate as ag
 from wattquill.operators.aggregate import aggregate, aggregate_by_lookup
 
 NAN = float("nan")
@@ -166,3 +167,22 @@ def test_median_reads_its_input_twice(spark, tmp_path):
         assert scanned == 2 or (scanned == 3 and reused), final
         # windows hold the places of a key or the values of one place, never a key's values
         assert "percentile(" not in final
+
+
+def test_median_of_counts_ranks_small_groups_at_once(frame, monkeypatch):
+    """Groups of few counts take no pass per digit; large ones beside them do; both are exact."""
+    rows = [("small", 3, 1), ("small", -4, 2), ("small", 10, 1), ("one", 7, 1), ("odd", 5, 2), ("odd", 9, 3), (None, 1, 1), ("none", None, 4)]
+    rows += [("large", 3 * k, 1 + k % 2) for k in range(5000)]
+    counts = frame(rows, "k string, v long, n long")
+    by_digits, asked = ag._median_by_digits, []
+
+    def digits(counts, *rest):
+        asked.extend(r.k for r in counts.select("k").distinct().collect())
+        return by_digits(counts, *rest)
+
+    monkeypatch.setattr(ag, "_median_by_digits", digits)
+    found = {r.k: r.result for r in ag.median_of_counts(counts, ["k"], "v", "n").collect()}
+    values = sorted(v for k, v, n in rows if k == "large" for _ in range(n))
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    assert found == {"small": -0.5, "one": 7.0, "odd": 9.0, "large": middle}
+    assert asked == ["large"]

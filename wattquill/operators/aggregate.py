@@ -117,6 +117,41 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Exact median per group from (keys, value, count) rows: the mean of the two middle values.
 
+    Groups of at most `_PLACES` rows are ranked by one window, whatever their number. Only larger ones,
+    of which there are few for the rows, take a pass for each digit. Floats all do.
+    """
+    keys = list(keys)
+    if not keys or isinstance(counts.schema[value].dataType, _FLOATS):
+        return _median_by_digits(counts, keys, value, count)
+    rows = counts.filter(F.col(value).isNotNull())
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > _PLACES).select(*keys)
+    by_digits = _median_by_digits(rows.join(large, keys, "left_semi"), keys, value, count)
+    small = rows.join(large, keys, "left_anti")
+    for key in keys:
+        small = small.filter(F.col(key).isNotNull())
+    return _median_by_rank(small, keys, value, count).unionByName(by_digits)
+
+
+def _median_by_rank(rows: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """`median_of_counts` of groups that one window may hold."""
+    exact = F.col(value)
+    if isinstance(rows.schema[value].dataType, T.IntegralType):
+        exact = exact.cast("decimal(20,0)")
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.select(
+        *keys, exact.alias("_exact"), F.col(count).alias("_n"), F.sum(count).over(so_far).alias("_upto"), F.sum(count).over(group).alias("_size")
+    )
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    first, last = F.col("_upto") - F.col("_n") + 1, F.col("_upto")
+    middle = ranked.filter(low.between(first, last) | high.between(first, last))
+    both = middle.groupBy(*keys).agg(F.min("_exact").alias("_low"), F.max("_exact").alias("_high"))
+    return both.select(*keys, ((F.col("_low") + F.col("_high")) / 2).cast("double").alias("result"))
+
+
+def _median_by_digits(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """`median_of_counts` of groups of any size.
+
     Built-in `median` keeps all different values of a group in one task. Here each pass fixes one
     digit of the middle values: it counts the rows that share the digits found so far by their next
     digit, and goes on with the digit that holds the middle rank. No window holds more than the
