@@ -128,3 +128,54 @@ def test_chunks_of_a_large_group_change_nothing(spark, docs, tokenizers, monkeyp
 
 def test_empty_table(spark, docs):
     assert crosstokens.cross_tokens(docs([]), A, B).collect() == []
+
+
+class Frame:
+    """Takes the function that a frame's tasks would run."""
+
+    def mapInArrow(self, run, ddl):
+        self.run = run
+        return self
+
+
+def test_a_block_is_worked_through_in_parts_with_one_list(monkeypatch, prose):
+    import gc
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(crosstokens, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = [(k, prose(k, 60) + " Überraschungsmöglichkeiten " + prose(k % 7, 40)) for k in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]})
+    assert 2_000_000 < sum(len(t) for _, t in rows) < crosstokens.BLOCK_BYTES
+    run = crosstokens.aligned(Frame(), A, B).run
+    list(run(iter([batch.slice(0, 5)])))  # the vocabularies are loaded
+    gc.collect()
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        kinds = [k for out in run(iter([batch])) for k in out.column("kind").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert kinds == ["text"] * 4000 + ["list", "vector"]
+    print(f"{peak / 1e6:.0f} MB at the peak")
+    assert peak < 150_000_000
+
+
+def test_places_of_a_list_are_kept_as_it_grows():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    listed, count = crosstokens.Listed(), Counter()
+    seen = []
+    for _ in range(20):
+        pairs = [p for _ in range(5) for p in rng.sample(range(-50, 50), rng.randint(0, 30))]
+        count.update(pairs)
+        seen.append((pairs, listed.places(np.array(pairs, np.int64))))
+    ids = listed.ids().tolist()
+    assert dict(zip(ids, listed.texts.tolist(), strict=True)) == count and len(ids) == len(count)
+    assert all([ids[p] for p in places.tolist()] == pairs for pairs, places in seen)

@@ -5,7 +5,8 @@ hold one token of each, and then the B token is the one with the same bytes: a m
 same-bytes B ids is made from the vocabularies, and pairs in it are counted in a vector with a place
 for each A id, one vector a task. Only pairs of irregular groups outside the map go through a shuffle.
 
-Texts are taken in blocks of `BLOCK_BYTES`. A block writes one row for each text (digest columns, and
+Texts are taken in blocks of `BLOCK_BYTES`, worked through in parts of `PART_BYTES`, so that what a
+worker holds beside its caches does not grow with a block. A block writes one row for each text (digest columns, and
 its pairs with their links as places in the block's list) and one row with the list: each irregular
 pair of the block once, and in how many of its texts it is. Lists are summed over all blocks; the
 sums go back to the lists, a list as a whole to its texts. Nothing per text is shuffled for counting,
@@ -39,6 +40,8 @@ from wattquill.llm.packing import gathered
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 BLOCK_BYTES = 3_000_000
+PART_BYTES = 500_000
+LEARNED = 2000
 CHUNK = 2_000_000
 CACHED = 300_000
 STRETCH = re.compile(r" (?=[A-Za-zÀ-ÖØ-öø-ÿ])(?<=\S )")
@@ -109,10 +112,11 @@ class Pair:
     def learn(self, new: list[str]) -> None:
         """Ids of stretches that were not seen yet."""
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)]
-        for kept, ids in ((self.a_kept, a), (self.b_kept, self.b.encode(new, num_threads=1))):
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            kept.append(np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), sizes)
+        for k in range(0, len(new), LEARNED):
+            some = new[k : k + LEARNED]
+            # the encodings hold much more than the ids
+            self.a_kept.append([e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)])
+            self.b_kept.append(self.b.encode(some, num_threads=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A ids and their number for each text, B ids and their number.
@@ -132,18 +136,23 @@ class Pair:
 
 
 class Kept:
-    """Ids of the stretches seen so far."""
+    """Ids of the stretches seen so far, 4 bytes each."""
 
     def __init__(self):
-        self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
 
-    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
+    def append(self, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())))
+        self.size.append(sizes)
 
     def of(self, which: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts whose stretches lie between the cuts, and their number for each text."""
-        ids = gathered(self.flat, np.cumsum(self.size) - self.size, self.size, which)
-        return ids, np.diff(np.cumsum(np.r_[0, self.size[which]])[cuts])
+        if len(self.flat) > 1:
+            self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
+        (flat,), (size,) = self.flat, self.size
+        ids = gathered(flat, np.cumsum(size) - size, size, which)
+        return ids.astype(np.int64), np.diff(np.cumsum(np.r_[0, size[which]])[cuts])
 
 
 class Groups:
@@ -277,6 +286,32 @@ def packed(columns: tuple[np.ndarray, ...], cuts: np.ndarray) -> list[bytes]:
     return [b"".join(p[s:e].tobytes() for p in parts) for s, e in zip(cuts, cuts[1:])]
 
 
+class Listed:
+    """The irregular pairs of a block in the order of their places, and in how many texts each is."""
+
+    def __init__(self):
+        # ascending, with their places
+        self.pairs, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.texts = np.zeros(0, np.int64)
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        """Where they stand; pairs come once for each text."""
+        distinct, which, texts = np.unique(pairs, return_inverse=True, return_counts=True)
+        new = distinct[~np.isin(distinct, self.pairs, assume_unique=True)]
+        at = np.searchsorted(self.pairs, new)
+        self.pairs = np.insert(self.pairs, at, new)
+        self.place = np.insert(self.place, at, np.arange(len(new)) + len(self.texts))
+        place = self.place[np.searchsorted(self.pairs, distinct)]
+        self.texts = np.r_[self.texts, np.zeros(len(new), np.int64)]
+        self.texts[place] += texts
+        return place[which]
+
+    def ids(self) -> np.ndarray:
+        out = np.empty_like(self.pairs)
+        out[self.place] = self.pairs
+        return out
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows `text` (one a text), `list` (the irregular pairs of a block) and `vector` (one a task)."""
 
@@ -285,36 +320,38 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_
         vector = np.zeros(len(pair.same), np.int64)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text", block_bytes):
+            for whole in slices(batch, "text", block_bytes):
                 block += 1
-                texts = texts_of(part, "text").to_pylist()
-                a, a_sizes, b, b_sizes = pair.encode(texts)
-                good = same_bytes(pair, texts, a, a_sizes, b, b_sizes)
-                a, b = a[np.repeat(good, a_sizes)], b[np.repeat(good, b_sizes)]
-                a_sizes, b_sizes = a_sizes * good, b_sizes * good
-                rows = len(texts)
-                groups = Groups(pair, a, np.repeat(np.arange(rows), a_sizes), b)
-                row, both, n = links(pair, a, b, groups, rows)
-                left = both >> 32
-                regular = pair.same[left] == (both & 0xFFFFFFFF)
-                vector += np.bincount(left[regular], minlength=len(vector))
-                distinct, place, in_texts = np.unique(both[~regular], return_inverse=True, return_counts=True)
-                cuts = np.arange(rows + 1)
-                sha = iter(hashes(pair, a, a_sizes[good], b, b_sizes[good], groups) if good.any() else ())
-                yield batch_of(
-                    rows,
-                    kind=["text"] * rows,
-                    block=[block] * rows,
-                    doc_id=part.column("doc_id"),
-                    n_a=a_sizes,
-                    n_b=b_sizes,
-                    n_groups=np.bincount(groups.row, minlength=rows),
-                    n_links=np.bincount(row, n, rows).astype(np.int64),
-                    groups_sha256=[next(sha) if g else "" for g in good.tolist()],
-                    regular=packed((left[regular], n[regular]), np.searchsorted(row[regular], cuts)),
-                    irregular=packed((place, left[~regular], n[~regular]), np.searchsorted(row[~regular], cuts)),
-                )
-                yield batch_of(1, kind=["list"], block=[block], ids=[distinct], texts=[in_texts])
+                listed = Listed()
+                for part in slices(whole, "text", PART_BYTES):
+                    texts = texts_of(part, "text").to_pylist()
+                    a, a_sizes, b, b_sizes = pair.encode(texts)
+                    good = same_bytes(pair, texts, a, a_sizes, b, b_sizes)
+                    a, b = a[np.repeat(good, a_sizes)], b[np.repeat(good, b_sizes)]
+                    a_sizes, b_sizes = a_sizes * good, b_sizes * good
+                    rows = len(texts)
+                    groups = Groups(pair, a, np.repeat(np.arange(rows), a_sizes), b)
+                    row, both, n = links(pair, a, b, groups, rows)
+                    left = both >> 32
+                    regular = pair.same[left] == (both & 0xFFFFFFFF)
+                    vector += np.bincount(left[regular], minlength=len(vector))
+                    place = listed.places(both[~regular])
+                    cuts = np.arange(rows + 1)
+                    sha = iter(hashes(pair, a, a_sizes[good], b, b_sizes[good], groups) if good.any() else ())
+                    yield batch_of(
+                        rows,
+                        kind=["text"] * rows,
+                        block=[block] * rows,
+                        doc_id=part.column("doc_id"),
+                        n_a=a_sizes,
+                        n_b=b_sizes,
+                        n_groups=np.bincount(groups.row, minlength=rows),
+                        n_links=np.bincount(row, n, rows).astype(np.int64),
+                        groups_sha256=[next(sha) if g else "" for g in good.tolist()],
+                        regular=packed((left[regular], n[regular]), np.searchsorted(row[regular], cuts)),
+                        irregular=packed((place, left[~regular], n[~regular]), np.searchsorted(row[~regular], cuts)),
+                    )
+                yield batch_of(1, kind=["list"], block=[block], ids=[listed.ids()], texts=[listed.texts])
         seen = np.flatnonzero(vector)
         yield batch_of(1, kind=["vector"], ids=[seen], texts=[vector[seen]])
 
