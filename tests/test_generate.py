@@ -1,8 +1,11 @@
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wattquill.functions import digests
+from wattquill.functions.hashing import normal
 from wattquill.operators import generate as gn
 from wattquill.plans import meter
 
@@ -137,3 +140,47 @@ def test_times_are_written_as_text_after_they_are_counted(spark, small):
 def test_the_profile_of_generated_readings_needs_no_decimals_a_row(spark, small):
     plan = meter.gen_readings_profile(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal(15,3)" not in plan and "42:reading" not in plan.split("Generate")[0]
+
+
+def test_normals_of_many_steps_equal_the_expression(spark):
+    keys, days = np.array([7, 7, 99, 100, 10**18, -5, 1]), np.array([0, 2, 1, 0, 2, 1, 2])
+    got = {}
+    for part, values in digests.normals_by_step("42:reading", 3, 500)(keys, days):
+        for key, day, row in zip(keys[part].tolist(), days[part].tolist(), values.tolist(), strict=True):
+            got |= {(key, 500 * day + k): value for k, value in enumerate(row)}
+    text = F.concat_ws(":", F.lit("42:reading"), F.col("key"), F.col("step"))
+    want = spark.createDataFrame(list(got), "key long, step long").select("key", "step", normal(F.md5(text)).alias("value"))
+    assert len(got) == 7 * 500
+    for key, step, value in want.collect():
+        assert got[key, step] == pytest.approx(value, rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [1, 70, 100_000])
+@pytest.mark.parametrize(("first", "days", "interval"), [(8, 3, 60), (997, 2, 15), (-3, 1, 1440)])
+def test_watt_hours_equal_those_of_the_expression(spark, monkeypatch, chunk, first, days, interval):
+    monkeypatch.setattr(digests, "CHUNK", chunk)
+    made = gn.generate_range_readings(spark, first, 5, "2024-06-29", days, interval, rows_per_task=50, watt_hours=True)
+    plain = gn.generate_range_readings(spark, first, 5, "2024-06-29", days, interval)
+    timed = gn.generate_range_readings(spark, first, 5, "2024-06-29 22:10:00", days, interval, watt_hours=True, hours=True)
+    assert timed.filter("hour != hour(timestamp) or hour is null").isEmpty() and timed.count() == plain.count()
+    assert sorted(map(tuple, made.drop("wh").collect())) == sorted(map(tuple, plain.collect()))
+    assert made.filter("wh is null or wh != consumption_kwh * 1000").isEmpty()
+
+
+def test_a_seed_too_long_for_one_block_takes_the_expression(spark):
+    odd = dict(days=70, interval_minutes=1, seed=-(10**18))
+    made = gn.generate_range_readings(spark, 1, 1, "2024-01-01", **odd, watt_hours=True, hours=True)
+    plain = gn.generate_range_readings(spark, 1, 1, "2024-01-01", **odd)
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.agg(F.sum("wh")).first()[0] == plain.agg(F.sum(F.col("consumption_kwh") * 1000)).first()[0]
+    assert made.filter("hour != hour(timestamp)").isEmpty()
+
+
+def test_the_profile_draws_its_noise_without_text_a_row(spark, small, monkeypatch):
+    plan = meter.gen_readings_profile(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "step" not in "".join(x for x in plan.splitlines() if "md5" in x)
+    assert "hour(" not in plan
+    # tasks grow with the table beyond some number of them
+    for count, tasks in ((15, 1), (15_000, 64), (5_400_000, 3888)):
+        monkeypatch.setattr(meter, "_dense_ids", lambda spark, d, count=count: (1, count))
+        assert meter._generated_readings(spark, small, True).rdd.getNumPartitions() == tasks

@@ -2,10 +2,12 @@
 
 from datetime import date, datetime
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattquill import fixed_values as fv
+from wattquill.functions import digests
 from wattquill.functions.hashing import digest, normal, uniform
 
 _MINUTES_A_DAY = 24 * 60
@@ -83,15 +85,23 @@ def _steps_of_days(
 ) -> DataFrame:
     """Rows with `_day` once for each step of the day: adds `step` and `timestamp`."""
     stepped = days.withColumn("_in_day", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1))))
-    step = (F.col("_day") * per_day + F.col("_in_day")).cast("bigint")
-    offset = F.make_dt_interval(mins=(step * interval_minutes).cast("int"))
     return (
-        stepped.withColumn("step", step)
-        .withColumn("timestamp", start.cast("timestamp_ntz") + offset)
+        stepped.withColumn("step", _step(per_day))
+        .withColumn("timestamp", _time(start, interval_minutes))
         .drop("_day", "_in_day")
     )
 
 
+def _step(per_day: int) -> Column:
+    return (F.col("_day") * per_day + F.col("_in_day")).cast("bigint")
+
+
+def _time(start: Column, interval_minutes: int) -> Column:
+    """The timestamp of a `step`."""
+    offset = F.make_dt_interval(mins=(F.col("step") * interval_minutes).cast("int"))
+    return start.cast("timestamp_ntz") + offset
+
+
 def _intervals(days: int, interval_minutes: int) -> int:
     """Intervals of a day."""
     _positive(days=days, interval_minutes=interval_minutes)
@@ -100,6 +110,11 @@ def _intervals(days: int, interval_minutes: int) -> int:
     return per_day
 
 
+def steps_of(days: int, interval_minutes: int = fv.DEFAULT_INTERVAL_MINUTES) -> int:
+    """Intervals of so many days."""
+    return days * _intervals(days, interval_minutes)
+
+
 def with_time_axis(
     df: DataFrame,
     start: Column,
@@ -137,16 +152,23 @@ def range_time_axis(
     the ids, so there is no table to read, nothing to deal out and no shuffle. More `columns` that follow
     from the id are worked out once a day, not once a step.
     """
-    _positive(count=count, rows_per_task=rows_per_task)
     per_day = _intervals(days, interval_minutes)
+    known = _range_days(spark, first_id, count, days, per_day, seed, rows_per_task, columns or {})
+    return _steps_of_days(known, start, per_day, interval_minutes)
+
+
+def _range_days(
+    spark: SparkSession, first_id: int, count: int, days: int, per_day: int, seed: int, rows_per_task: int, columns: dict[str, Column]
+) -> DataFrame:
+    """customer_id, _day, segment and `columns` of `count` customers with ids from `first_id` on."""
+    _positive(count=count, rows_per_task=rows_per_task)
     tasks = max(1, -(-count * days * per_day // rows_per_task))
     place = spark.range(0, count * days, 1, tasks)
     ids = place.select(
         (F.call_function("div", F.col("id"), F.lit(days)) + F.lit(first_id).cast("bigint")).alias("customer_id"),
         (F.col("id") % days).cast("int").alias("_day"),
     )
-    known = ids.withColumns({"segment": _segment(seed)} | (columns or {}))
-    return _steps_of_days(known, start, per_day, interval_minutes)
+    return ids.withColumns({"segment": _segment(seed)} | columns)
 
 
 def _start(start: datetime | str) -> Column:
@@ -166,7 +188,7 @@ def generate_readings(
     """
     known = customers.select("customer_id", "segment", _reading_key(seed).alias("_key"))
     axis = with_time_axis(known, _start(start), days, interval_minutes)
-    return _readings(axis, days * _intervals(days, interval_minutes))
+    return _readings(axis, steps_of(days, interval_minutes))
 
 
 def generate_range_readings(
@@ -179,28 +201,72 @@ def generate_range_readings(
     seed: int = fv.DEFAULT_SEED,
     rows_per_task: int = ROWS_PER_TASK,
     watt_hours: bool = False,
+    hours: bool = False,
 ) -> DataFrame:
     """`generate_readings` of the customers that `generate_customers` makes of ids without gaps; with
-    `watt_hours` also `wh`, the same energy in whole watt-hours, for sums without decimals."""
+    `watt_hours` also `wh`, the same energy in whole watt-hours, for sums without decimals, and with
+    `hours` the `hour` of the timestamp. With `watt_hours` the noise comes from `digests`, several times
+    faster, and hours are worked out once a step, not once a row."""
+    per_day = _intervals(days, interval_minutes)
+    steps = days * per_day
+    prefix = _reading_prefix(seed)
+    if watt_hours and len(f"{prefix}:{-(2**63)}:{steps}".encode()) <= digests.MOST_BYTES:
+        known = _range_days(spark, first_id, count, days, per_day, seed, rows_per_task, {})
+        kind = F.when(F.col("segment") == fv.SEGMENTS[0], 0).otherwise(1).alias("_kind")
+        energy = digests.watt_hours_by_step(prefix, *_expected(spark, _start(start), days, per_day, interval_minutes), fv.NOISE_SHARE)
+        drawn = known.select("customer_id", "_day", kind).mapInArrow(
+            energy, "customer_id bigint, _day int, wh array<bigint>, hours array<int>"
+        )
+        stepped = drawn.select("customer_id", "_day", "hours", F.posexplode("wh").alias("_in_day", "wh"))
+        made = stepped.withColumn("step", _step(per_day)).withColumn("timestamp", _time(_start(start), interval_minutes))
+        return _with_energy(made, steps, F.col("wh"), True, F.get("hours", F.col("_in_day")) if hours else None)
     key = {"_key": _reading_key(seed)}
     axis = range_time_axis(spark, first_id, count, _start(start), days, interval_minutes, seed, rows_per_task, key)
-    return _readings(axis, days * _intervals(days, interval_minutes), watt_hours)
+    return _readings(axis, steps, watt_hours, F.hour("timestamp") if hours else None)
+
+
+def _reading_prefix(seed: int) -> str:
+    """What the digests of all readings begin with."""
+    return f"{seed}:reading"
 
 
 def _reading_key(seed: int) -> Column:
     """What the digests of all readings of a customer begin with."""
-    return F.concat_ws(":", F.lit(str(seed)), F.lit("reading"), F.col("customer_id").cast("string"))
+    return F.concat_ws(":", F.lit(_reading_prefix(seed)), F.col("customer_id").cast("string"))
+
+
+def _mean() -> Column:
+    return base_load(F.col("segment"), F.col("timestamp")) * season_factor(F.col("timestamp"))
 
 
-def _readings(axis: DataFrame, steps: int, watt_hours: bool = False) -> DataFrame:
-    mean = base_load(F.col("segment"), F.col("timestamp")) * season_factor(F.col("timestamp"))
+def _expected(spark: SparkSession, start: Column, days: int, per_day: int, interval_minutes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hour of each day and step of the day, and the expected kWh of each segment, day and step: as
+    many as steps, whatever the customers."""
+    steps = days * per_day
+    axis = spark.range(len(fv.SEGMENTS) * steps).select(
+        F.col("id"),
+        F.when(F.col("id") < steps, fv.SEGMENTS[0]).otherwise(fv.SEGMENTS[1]).alias("segment"),
+        (F.col("id") % steps).alias("step"),
+    )
+    timed = axis.withColumn("timestamp", _time(start, interval_minutes))
+    rows = sorted(timed.select("id", F.hour("timestamp").alias("hour"), _mean().alias("mean")).collect())
+    hours = np.array([row.hour for row in rows[:steps]], np.int32).reshape(days, per_day)
+    return hours, np.array([row.mean for row in rows]).reshape(len(fv.SEGMENTS), days, per_day)
+
+
+def _readings(axis: DataFrame, steps: int, watt_hours: bool = False, hour: Column | None = None) -> DataFrame:
     drawn = axis.withColumn("_digest", digest(F.col("_key"), F.col("step")))
-    kwh = mean * (F.lit(1.0) + F.lit(fv.NOISE_SHARE) * normal(F.col("_digest")))
+    kwh = _mean() * (F.lit(1.0) + F.lit(fv.NOISE_SHARE) * normal(F.col("_digest")))
     wh = F.floor(F.greatest(kwh, F.lit(0.0)) * F.lit(1000.0) + F.lit(0.5))
+    return _with_energy(drawn, steps, wh, watt_hours, hour)
+
+
+def _with_energy(drawn: DataFrame, steps: int, wh: Column, watt_hours: bool, hour: Column | None) -> DataFrame:
     return drawn.select(
         ((F.col("customer_id") - 1) * steps + F.col("step") + 1).alias("reading_id"),
         "customer_id",
         "timestamp",
         (wh.cast("decimal(15,0)") / F.lit(1000)).cast("decimal(15,3)").alias("consumption_kwh"),
         *([wh.alias("wh")] if watt_hours else []),
+        *([hour.alias("hour")] if hour is not None else []),
     )

@@ -24,8 +24,9 @@ AS_OF = date(2024, 1, 1)
 GENERATED_DAYS = 30
 BASE_CUSTOMER = 7
 PLOT_POINTS = 100
-# small tasks, so that test sizes use all cores
-GENERATED_ROWS = 300_000
+# small tasks, so that test sizes use all cores; beyond so many tasks they grow, as each costs a fixed time
+GENERATED_ROWS, GENERATED_MOST_ROWS = 300_000, 4_000_000
+GENERATED_TASKS = 64
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,15 +367,17 @@ def gen_season_factor(spark: SparkSession, d: str) -> DataFrame:
     return months.agg(F.count(F.lit(1)).alias("orders"))
 
 
-def _generated_readings(spark: SparkSession, d: str, watt_hours: bool = False) -> DataFrame:
+def _generated_readings(spark: SparkSession, d: str, for_profile: bool = False) -> DataFrame:
     first, count = _dense_ids(spark, d)
+    rows = count * gn.steps_of(GENERATED_DAYS) // GENERATED_TASKS
+    rows = min(max(rows, GENERATED_ROWS), GENERATED_MOST_ROWS)
     return gn.generate_range_readings(
-        spark, first, count, "2024-01-01", GENERATED_DAYS, rows_per_task=GENERATED_ROWS, watt_hours=watt_hours
+        spark, first, count, "2024-01-01", GENERATED_DAYS, rows_per_task=rows, watt_hours=for_profile, hours=for_profile
     )
 
 
 def gen_readings_profile(spark: SparkSession, d: str) -> DataFrame:
-    hours = _generated_readings(spark, d, watt_hours=True).groupBy("customer_id", F.hour("timestamp").alias("hour"))
+    hours = _generated_readings(spark, d, for_profile=True).groupBy("customer_id", "hour")
     per_customer = hours.agg(
         F.count(F.lit(1)).alias("n"), F.sum("wh").alias("wh"), F.min("wh").alias("lo"), F.max("wh").alias("hi")
     )
